@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_rules, sharding, token_files
+from . import decontamination, language_id, license_scan, line_dedup, quality_rules, sentencepiece_codec, sharding, token_files
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": lambda spark, d: decontamination.op1_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op3_license_scan": lambda spark, d: license_scan.op3_license_scan(table(spark, d, "documents")),
+        "op5_sentencepiece": lambda spark, d: sentencepiece_codec.op5_sentencepiece(table(spark, d, "documents")),
         "op6_token_files": lambda spark, d: token_files.op6_token_files(table(spark, d, "documents")),
         "op7_quality_rules": lambda spark, d: quality_rules.op7_quality_rules(table(spark, d, "documents")),
+        "op8_language_id": lambda spark, d: language_id.op8_language_id(table(spark, d, "documents")),
         "op9_sharding": lambda spark, d: sharding.op9_sharding(table(spark, d, "documents")),
         "op10_line_dedup": lambda spark, d: line_dedup.op10_line_dedup(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.OP10_SQL}
+    return {"op1_decontamination": decontamination.OP1_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
