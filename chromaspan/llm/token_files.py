@@ -12,6 +12,8 @@ import math
 import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -124,15 +126,15 @@ class TokenFile:
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, which gets each distinct chunk once.
 
-    A byte-level BPE never joins a visible character with white space after it. So a text is cut
-    there, and the ids of its chunks, kept in a bounded table, are those of the text. Texts with
-    separator characters that Python and the library may class differently are passed whole.
+    A byte-level BPE splits words off before it merges: never does a piece go on from a visible
+    character into white space, nor from a letter into one of ``.,;:!?``. So a text is cut there,
+    and the ids of its chunks, kept in a bounded table, are those of the text. New chunks go to the
+    library many at a time, with a NUL between them, which no merge touches. Texts with characters
+    that Python and the library may class differently, with a NUL or an added token are passed whole.
     """
 
-    chunk = re.compile(r"\s*\S+|\s+")
-    unsure = re.compile("[\x1c-\x1f\x85᠎​﻿]")
-
-    def __init__(self, path: str, most: int = 300_000):
+    chunk = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?]|\Z)|[.,;:!?]+(?=\s|\Z)|\s*\S+|\s+")
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,23 +144,64 @@ class ChunkEncoder:
         self.model.encode_special_tokens = True
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.most, self.known = most, {}
+        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.unsure = re.compile("|".join(["[\x00\x1c-\x1f\x85\u180e\u200b\ufeff]", *added]))
+        nul = self.model.encode("\x00", add_special_tokens=False).ids
+        # Only a vocabulary in which NUL is a token of its own, and part of no other, can be asked for many chunks at once.
+        byte = self.model.id_to_token(nul[0]) if len(nul) == 1 else None
+        self.nul = nul[0] if byte and sum(byte in t for t in self.model.get_vocab()) == 1 else None
+
+    def whole(self, text: str) -> bytes:
+        import numpy as np
 
-    def raw(self, texts: list[str]) -> list[bytes]:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
+    def many(self, chunks: list[str]) -> list[bytes]:
         import numpy as np
 
-        return [np.array(x.ids, f"<u{self.width}").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.nul is None:
+            return [self.whole(c) for c in chunks]
+        out = []
+        for at in range(0, len(chunks), 1000):
+            ids = np.array(self.model.encode("\x00".join([*chunks[at : at + 1000], ""]), add_special_tokens=False).ids, f"<u{self.width}")
+            data, first = ids.tobytes(), 0
+            for end in np.flatnonzero(ids == self.nul).tolist():
+                out.append(data[first * self.width : end * self.width])
+                first = end + 1
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         if len(self.known) > self.most:
-            self.known = {}
-        known, cut = self.known, []
-        for text in texts:
-            chunks = [text] if self.unsure.search(text) else self.chunk.findall(text)
-            cut.append(chunks)
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        known.update(zip(new, self.raw(new), strict=True))
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+            self.known.clear()
+        known = self.known
+        cut = [None if self.unsure.search(text) else self.chunk.findall(text) for text in texts]
+        new = [c for c in set(chain.from_iterable(c for c in cut if c)) if c not in known]
+        # White space and apostrophes are split by what stands beside them, so these never meet a NUL.
+        alone = [c for c in new if c[0] == "'" or c.isspace()]
+        known.update((c, self.whole(c)) for c in alone)
+        new = [c for c in new if c not in known]
+        known.update(zip(new, self.many(new), strict=True))
+        return [self.whole(text) if chunks is None else b"".join(map(known.__getitem__, chunks)) for text, chunks in zip(texts, cut, strict=True)]
+
+
+@lru_cache(1)
+def encoder_for(path: str) -> ChunkEncoder:
+    """One encoder for a worker process, whatever the number of its tasks."""
+    return ChunkEncoder(path)
+
+
+def small_lists(values: list, most: int = 1 << 20) -> Iterator[list]:
+    """Runs of texts of about ``most`` characters; a longer one stands alone."""
+    held, size = [], 0
+    for v in values:
+        if held and size + len(v) > most:
+            yield held
+            held, size = [], 0
+        held.append(v)
+        size += len(v)
+    if held:
+        yield held
 
 
 def default_vocabulary() -> str:
@@ -189,7 +232,7 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, path: str
 
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
-        encoder = ChunkEncoder(vocabulary)
+        encoder = encoder_for(vocabulary)
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(f"{folder}/data", recursive=True)
         names, lengths, ids, held, seq = [], [], [], 0, 0
@@ -203,10 +246,10 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, path: str
             return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "n_docs": [len(names)], "n_ids": [held]}, schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for doc_id, got in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text").to_pylist()), strict=True):
-                    names.append(doc_id)
+            doc_ids = iter(batch.column("doc_id").to_pylist())
+            for texts in small_lists(batch.column("text").to_pylist()):
+                for got in encoder.encode(texts):
+                    names.append(next(doc_ids))
                     ids += (got, end)
                     lengths.append(len(got) // encoder.width + 1)
                     held += lengths[-1]
