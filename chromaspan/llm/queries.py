@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, line_dedup, quality_rules, sentencepiece_codec, sharding, token_files
+from . import decontamination, language_id, license_scan, line_dedup, near_dups, pii, quality_rules, sentencepiece_codec, sharding, token_files
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": lambda spark, d: decontamination.op1_decontamination(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op2_pii": lambda spark, d: pii.op2_pii(table(spark, d, "documents")),
         "op3_license_scan": lambda spark, d: license_scan.op3_license_scan(table(spark, d, "documents")),
+        "op4_near_dups": lambda spark, d: near_dups.op4_near_dups(table(spark, d, "documents")),
         "op5_sentencepiece": lambda spark, d: sentencepiece_codec.op5_sentencepiece(table(spark, d, "documents")),
         "op6_token_files": lambda spark, d: token_files.op6_token_files(table(spark, d, "documents")),
         "op7_quality_rules": lambda spark, d: quality_rules.op7_quality_rules(table(spark, d, "documents")),
