@@ -74,7 +74,8 @@ class Codec:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == _BYTE}
         self.longest = max(map(len, self.ids))
         self.least = min(s for _, s, t in pieces if t == _NORMAL) - 10.0
-        self.suffixes = {p[i:] for p in self.ids for i in range(len(p))}
+        #: Ids of the pieces, and -1 for what only ends pieces.
+        self.table = {p[i:]: -1 for p in self.ids for i in range(len(p))} | self.ids
         #: Neighbouring characters that some piece holds; a text may be cut between any others.
         self.held = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         known = set("".join(self.ids))
@@ -86,7 +87,8 @@ class Codec:
         stops = "".join(x for x in ".,;:!?" if not any(a + x in self.held for a in _LETTERS))
         word = f"{SPACE}*[{_LETTERS}]+(?=[{re.escape(stops)}])|" if stops else ""
         self.chunk = re.compile(f"{line}{'|' if line else ''}{word}{SPACE}*[^{SPACE}{line}]+|{SPACE}+" if apart else "(?s).+")
-        self.most, self.known, self.pairs = most, {}, {}
+        # Ids of the chunks of late and of those before them; the latter go when the former are many.
+        self.most, self.known, self.older, self.pairs = most, {}, {}, {}
 
     # -- encoding -------------------------------------------------------------------------
 
@@ -103,94 +105,84 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def apart(self, left: str, right: str) -> bool:
-        """Whether merging keeps a path's last piece and the next one apart."""
-        key = (left, right)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > self.most:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merge(left + right) == [left, right]
+    def apart(self, left: int, right: int) -> bool:
+        """Whether merging keeps two pieces apart, one a path's last and one that may come next."""
+        if len(self.pairs) > self.most:
+            self.pairs.clear()
+        a, b = self.pieces[left][0], self.pieces[right][0]
+        found = self.pairs[left << 20 | right] = self.merge(a + b) == [a, b]
         return found
 
-    def path(self, text: str) -> Iterator[str]:
-        """Pieces of a text (single characters where no piece fits), committed as they become certain."""
-        ids, score, suffixes, longest, merges, pairs = self.ids, self.score, self.suffixes, self.longest, self.kind == BPE, self.pairs
-        # Boundaries since the last commit: the piece that ends there.
-        last: dict[int, str] = {}
-        total: dict[int, float] = {0: 0.0}
-        done, n, check = 0, len(text), 2 * longest
-        for end in range(1, n + 1):
-            found, best, fitting = None, 0.0, []
-            for start in range(end - 1, done - 1, -1):
-                piece = text[start:end]
-                if piece not in suffixes:
-                    if start == end - 1 and start in total and (merges or total[start] + self.least > best or found is None):
-                        found, best = piece, total[start] + self.least
-                    break
-                if piece not in ids:
-                    if start < end - 1 or start not in total:
-                        continue
-                    if merges:  # a character that only longer pieces hold
-                        found = piece
-                        continue
-                    found, best = piece, total[start] + self.least
-                elif start not in total:
-                    continue
-                elif not merges:
-                    new = total[start] + score[ids[piece]]
-                    if found is None or new >= best:
-                        found, best = piece, new
-                else:
-                    fitting.append((start, piece))
-            for start, piece in reversed(fitting):
-                before = last.get(start)
-                if before is None or before not in ids:
-                    found = piece
-                    break
-                fits = pairs.get((before, piece))
-                if fits if fits is not None else self.apart(before, piece):
-                    found = piece
-                    break
-            if found is None:
-                continue
-            last[end], total[end] = found, best
-            if end - done >= check and end < n:
-                meet = self._meeting(last, end, done)
-                if meet > done:
-                    yield from self._back(last, meet, done)
-                    ends = {} if not merges else {meet: last[meet]}
-                    last = ends | {i: x for i, x in last.items() if i > meet}
-                    total = {i: x - total[meet] for i, x in total.items() if i >= meet}
-                    done = meet
+    def ids_of(self, text: str) -> list[int]:
+        """Ids of a text, committed as they become certain; a character without a piece as its bytes or as unknown."""
+        table, pairs, score, longest, merges = self.table, self.pairs, self.score, self.longest, self.kind == BPE
+        out: list[int] = []
+        # By boundary since the last commit: id and width of the piece that ends there, best sum of scores.
+        last, width, total = [-1], [0], [0.0]
+        done, check = 0, 2 * longest
+        for end in range(1, len(text) + 1):
+            k = table.get(text[end - 1])
+            one = -1 if k is None else k
+            fitting = []
+            if k is not None:
+                for start in range(end - 2, done - 1, -1):
+                    k = table.get(text[start:end])
+                    if k is None:
+                        break
+                    if k >= 0:
+                        fitting.append((k, end - start))
+            best, size = one, 1
+            if merges:
+                # From the longest on; if no longer piece fits, the character by itself does.
+                while fitting:
+                    k, w = fitting.pop()
+                    before = last[end - w - done]
+                    if before < 0:
+                        best, size = k, w
+                        break
+                    fits = pairs.get(before << 20 | k)
+                    if fits if fits is not None else self.apart(before, k):
+                        best, size = k, w
+                        break
+            else:
+                most = total[-1] + (score[one] if one >= 0 else self.least)
+                for k, w in fitting:
+                    new = total[end - w - done] + score[k]
+                    if new >= most:
+                        best, size, most = k, w, new
+                total.append(most)
+            last.append(best)
+            width.append(size)
+            if end - done >= check:
+                meet = self._meeting(width, end - done)
+                if meet:
+                    out += self._back(text, last, width, done, meet)
+                    last, width, total = last[meet:], width[meet:], [x - total[meet] for x in total[meet:]]
+                    done += meet
                 check = max(2 * longest, 2 * (end - done))
-        yield from self._back(last, n, done)
+        return out + self._back(text, last, width, done, len(last) - 1)
 
-    def _meeting(self, last: dict, end: int, done: int) -> int:
+    def _meeting(self, width: list[int], end: int) -> int:
         """The latest boundary that the paths of all boundaries a later piece can start from share."""
-        alive = {i for i in range(max(done, end - self.longest + 1), end + 1) if i in last}
+        alive = set(range(max(0, end - self.longest + 1), end + 1))
         while len(alive) > 1:
             i = max(alive)
             alive.remove(i)
-            alive.add(i - len(last[i]) if i > done else done)
+            alive.add(i - width[i])
         return alive.pop()
 
-    @staticmethod
-    def _back(last: dict, end: int, done: int) -> list[str]:
-        out = []
-        while end > done:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
-
-    def _ids(self, pieces: Iterator[str]) -> list[int]:
-        out = []
-        for piece in pieces:
-            k = self.ids.get(piece)
-            if k is not None:
+    def _back(self, text: str, last: list[int], width: list[int], done: int, end: int) -> list[int]:
+        """Ids of the path from boundary ``end`` back to the last commit, in order."""
+        path = []
+        while end > 0:
+            path.append((last[end], end))
+            end -= width[end]
+        out: list[int] = []
+        for k, at in reversed(path):
+            if k >= 0:
                 out.append(k)
             elif self.bytes:
-                out.extend(self.bytes[b] for b in piece.encode())
+                out.extend(self.bytes[b] for b in text[done + at - 1].encode())
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return out
@@ -200,11 +192,11 @@ class Codec:
         if not text:
             return b""
         if len(self.known) > self.most:
-            self.known.clear()
-        known, longer = self.known, {}
+            self.older, self.known = self.known, {}
+        known, older, longer = self.known, self.older, {}
         chunks = self.chunk.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
         for chunk in [c for c in set(chunks) if c not in known]:
-            (known if len(chunk) <= 64 else longer)[chunk] = self._cut(chunk)
+            (known if len(chunk) <= 64 else longer)[chunk] = older.get(chunk) or self._cut(chunk)
         if longer:
             return b"".join([known[c] if c in known else longer[c] for c in chunks])
         return b"".join(map(known.__getitem__, chunks))
@@ -213,7 +205,7 @@ class Codec:
         """Ids of a chunk, which is cut wherever no piece can span two neighbours."""
         out, first, held = [], 0, self.held
         for i in [*(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in held), len(chunk)]:
-            out += self._ids(self.path(chunk[first:i]))
+            out += self.ids_of(chunk[first:i])
             first = i
         return struct.pack(f"<{len(out)}i", *out)
 
