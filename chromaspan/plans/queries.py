@@ -396,10 +396,11 @@ def failure_reason(spark, d):
 # -- gene by factor ---------------------------------------------------------------------------
 
 
-@query(_with(V.PEAKS_CTE, V.GENES_CTE, _PAIRS.replace("2501", "101").replace("2500", "100")) + "SELECT gene_id, 'No open region in gene window' AS reason FROM genes WHERE gene_id NOT IN (SELECT gene_id FROM pairs)")
+@query(_with(V.EXCLUDED_CTE, V.GENES_CTE) + "SELECT gene_id, 'No open region in gene window' AS reason FROM genes g WHERE NOT EXISTS (SELECT 1 FROM excluded x WHERE x.chr = g.chr AND greatest(0, g.tss - 1001) < x.e AND x.s < g.tss + 1000)")
 def discarded_genes(spark, d):
     g = V.genes(spark, d)
-    return matrix.discarded_genes(g, matrix.window_pairs(g, V.peaks(spark, d), 100))
+    regions = V.excluded(spark, d).withColumn("peak_id", X.peak_id("chr", "start", "end"))
+    return matrix.discarded_genes(g, matrix.window_pairs(g, regions, 1000))
 
 
 def _signals(spark, d):
