@@ -89,7 +89,7 @@ def train(labelled: DataFrame) -> tuple[list[str], object]:
                     counts[lang] = counts[lang] + got if lang in counts else got
         for lang, c in counts.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], ["lang", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], ["lang", "bin", "n"])
 
     rows = labelled.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "lang string, bin int, n long")
     summed = rows.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
