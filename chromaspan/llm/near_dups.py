@@ -6,11 +6,13 @@
    fills one bin for certain. Documents with equal sets form a class, which goes on as one node.
 2. 32 bands of 4 coordinates are the buckets. A pair at the threshold misses all of them with
    a probability under 1e-5, at a Jaccard similarity of 0.85 with one under 1e-10.
-3. Within a bucket no list of all pairs is made. All members are held against the bucket's least
-   member first, on full sets. Members that link are settled; Jaccard distance is a metric, so
-   a settled member and another one can only link if the distances to the least member
-   differ by the threshold at most, and only such pairs are checked too. The rest goes into
-   further rounds, with up to 16 leading members a bucket, until no bucket has a rest.
+3. Small buckets give all their pairs, at most 7 a member. In a larger one all members are held
+   against its least member, the lead, on full sets. Members linked to it need no pair among
+   themselves. Any other two that link differ in at most (|x| + |y|) / 7 shingles, so they must
+   share a certain number of their differences from the lead. Their pairs come from a prefix
+   join on these differences, additions first: members that were changed independently, or that
+   have no more than a passage in common, share few and are never paired. All pairs are confirmed
+   on full sets.
 4. Components of the confirmed links come from alternating large-star and small-star steps.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -29,8 +31,8 @@ SHINGLE, BINS, ROWS = 5, 128, 4
 LINK = 75
 #: Sets of so many ids are broadcast (about 32 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Leading members of a bucket after its first round.
-LEADS = 16
+#: Buckets of up to so many members give all their pairs.
+SMALL = 8
 _SLICE = 2 << 20
 
 
@@ -142,10 +144,14 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has few rows; else joins with it are shuffle joins."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join of ``docs`` with a table of ids (one column ``id``), which is broadcast if it is small by count."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = bounded(ids)
     return docs.join(ids, docs["doc_id"] == ids["id"], how)
 
 
@@ -166,57 +172,63 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return keep_ids(docs.select("doc_id", "text"), ids, "left_semi").mapInArrow(run, "id long, set array<long>")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, inter, total): intersection and union sizes on full sets, of pairs that are halfway similar at least."""
+def verify(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+    """(a, b, inter, total): intersection and union sizes of pairs on full sets; without ``differences`` only of those that can link by size.
+
+    ``differences`` adds ``nb`` (size of b's set) and ``diff``: b's shingles that a lacks, then a's that b lacks, each sorted.
+    """
+    # Few pairs are broadcast: then only the sets they need are shuffled, once each side.
+    pairs = bounded(pairs)
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    right = right.join(pairs.select(F.col("b").alias("__b")), F.col("b") == F.col("__b"), "left_semi")
     na, nb = F.size("sa"), F.size("sb")
-    # The smaller set must have half of the larger one's size for a similarity of a half.
-    both = pairs.join(left, "a").join(right, "b").where((2 * F.least(na, nb)) >= F.greatest(na, nb))
-    inter = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("inter"), (na + nb).alias("sum"))
-    return inter.select("a", "b", "inter", (F.col("sum") - F.col("inter")).alias("total")).where(F.col("inter") * 2 >= F.col("total"))
+    both = left.join(pairs, "a").join(right, "b")
+    inter = F.size(F.array_intersect("sa", "sb"))
+    if not differences:
+        return both.where(100 * F.least(na, nb) >= LINK * F.greatest(na, nb)).select("a", "b", inter.alias("inter"), (na + nb - inter).alias("total"))
+    diff = F.concat(F.array_sort(F.array_except("sb", "sa")), F.array_sort(F.array_except("sa", "sb")))
+    return both.select("a", "b", inter.alias("inter"), (na + nb - inter).alias("total"), nb.alias("nb"), diff.alias("diff"))
+
 
+def linked() -> Column:
+    return 100 * F.col("inter") >= LINK * F.col("total")
 
-def linked(inter: str = "inter", total: str = "total") -> Column:
-    return 100 * F.col(inter) >= LINK * F.col(total)
+
+def pairs_by_differences(held: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may link, of members held against the same lead and not both linked to it.
+
+    ``held`` has lead, rep, n (set size), diff and ok (linked). With D the differences from the lead,
+    x and y link only if |Dx & Dy| >= T = (|Dx| + |Dy| - (|x| + |y|) / 7) / 2, so they share one among
+    the first |D| - T + 1 of each D. Whatever the partner, T is at least 3/7 of |D| (one of the two
+    is not linked to the lead) and at least |D| - n / 3 (no set exceeds 4/3 of a linked one).
+    """
+    size = F.size("diff")
+    least = F.greatest(F.ceil(size * 3 / 7), F.ceil(size - F.col("n") / 3 - 1e-6)).cast("int")
+    prefix = F.slice("diff", F.lit(1), size - least + 1)
+    rows = held.where(size > 0).select("lead", "rep", "n", "ok", size.alias("d"), F.posexplode(prefix).alias("pos", "token"))
+    other = rows.select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
+    shared = 2 * F.least(F.col("d") - F.col("pos"), F.col("o_d") - F.col("o_pos")) >= F.col("d") + F.col("o_d") - (F.col("n") + F.col("o_n")) / 7 - 1e-6
+    sizes = 4 * F.least("n", "o_n") >= 3 * F.greatest("n", "o_n")
+    on = (F.col("lead") == F.col("o_lead")) & (F.col("token") == F.col("o_token")) & (F.col("rep") < F.col("o_rep")) & ~(F.col("ok") & F.col("o_ok")) & sizes & shared
+    return rows.join(other, on).select(F.col("rep").alias("a"), F.col("o_rep").alias("b")).distinct()
 
 
 def confirmed_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): links between the nodes (rep, bands) that share a bucket, each confirmed on full sets."""
     buckets = nodes.select("rep", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "lead")
-    members = materialise(buckets.join(shared, F.col("key") == F.col("k")).select("key", "rep", "lead"), "bucket-members")
+    shared = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "lead", "n")
+    members = materialise(buckets.join(shared, F.col("key") == F.col("k")).select("key", "rep", "lead", "n"), "bucket-members")
     sets = materialise(full_sets(docs, members.select(F.col("rep").alias("id")).distinct()), "shingle-sets")
 
-    found: list[DataFrame] = []
-    held = members.where("rep <> lead")
-    rest, first = members, True
-    while True:
-        against = materialise(verify(held.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), sets), "verified")
-        found.append(against.where(linked()).select("a", "b"))
-        known = held.join(against, (F.col("lead") == F.col("a")) & (F.col("rep") == F.col("b"))).select("key", "lead", "rep", (1 - F.col("inter") / F.col("total")).alias("d"), linked().alias("ok"))
-        known = materialise(known, "distances")
-        # Settled members against those that are near their leading member without a link to it.
-        x = known.where("ok").select(F.col("key").alias("kx"), F.col("lead").alias("lx"), F.col("rep").alias("x"), F.col("d").alias("dx"))
-        y = known.where("NOT ok").select("key", "lead", F.col("rep").alias("y"), F.col("d").alias("dy"))
-        across = y.join(x, (F.col("key") == F.col("kx")) & (F.col("lead") == F.col("lx")) & (F.col("dx") + 1 - LINK / 100 + 1e-9 >= F.col("dy")))
-        across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
-        if x.limit(1).count() and y.limit(1).count():
-            checked = materialise(verify(across, sets).where(linked()), "verified-across")
-            found.append(checked.select("a", "b"))
-        # What neither leads nor is settled goes on.
-        done = known.where("ok").select("key", "rep").union(held.select("key", F.col("lead").alias("rep")) if not first else members.select("key", F.col("lead").alias("rep"))).distinct()
-        rest = rest.join(done.select(F.col("key").alias("kd"), F.col("rep").alias("rd")), (F.col("key") == F.col("kd")) & (F.col("rep") == F.col("rd")), "left_anti").select("key", "rep")
-        several = rest.groupBy("key").count().where("count > 1").select(F.col("key").alias("ks"))
-        rest = materialise(rest.join(several, F.col("key") == F.col("ks"), "left_semi"), "bucket-rest")
-        if not rest.limit(1).count():
-            break
-        leads = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("rank") <= LEADS).select(F.col("key").alias("kl"), F.col("rep").alias("lead"))
-        held = materialise(rest.join(leads, (F.col("key") == F.col("kl")) & (F.col("rep") > F.col("lead"))).select("key", "rep", "lead"), "held-against")
-        first = False
-    links = found[0]
-    for more in found[1:]:
-        links = links.union(more)
-    return links.distinct()
+    small = members.where(F.col("n") <= SMALL)
+    other = (F.broadcast(small) if members.count() <= BROADCAST_IDS else small).select(F.col("key").alias("k"), F.col("rep").alias("b"))
+    pairs = small.join(other, (F.col("key") == F.col("k")) & (F.col("rep") < F.col("b"))).select(F.col("rep").alias("a"), "b")
+    held = members.where((F.col("n") > SMALL) & (F.col("rep") > F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    held = verify(materialise(held, "held-against-lead"), sets, differences=True).select(F.col("a").alias("lead"), F.col("b").alias("rep"), F.col("nb").alias("n"), "diff", linked().alias("ok"))
+    held = materialise(held, "differences")
+    pairs = materialise(pairs.union(pairs_by_differences(held)).distinct(), "pairs")
+    found = verify(pairs, sets).where(linked()).select("a", "b")
+    return found.union(held.where("ok").select(F.col("lead").alias("a"), F.col("rep").alias("b"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,22 +239,24 @@ def components(links: DataFrame) -> DataFrame:
     is no group of its own anywhere.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    state = None
     while True:
+        few = edges.count() <= BROADCAST_IDS
+        sized = F.broadcast if few else (lambda df: df)
         # Large-star: over all neighbours; the larger ones move to the least.
         near = edges.union(edges.select("v", "u"))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = near.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = near.join(sized(least), F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "large-star")
         # Small-star: over smaller neighbours; they and the node move to the least.
         small_least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        moved = large.join(small_least, F.col("u") == F.col("c"))
-        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small_least.select("c", "m")).distinct()
+        moved = large.join(sized(small_least), F.col("u") == F.col("c"))
+        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(moved.select("u", "m")).distinct()
         edges = materialise(small, "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).groupBy("node").agg(F.min("component").alias("component"))
-        state = now
+        # Done when no node is both a center and an end, and every end has one center.
+        centers = edges.select(F.col("v").alias("c"))
+        both = edges.join(sized(centers), F.col("u") == F.col("c"), "left_semi").limit(1).count()
+        if not both and edges.select("u").distinct().count() == edges.count():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
