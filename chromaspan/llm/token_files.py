@@ -133,8 +133,10 @@ class ChunkEncoder:
     that Python and the library may class differently, with a NUL or an added token are passed whole.
     """
 
-    chunk = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s.,;:!?]|\Z)|[.,;:!?]+(?=\s|\Z)|\s*\S+|\s+")
-    def __init__(self, path: str, most: int = 400_000):
+    chunk = re.compile(r"\s?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\s.,;:!?])|[.,;:!?]++(?!\S)|\s*+\S++|\s++")
+    simple = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+    def __init__(self, path: str, most: int = 450_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -143,13 +145,24 @@ class ChunkEncoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.most, self.known = most, {}
-        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
-        self.unsure = re.compile("|".join(["[\x00\x1c-\x1f\x85\u180e\u200b\ufeff]", *added]))
+        # The chunks of late and those before them; the latter go when the former are many.
+        self.most, self.known, self.older = most, {}, {}
+        self.unsure = [*"\x00\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff", *(t.content for t in self.model.get_added_tokens_decoder().values())]
         nul = self.model.encode("\x00", add_special_tokens=False).ids
         # Only a vocabulary in which NUL is a token of its own, and part of no other, can be asked for many chunks at once.
         byte = self.model.id_to_token(nul[0]) if len(nul) == 1 else None
         self.nul = nul[0] if byte and sum(byte in t for t in self.model.get_vocab()) == 1 else None
+        # A byte-level vocabulary writes visible Latin-1 characters as they are and other bytes as characters from 256 on.
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
+        probe = ["a", " the", " Äpfel", " señor", "ÉTÉ", " ÿ", " àé"]
+        self.direct = [self.word(c) for c in probe] == [self.whole(c) for c in probe]
+
+    def word(self, chunk: str) -> bytes:
+        """Ids of letters with at most one space before them: the library's merges without its splitting."""
+        written = chunk.replace(" ", "\u0120") if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.model.tokenize(written)]
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -173,10 +186,18 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        cut = [None if self.unsure.search(text) else self.chunk.findall(text) for text in texts]
-        new = [c for c in set(chain.from_iterable(c for c in cut if c)) if c not in known]
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        cut = [None if any(u in text for u in self.unsure) else self.chunk.findall(text) for text in texts]
+        new = []
+        for c in set(chain.from_iterable(c for c in cut if c)):
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                elif self.direct and self.simple.fullmatch(c):
+                    known[c] = self.word(c)
+                else:
+                    new.append(c)
         # White space and apostrophes are split by what stands beside them, so these never meet a NUL.
         alone = [c for c in new if c[0] == "'" or c.isspace()]
         known.update((c, self.whole(c)) for c in alone)
@@ -191,7 +212,7 @@ def encoder_for(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def small_lists(values: list, most: int = 1 << 20) -> Iterator[list]:
+def small_lists(values: list, most: int = 3 << 20) -> Iterator[list]:
     """Runs of texts of about ``most`` characters; a longer one stands alone."""
     held, size = [], 0
     for v in values:
