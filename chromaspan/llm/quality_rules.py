@@ -128,3 +128,41 @@ def judge(docs: DataFrame, spread: float = 4.0, min_rows: int = MIN_ROWS) -> Dat
 
 def op7_quality_rules(docs: DataFrame) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+def _fence_sql(name: str, by: str) -> str:
+    """The fences of one way of grouping, as two common table expressions."""
+    keys = f"{by}, " if by else ""
+    return f"""{name}_h AS (SELECT {keys}k, bucket, count(*) AS n FROM r GROUP BY {keys}k, bucket),
+{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {keys}k ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY {keys}k) AS total FROM {name}_h),
+{name} AS (SELECT {keys}k, rows, greatest(q50 + 4.0 * (q90 - q50), CASE k {" ".join(f"WHEN '{k}' THEN {v}" for k, v in RATIOS.items())} END) AS high, q50 - 4.0 * (q50 - q10) AS low FROM (
+  SELECT {keys}k, max(total) AS rows, min(CASE WHEN run >= ceil(total * 0.1) THEN power(1.02, bucket) END) AS q10, min(CASE WHEN run >= ceil(total * 0.5) THEN power(1.02, bucket) END) AS q50, min(CASE WHEN run >= ceil(total * 0.9) THEN power(1.02, bucket) END) AS q90
+  FROM {name}_r GROUP BY {keys}k))"""
+
+
+#: DuckDB SQL for op7: the same counts, histograms and fences.
+OP7_SQL = rf"""
+WITH t AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), win AS (SELECT doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)
+), twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), cov AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c, 0) AS n_repeat_words FROM t LEFT JOIN cov USING (doc_id)
+), r AS (
+  SELECT doc_id, lang, source, k, v, CAST(ceil(ln(greatest(v, 1e-6)) / ln(1.02)) AS INTEGER) AS bucket FROM (
+    SELECT doc_id, lang, source, 'symbol_ratio' AS k, n_symbols / n_words AS v FROM m WHERE n_words > 0 UNION ALL SELECT doc_id, lang, source, 'dup_line_ratio', n_dup_lines / n_lines FROM m WHERE n_lines > 0
+    UNION ALL SELECT doc_id, lang, source, 'repeat_ratio', n_repeat_words / n_words FROM m WHERE n_words > 0 UNION ALL SELECT doc_id, lang, source, 'mean_word', word_chars / n_words FROM m WHERE n_words > 0)
+), {_fence_sql("own", "lang, source")}, {_fence_sql("wider", "lang")}, {_fence_sql("widest", "")},
+f AS (
+  SELECT r.doc_id, r.k FROM r JOIN own o ON r.lang IS NOT DISTINCT FROM o.lang AND r.source IS NOT DISTINCT FROM o.source AND r.k = o.k
+    JOIN wider l ON r.lang IS NOT DISTINCT FROM l.lang AND r.k = l.k JOIN widest a ON r.k = a.k
+  WHERE v > CASE WHEN o.rows >= 100 THEN o.high WHEN l.rows >= 100 THEN l.high ELSE a.high END * 1.02
+    OR r.k = 'mean_word' AND v < CASE WHEN o.rows >= 100 THEN o.low WHEN l.rows >= 100 THEN l.low ELSE a.low END / 1.02
+), g AS (SELECT doc_id, string_agg(k, ',' ORDER BY CASE k {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(RATIOS))} END) AS failed_rules FROM f GROUP BY doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND failed_rules IS NULL AS kept, coalesce(failed_rules, '') AS failed_rules
+FROM m LEFT JOIN g USING (doc_id)
+"""

@@ -86,6 +86,16 @@ def test_quality_counts(spark):
     assert quality_rules.op7_quality_rules(cases.empty(spark)).count() == 0
 
 
+def test_quality_equals_sql(spark):
+    docs = cases.sf_documents(spark)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{cases.SF}/documents.parquet'")
+    cur = con.execute(quality_rules.OP7_SQL)
+    names = [c[0] for c in cur.description]
+    theirs = {r["doc_id"]: r for r in (dict(zip(names, row, strict=True)) for row in cur.fetchall())}
+    assert {k: r.asDict() for k, r in cases.by_id(quality_rules.op7_quality_rules(docs)).items()} == theirs
+
+
 def test_quality_sketches_merge(spark):
     rows = quality_rules.measures(cases.sf_documents(spark))
     halves = [quality_rules.sketches(rows.where(F.pmod("doc_id", F.lit(2)) == i)) for i in (0, 1)]
