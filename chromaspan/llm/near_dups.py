@@ -204,6 +204,7 @@ def pairs_by_differences(held: DataFrame) -> DataFrame:
     |D| - n / 3 (no set exceeds 4/3 of a linked one).
     """
     mixed = held.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("lead").alias("l"))
+    mixed = bounded(materialise(mixed, "leads-of-several"))
     held = held.join(mixed, F.col("lead") == F.col("l"), "left_semi")
     each = held.select("lead", "rep", "n", "component", F.size("diff").alias("d"), F.explode("diff").alias("token"))
     often = each.groupBy("lead", "token").agg(F.count("*").alias("uses")).where("uses > 1").select(F.col("lead").alias("l"), F.col("token").alias("t"), "uses")
@@ -302,3 +303,18 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def op4_near_dups(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)
+
+
+#: DuckDB SQL for op4: all pairs that share a shingle, and the closure of the links.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], chr(10)) AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT w.doc_id, count(sh) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT e.b, reach.r FROM reach JOIN e ON reach.doc_id = e.a
+), c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""

@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.OP1_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+    return {"op1_decontamination": decontamination.OP1_SQL, "op4_near_dups": near_dups.OP4_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
