@@ -23,7 +23,7 @@ MAX_LANGUAGES = 400
 PENALTY = 1.5
 UNKNOWN = "und"
 #: Bytes of text that are taken through the arrays at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def _letters():

@@ -65,7 +65,7 @@ def shingles(text: bytes | None):
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 300_000:
+    if len(_words) > 150_000:
         _words.clear()
     w = np.array(list(map(_words.__getitem__, words)), np.uint64)
     size = min(SHINGLE, len(w))
@@ -129,17 +129,20 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "k1", "k2", "bands"],
             )
 
-        for batch in batches:
-            doc_ids, sets, size = [], [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                doc_ids.append(doc_id)
-                sets.append(shingles(text))
-                size += len(text or b"")
-                if size >= _SLICE:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                doc_ids, sets, size = [], [], 0
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                    doc_ids.append(doc_id)
+                    sets.append(shingles(text))
+                    size += len(text or b"")
+                    if size >= _SLICE:
+                        yield out(doc_ids, sets)
+                        doc_ids, sets, size = [], [], 0
+                if sets:
                     yield out(doc_ids, sets)
-                    doc_ids, sets, size = [], [], 0
-            if sets:
-                yield out(doc_ids, sets)
+        _words.clear()  # the worker process goes on to other stages
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
@@ -168,6 +171,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["id", "set"])
+        _words.clear()
 
     return keep_ids(docs.select("doc_id", "text"), ids, "left_semi").mapInArrow(run, "id long, set array<long>")
 

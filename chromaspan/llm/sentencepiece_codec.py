@@ -265,6 +265,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "ids", "n_tokens", "ids_crc32", "round_trip"])
+        codec.older = {}  # the worker process goes on to other stages
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")
 
