@@ -201,29 +201,40 @@ def linked() -> Column:
 def pairs_by_differences(held: DataFrame) -> DataFrame:
     """Pairs (a, b) that may link, of members held against the same lead that are in different components so far.
 
-    ``held`` has lead, rep, n (set size), diff and component. With D the differences from the lead, x
-    and y link only if |Dx & Dy| >= T = (|Dx| + |Dy| - (|x| + |y|) / 7) / 2, so they share one among
-    the first |D| - T + 1 of each D in any common order; here rare differences come first. Whatever
-    the partner, T is at least 3/7 of |D| (one of the two is not linked to the lead) and at least
-    |D| - n / 3 (no set exceeds 4/3 of a linked one).
+    ``held`` has lead, lead_n (its set size), rep, n (set size), diff, ok (linked to the lead) and
+    component. With D the differences from the lead, x and y link only if |Dx & Dy| >= T =
+    (|Dx| + |Dy| - (|x| + |y|) / 7) / 2, so they share one among the first |D| - T + 1 of each D in any
+    common order; here rare differences come first. Whatever the partner, T is at least |Dx| - |x| / 3
+    (no set exceeds 4/3 of a linked one) and (7 |Dx| - |x| - |lead|) / 8 (|y| is at most |lead| + |Dy|).
+    It is over (7 |Dx| + |lead| - |x|) / 14, 3/7 of |Dx| or more, only if y is not linked to the lead:
+    7 |Dy| > |y| + |lead|. Two that are linked to it need no pair, so for a linked x that is always so;
+    an x that is not linked goes deeper into its differences for linked partners than for others.
     """
     mixed = held.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("lead").alias("l"))
     mixed = bounded(materialise(mixed, "leads-of-several"))
     held = held.join(mixed, F.col("lead") == F.col("l"), "left_semi")
-    each = held.select("lead", "rep", "n", "component", F.size("diff").alias("d"), F.explode("diff").alias("token"))
+    own = ["lead", "lead_n", "rep", "n", "ok", "component", "d"]
+    each = held.withColumn("d", F.size("diff")).select(*own, F.explode("diff").alias("token"))
     often = each.groupBy("lead", "token").agg(F.count("*").alias("uses")).where("uses > 1").select(F.col("lead").alias("l"), F.col("token").alias("t"), "uses")
     shared = each.join(often, (F.col("lead") == F.col("l")) & (F.col("token") == F.col("t")))
     # Differences that nobody shares come first and match nothing, so only their number counts.
-    listed = shared.groupBy("lead", "rep", "n", "component", "d").agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("ts"))
-    rows = listed.select("lead", "rep", "n", "component", "d", F.size("ts").alias("many"), F.posexplode("ts").alias("i", "x"))
-    least = F.greatest(F.ceil(F.col("d") * 3 / 7), F.ceil(F.col("d") - F.col("n") / 3 - 1e-6))
-    rows = rows.select("lead", "rep", "n", "component", "d", F.col("x.token").alias("token"), (F.col("d") - F.col("many") + F.col("i")).alias("pos"), least.alias("least"))
-    rows = rows.where(F.col("pos") <= F.col("d") - F.col("least")).drop("least")
-    other = rows.select(*[F.col(c).alias(f"o_{c}") for c in rows.columns])
-    overlap = 2 * F.least(F.col("d") - F.col("pos"), F.col("o_d") - F.col("o_pos")) >= F.col("d") + F.col("o_d") - (F.col("n") + F.col("o_n")) / 7 - 1e-6
+    listed = shared.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("ts"))
+    rows = listed.select(*own, F.size("ts").alias("many"), F.posexplode("ts").alias("i", "x"))
+    d, n, lead_n = F.col("d"), F.col("n"), F.col("lead_n")
+    least = F.greatest(F.lit(1), d - F.floor(n / 3), F.ceil((7 * d - n - lead_n) / 8))
+    least_far = F.greatest(least, F.floor((7 * d + lead_n - n) / 14) + 1)
+    rows = rows.select("lead", "rep", "n", "ok", "component", "d", F.col("x.token").alias("token"), (d - F.col("many") + F.col("i")).alias("pos"), least.alias("least"), least_far.alias("least_far"))
+    # Each row may go with one that is not linked to the lead ("first"), or only with linked ones.
+    rows = rows.withColumn("first", F.col("pos") <= d - F.col("least_far")).where(F.col("first") | (~F.col("ok") & (F.col("pos") <= d - F.col("least")))).drop("least", "least_far")
+    far, near = rows.where("NOT ok"), rows.where("ok")
+    overlap = 14 * F.least(d - F.col("pos"), F.col("o_d") - F.col("o_pos")) >= 7 * (d + F.col("o_d")) - (n + F.col("o_n"))
     sizes = 4 * F.least("n", "o_n") >= 3 * F.greatest("n", "o_n")
-    on = (F.col("lead") == F.col("o_lead")) & (F.col("token") == F.col("o_token")) & (F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")) & sizes & overlap
-    return rows.join(other, on).select(F.col("rep").alias("a"), F.col("o_rep").alias("b")).distinct()
+    on = (F.col("lead") == F.col("o_lead")) & (F.col("token") == F.col("o_token")) & (F.col("component") != F.col("o_component")) & sizes & overlap
+
+    def joined(x: DataFrame, y: DataFrame, also: Column) -> DataFrame:
+        return x.join(y.select(*[F.col(c).alias(f"o_{c}") for c in y.columns]), on & also).select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b"))
+
+    return joined(far.where("first"), far.where("first"), F.col("rep") < F.col("o_rep")).union(joined(far, near, F.lit(True))).distinct()
 
 
 def confirmed_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -237,12 +248,12 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     other = (F.broadcast(small) if members.count() <= BROADCAST_IDS else small).select(F.col("key").alias("k"), F.col("rep").alias("b"))
     pairs = small.join(other, (F.col("key") == F.col("k")) & (F.col("rep") < F.col("b"))).select(F.col("rep").alias("a"), "b").distinct()
     held = members.where((F.col("n") > SMALL) & (F.col("rep") > F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    held = verify(materialise(held, "held-against-lead"), sets, differences=True).select(F.col("a").alias("lead"), F.col("b").alias("rep"), F.col("nb").alias("n"), "diff", linked().alias("ok"))
+    held = verify(materialise(held, "held-against-lead"), sets, differences=True).select(F.col("a").alias("lead"), (F.col("total") + F.col("inter") - F.col("nb")).alias("lead_n"), F.col("b").alias("rep"), F.col("nb").alias("n"), "diff", linked().alias("ok"))
     held = materialise(held, "differences")
     found = verify(materialise(pairs, "pairs"), sets).where(linked()).select("a", "b").union(held.where("ok").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
     found = materialise(found.distinct(), "links-so-far")
     so_far = bounded(materialise(components(found), "components-so-far"))
-    labelled = held.join(so_far, F.col("rep") == F.col("node"), "left").select("lead", "rep", "n", "diff", F.coalesce("component", "rep").alias("component"))
+    labelled = held.join(so_far, F.col("rep") == F.col("node"), "left").select("lead", "lead_n", "rep", "n", "diff", "ok", F.coalesce("component", "rep").alias("component"))
     more = materialise(pairs_by_differences(labelled), "pairs-by-differences")
     return found.union(verify(more, sets).where(linked()).select("a", "b")).distinct()
 

@@ -58,6 +58,56 @@ def test_near_dups_large_buckets(spark):
     check(spark, texts)
 
 
+def test_near_dups_linked_by_the_base_only(spark):
+    """Long texts: light edits of a base lead all buckets, and far copies link to the base but to none of these."""
+    word = lambda k: f"new{k}"
+    base = [f"w{k}" for k in range(104)]
+
+    def edited(*places):
+        w = list(base)
+        for k in places:
+            w[k] = word((places, k))
+        return " ".join(w)
+
+    near = [5 + 6 * k for k in range(8)]
+    texts = {k: edited(place) for k, place in enumerate(near * 3)}
+    texts = {k: t.replace("new", f"new{k}x") for k, t in texts.items()}
+    texts[100] = " ".join(base)
+    far = [(58, 70), (58, 82), (58, 94), (64, 76), (64, 88), (70, 82), (70, 94), (76, 88)]
+    texts |= {200 + k: edited(*places) for k, places in enumerate(far)}
+    sets = {i: cases.shingle_set(t) for i, t in texts.items()}
+    link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    assert all(link(100, i) and not any(link(k, i) for k in range(len(near) * 3)) for i in range(200, 200 + len(far)))
+    ids = {s: k for k, s in enumerate(sorted(set().union(*sets.values())))}
+    rows = [(0, len(sets[0]), i, len(s), sorted(ids[x] for x in s ^ sets[0]), link(0, i), 0 if link(0, i) else i) for i, s in sets.items() if i]
+    held = spark.createDataFrame(rows, "lead long, lead_n long, rep long, n long, diff array<long>, ok boolean, component long")
+    pairs = {(r["a"], r["b"]) for r in near_dups.pairs_by_differences(held).collect()}
+    components = {r[2]: r[6] for r in rows}
+    assert pairs >= {(a, b) for a in components for b in components if a < b and link(a, b) and components[a] != components[b]}
+    check(spark, texts)
+
+
+def test_near_dups_prefix_bounds(spark):
+    """Members of all sizes and distances around a lead, each linked pair of different components is made."""
+    rnd = random.Random(11)
+    for size in (20, 60, 150):
+        lead = frozenset(range(size))
+        sets = {}
+        for i in range(1, 120):
+            core = sets[rnd.choice(list(sets))] if sets and rnd.random() < 0.6 else lead
+            drop, add = (rnd.randrange(0, max(2, size // rnd.choice([4, 8, 16]))) for _ in range(2))
+            s = set(core) - set(rnd.sample(sorted(core), min(drop, len(core) - 1))) | {rnd.randrange(size, 3 * size) for _ in range(add)}
+            if s != lead:
+                sets[i] = s
+        link = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+        rows = [(0, size, i, len(s), sorted(s ^ lead), link(lead, s), 0 if link(lead, s) else i) for i, s in sets.items()]
+        held = spark.createDataFrame(rows, "lead long, lead_n long, rep long, n long, diff array<long>, ok boolean, component long")
+        pairs = {(r["a"], r["b"]) for r in near_dups.pairs_by_differences(held).collect()}
+        component = {r[2]: r[6] for r in rows}
+        want = {(a, b) for a in sets for b in sets if a < b and link(sets[a], sets[b]) and component[a] != component[b]}
+        assert want and pairs >= want
+
+
 def test_near_dups_edges(spark):
     docs = cases.documents(spark)
     out = near_dups.op4_near_dups(docs)
