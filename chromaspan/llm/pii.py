@@ -38,7 +38,7 @@ MORE = {
 MORE_GATE = {"local_phone": r"[0-9]{3}\)?[\x20.-][0-9]{3}", "spelled_email": r"(?i)[\[(]at[\])]", "national_id": r"[0-9]-[0-9]{2}-[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "name": r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame)\.?\x20"}
 KINDS = [*BASE, *MORE]
 #: Parts of an address up to 255.
-_OCTETS = r"^0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
+_OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 #: Gazetteers: top-level domains, country calling codes, card issuers' first digits, country codes, first names.
 TOP_LEVEL = ["com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "uk", "it", "nl", "eu", "us", "ca", "ch", "at", "be", "pl", "mx", "ar", "br", "jp", "cn", "in", "au"]
 CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"

@@ -53,6 +53,18 @@ def test_pii_base(spark):
     assert pii.op2_pii(cases.empty(spark)).count() == 0
 
 
+def test_pii_zero_parts(spark):
+    """Addresses with parts that are all zeros, and parts that go over 255 behind zeros."""
+    texts = ["0.0.0.0", "ip 0.1.2.3 and 00.1.1.1", "000.00.0.0000", "0.256.1.1 0256.1.1.1 0255.0.0.1", "1.0.0.0", "00.", "0" * 20_000 + ".1.2.3"]
+    rows = pii.op2_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        want = base_spans(texts[r["doc_id"]].replace("0" * 19_000, "")) if r["doc_id"] == 6 else base_spans(texts[r["doc_id"]])
+        assert r["n_ip"] == sum(x[2] == "ip" for x in want)
+        if r["doc_id"] != 6:
+            assert r["base_sha256"] == cases.sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in want))
+    assert {r["doc_id"]: r["n_ip"] for r in rows} == {0: 1, 1: 2, 2: 1, 3: 1, 4: 1, 5: 0, 6: 1}
+
+
 def test_pii_redact(spark):
     docs = spark.createDataFrame([(1, "é write to a@b.com now", 3), (2, None, 4)], "doc_id long, text string, spans int")
     out = cases.by_id(pii.redact(docs))
