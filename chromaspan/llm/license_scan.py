@@ -78,10 +78,16 @@ class NoticeFinder:
                     mine.append([low, high])
         found = []
         for number, mine in windows.items():
-            _, label, _, pattern = self.notices[number]
+            notice, label, k, pattern = self.notices[number]
             for low, high in mine:
-                for m in pattern.finditer(text, max(0, low), min(len(text), high)):
-                    found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                # The best match of a window may stand behind worse ones: what lies before it is searched again.
+                parts = [(max(0, low), min(len(text), high))]
+                while parts:
+                    a, b = parts.pop()
+                    m = pattern.search(text, a, b) if b - a >= len(notice) - k else None
+                    if m:
+                        found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+                        parts += [(a, m.start()), (m.end(), b)]
         return sorted(found)
 
 

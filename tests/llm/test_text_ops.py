@@ -90,6 +90,16 @@ def test_license_base_and_fuzzy(spark):
     assert license_scan.op3_license_scan(cases.empty(spark)).count() == 0
 
 
+def test_license_neighbouring_copies():
+    """Copies of one notice next to each other are all found, whichever of them is the best match."""
+    finder = license_scan.NoticeFinder({"licensed under the mit license": "mit"})
+    good, bad = "licensed under the mit license", "licensed under the mit licence"
+    for copies in ([bad, good], [good, bad], [bad, bad, good, bad], [bad, good, bad, good], [bad] * 5 + [good]):
+        found = finder.find(" ".join(copies))
+        assert [x[3] for x in found] == [int(c == bad) for c in copies]
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_license_seeds_lose_nothing():
     import regex
 
