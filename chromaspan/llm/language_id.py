@@ -16,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, slices
+
 BINS = 1 << 15
 #: Each language takes BINS * 4 bytes of the broadcast model.
 MAX_LANGUAGES = 400
 #: Overlapping trigrams repeat each character three times, so the penalty of a language is three times that of BIC.
 PENALTY = 1.5
 UNKNOWN = "und"
-#: Bytes of text that are taken through the arrays at once.
-SLICE = 1 << 20
+#: What a prediction holds: the language, its proportion, and the selected set with its proportions.
+PREDICTION = "lang_pred string, score double, languages string"
 
 
 def _letters():
@@ -56,18 +58,6 @@ def trigrams(texts: list[bytes], table):
     return bins.astype(np.int64), np.bincount(owner[1:-1][inside], minlength=len(texts))
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about SLICE bytes; a longer text stands alone."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > SLICE:
-            yield first, i
-            first, size = i, 0
-        size += len(t)
-    if texts:
-        yield first, len(texts)
-
-
 def train(labelled: DataFrame) -> tuple[list[str], object]:
     """Languages and their log-probabilities (languages x BINS) from (lang, text), nulls left out.
 
@@ -78,11 +68,9 @@ def train(labelled: DataFrame) -> tuple[list[str], object]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, counts = _letters(), {}
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for a, b in slices(texts):
-                by: dict[str, list[bytes]] = {}
-                for lang, text in zip(langs[a:b], texts[a:b], strict=True):
+            for a, b in slices(batch.column("text")):
+                part, by = batch.slice(a, b - a), {}
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                     by.setdefault(lang, []).append(text)
                 for lang, own in by.items():
                     got = np.bincount(trigrams(own, table)[0], minlength=BINS)
@@ -151,43 +139,52 @@ def infer(bins, logp):
     return out
 
 
+def prediction(docs: DataFrame, languages: list[str], logp) -> Column:
+    """A PREDICTION struct from the column ``text`` of ``docs``; only texts go to Python, and only predictions come back."""
+    model = docs.sparkSession.sparkContext.broadcast((languages, logp))
+
+    def predict(texts: pa.Array) -> pa.Array:
+        import numpy as np
+
+        (names, logp), table = model.value, _letters()
+        pred, score, sets = [], [], []
+        for a, b in slices(texts):
+            strings = texts.slice(a, b - a).to_pylist()
+            bins, sizes = trigrams([t.encode() if t else b"" for t in strings], table)
+            for text, end, size in zip(strings, np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+                if not size or not len(names) or not any(map(str.isalpha, text)):
+                    pred.append(UNKNOWN), score.append(0.0), sets.append("")
+                    continue
+                pi = infer(bins[end - size : end], logp)
+                k = int(np.argmax(pi))
+                pred.append(names[k]), score.append(min(1.0, float(pi[k])))
+                sets.append(",".join(f"{names[j]}:{pi[j]:.3f}" for j in np.argsort(-pi) if pi[j] > 0))
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], ["lang_pred", "score", "languages"])
+
+    # Marked as not deterministic, it is computed once, wherever its fields are used.
+    return F.arrow_udf(predict, PREDICTION).asNondeterministic()("text")
+
+
 def identify(docs: DataFrame, languages: list[str], logp) -> DataFrame:
     """All rows and columns of ``docs`` plus ``lang_pred``, ``score`` (proportion of that language)
     and ``languages`` (the selected set with its proportions).
 
     Only the text decides. A text that is null or has no letter gives ``und`` with score 0, as does
-    every text without a learned language. Whole texts count. Repeated rows come out alike; an empty
-    table gives an empty result; columns named like the new ones are replaced.
+    every text without a learned language. Of languages that are equally likely the first by name
+    counts. Whole texts count, however long; a very long one is taken through the arrays alone.
+    Repeated rows come out alike; an empty table gives an empty result; columns named like the new
+    ones are replaced.
     """
     docs = docs.drop("lang_pred", "score", "languages")
-    columns = docs.columns
-    model = docs.sparkSession.sparkContext.broadcast((languages, logp))
+    (found,) = fresh(docs, "found")
+    return docs.withColumn(found, prediction(docs, languages, logp)).select(*[docs[f"`{c}`"] for c in docs.columns], f"{found}.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
 
-        names, table = model.value[0], _letters()
-        logp = model.value[1]
-        for batch in batches:
-            strings = batch.column("text").to_pylist()
-            texts = [t.encode() if t else b"" for t in strings]
-            pred, score, sets = [], [], []
-            for a, b in slices(texts):
-                bins, sizes = trigrams(texts[a:b], table)
-                ends = np.cumsum(sizes)
-                for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True), a):
-                    if not size or not len(names) or not any(map(str.isalpha, strings[i])):
-                        pred.append(UNKNOWN), score.append(0.0), sets.append("")
-                        continue
-                    pi = infer(bins[end - size : end], logp)
-                    k = int(np.argmax(pi))
-                    pred.append(names[k]), score.append(min(1.0, float(pi[k])))
-                    sets.append(",".join(f"{names[j]}:{pi[j]:.3f}" for j in np.argsort(-pi) if pi[j] > 0))
-            new = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*columns, "lang_pred", "score", "languages"])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", lang_pred string, score double, languages string"
-    return docs.mapInArrow(run, schema)
+def keep_languages(docs: DataFrame, languages: list[str], logp, least: float) -> DataFrame:
+    """Rows of ``docs`` whose language has at least ``least`` of the text, with that language in ``lang``; other columns stay as they are."""
+    (found,) = fresh(docs, "found")
+    kept = docs.withColumn(found, prediction(docs, languages, logp)).where((F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= least))
+    return kept.select(*[F.col(f"{found}.lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def held_out(doc_id: Column) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch
+from .common import fresh, materialise, scratch, slices
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: What bytes.strip() takes off: the ASCII white space of the line rule.
@@ -39,11 +39,12 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
         for batch in batches:
             at, digests = [], []
-            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                if text and len(text) >= min_chars:
-                    found = {xxhash.xxh3_128_digest(k) for line in text.split(b"\n") if (k := line_key(line, min_chars)) is not None}
-                    at.extend([i] * len(found))
-                    digests.extend(found)
+            for a, b in slices(batch.column("text")):
+                for i, text in enumerate(batch.column("text").slice(a, b - a).cast(pa.binary()).to_pylist(), a):
+                    if text and len(text) >= min_chars:
+                        found = {xxhash.xxh3_128_digest(k) for line in text.split(b"\n") if (k := line_key(line, min_chars)) is not None}
+                        at.extend([i] * len(found))
+                        digests.extend(found)
             halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             rows = batch.select(["doc_id", "row_hash"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], ["doc_id", "row_hash", "h1", "h2"])
@@ -121,41 +122,46 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     A null or empty text is one empty line and comes back as an empty text. Repeated rows count as
     documents of their own and, sharing a doc_id, keep or lose a line together. A null doc_id is
     smaller than any other and never a keeper, unless no holder has a doc_id: then all keep the
-    line. An empty table gives an empty result. Columns named like the new ones are replaced.
+    line. Very long texts are taken whole, one at a time. An empty table gives an empty result.
+    Columns named like the new ones are replaced; others may have any name.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    columns = docs.columns
+    (new,) = fresh(docs, "new")
+    return docs_without_lines(docs, new, min_chars, min_docs, batches).select(*[F.col(f"{new}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], f"{new}.n_lines", f"{new}.n_dropped")
+
+
+def docs_without_lines(docs: DataFrame, name: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 3) -> DataFrame:
+    """All rows and columns of ``docs`` plus ``name``, a struct of text, n_lines and n_dropped as in ``dedup_lines``; only texts go through Python."""
     frequent = materialise(build_runs(docs, batches, min_chars, min_docs).known().where(F.col("keeper").isNotNull()), "frequent-lines")
     f = frequent.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "keeper")
     losing = line_hashes(docs, min_chars).join(f, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    lost = losing.groupBy(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))
-    lost = lost.select("__id", "__hash", F.transform("__lost", lambda x: x["h1"]).alias("__lost1"), F.transform("__lost", lambda x: x["h2"]).alias("__lost2"))
-    marked = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left").drop("__id", "__hash")
+    i, h, h1, h2 = fresh(docs, "id_", "hash_", "lost1_", "lost2_")
+    lost = losing.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("h1", "h2")).alias("l"))
+    lost = lost.select(F.col("doc_id").alias(i), F.col("row_hash").alias(h), F.transform("l", lambda x: x["h1"]).alias(h1), F.transform("l", lambda x: x["h2"]).alias(h2))
+    marked = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rewrite(texts: pa.Array, lost1: pa.Array, lost2: pa.Array) -> pa.Array:
         import struct
 
         import xxhash
 
-        for batch in batches:
-            texts, n_lines, n_dropped = [], [], []
-            lost1, lost2 = batch.column("__lost1").to_pylist(), batch.column("__lost2").to_pylist()
-            for text, one, two in zip(batch.column("text").cast(pa.binary()).to_pylist(), lost1, lost2, strict=True):
-                text = text or b""
-                lines = text.split(b"\n")
-                kept = lines
+        new, n_lines, n_dropped = [], [], []
+        for a, b in slices(texts):
+            rest, part = [], [c.slice(a, b - a) for c in (texts.cast(pa.binary()), lost1, lost2)]
+            for text, one, two in zip(*[c.to_pylist() for c in part], strict=True):
+                lines = kept = (text or b"").split(b"\n")
                 if one:
-                    gone = {struct.pack("<qq", a, b) for a, b in zip(one, two, strict=True)}
+                    gone = {struct.pack("<qq", x, y) for x, y in zip(one, two, strict=True)}
                     kept = [x for x in lines if (k := line_key(x, min_chars)) is None or xxhash.xxh3_128_digest(k) not in gone]
-                texts.append(b"\n".join(kept))
+                rest.append(b"\n".join(kept))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
-            new = {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
-            names = [*columns, "n_lines", "n_dropped"]
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c) if c in batch.schema.names else None) for c in names], names)
+            new.append(pa.array(rest, pa.binary()).cast(pa.string()))
+        text = pa.concat_arrays(new) if new else pa.array([], pa.string())
+        return pa.StructArray.from_arrays([text, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_lines long, n_dropped long"
-    return marked.mapInArrow(run, schema)
+    rewritten = F.arrow_udf(rewrite, "text string, n_lines long, n_dropped long").asNondeterministic()
+    return marked.withColumn(name, rewritten("text", h1, h2)).drop(i, h, h1, h2)
 
 
 def op10_line_dedup(docs: DataFrame) -> DataFrame:

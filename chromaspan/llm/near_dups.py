@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import BROADCAST_BYTES, bounded, fresh, materialise, slices
 
 SHINGLE, BINS, ROWS = 5, 128, 4
 #: Links: 100 * intersection >= LINK * union.
 LINK = 75
-#: Sets of so many ids are broadcast (about 32 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bytes of a row of one or two ids, and of one of a few, in a broadcast table.
+ID_BYTES, ROW_BYTES = 40, 80
+#: Pairs of one lead that meet in a task at most.
+LEAD_PAIRS = 2000
 #: Buckets of up to so many members give all their pairs.
 SMALL = 8
 _SLICE = 2 << 20
@@ -129,33 +131,19 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "k1", "k2", "bands"],
             )
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                doc_ids, sets, size = [], [], 0
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                    doc_ids.append(doc_id)
-                    sets.append(shingles(text))
-                    size += len(text or b"")
-                    if size >= _SLICE:
-                        yield out(doc_ids, sets)
-                        doc_ids, sets, size = [], [], 0
-                if sets:
-                    yield out(doc_ids, sets)
+        for batch in batches:
+            for first, last in slices(batch.column("text"), size=_SLICE):
+                part = batch.slice(first, last - first)
+                yield out(part.column("doc_id").to_pylist(), list(map(shingles, part.column("text").cast(pa.binary()).to_pylist())))
         _words.clear()  # the worker process goes on to other stages
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, a written table, marked for broadcast if it has few rows; else joins with it are shuffle joins."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
-
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of ``docs`` with a table of ids (one column ``id``), which is broadcast if it is small by count."""
-    ids = bounded(ids)
-    return docs.join(ids, docs["doc_id"] == ids["id"], how)
+    """Semi or anti join of ``docs`` with a written table of ids (one column), which is broadcast if it is small."""
+    (i,) = fresh(docs, "id_")
+    return docs.join(bounded(ids.toDF(i), ID_BYTES), F.col("doc_id") == F.col(i), how)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -164,29 +152,31 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                sets = [shingles(t).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        for batch in batches:
+            for first, last in slices(batch.column("text"), size=_SLICE):
+                part = batch.slice(first, last - first)
+                sets = [shingles(t).view(np.int64) for t in part.column("text").cast(pa.binary()).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["id", "set"])
         _words.clear()
 
     return keep_ids(docs.select("doc_id", "text"), ids, "left_semi").mapInArrow(run, "id long, set array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
-    """(a, b, inter, total): intersection and union sizes of pairs on full sets; without ``differences`` only of those that can link by size.
+    """(a, b, inter, total): intersection and union sizes of pairs (a written table) on full sets; without ``differences`` only of those that can link by size.
 
     ``differences`` adds ``nb`` (size of b's set) and ``diff``: b's shingles that a lacks, then a's that b lacks, each sorted.
+    A set goes to each pair it is the ``b`` of; those of one ``a`` are dealt out over copies of its set, one for LEAD_PAIRS of them.
     """
-    # Few pairs are broadcast: then only the sets they need are shuffled, once each side.
-    pairs = bounded(pairs)
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    right = right.join(pairs.select(F.col("b").alias("__b")), F.col("b") == F.col("__b"), "left_semi")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / LEAD_PAIRS).cast("int").alias("salts"))
+    salts = materialise(salts, "salts")
+    left = sets.join(bounded(salts, ROW_BYTES), F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(1), "salts")).alias("salt"), F.col("set").alias("sa"))
+    dealt = pairs.join(bounded(salts, ROW_BYTES).withColumnRenamed("a", "c"), F.col("a") == F.col("c")).select(F.col("a").alias("pa"), "b", (F.pmod(F.xxhash64("b"), "salts") + 1).cast("int").alias("ps"))
+    right = sets.join(F.broadcast(dealt) if pairs.count() * ROW_BYTES <= BROADCAST_BYTES else dealt, F.col("id") == F.col("b")).select("pa", "ps", "b", F.col("set").alias("sb"))
     na, nb = F.size("sa"), F.size("sb")
-    both = left.join(pairs, "a").join(right, "b")
+    both = left.join(right, (F.col("a") == F.col("pa")) & (F.col("salt") == F.col("ps")))
     inter = F.size(F.array_intersect("sa", "sb"))
     if not differences:
         return both.where(100 * F.least(na, nb) >= LINK * F.greatest(na, nb)).select("a", "b", inter.alias("inter"), (na + nb - inter).alias("total"))
@@ -211,7 +201,7 @@ def pairs_by_differences(held: DataFrame) -> DataFrame:
     an x that is not linked goes deeper into its differences for linked partners than for others.
     """
     mixed = held.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("lead").alias("l"))
-    mixed = bounded(materialise(mixed, "leads-of-several"))
+    mixed = bounded(materialise(mixed, "leads-of-several"), ID_BYTES)
     held = held.join(mixed, F.col("lead") == F.col("l"), "left_semi")
     own = ["lead", "lead_n", "rep", "n", "ok", "component", "d"]
     each = held.withColumn("d", F.size("diff")).select(*own, F.explode("diff").alias("token"))
@@ -242,17 +232,17 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     buckets = nodes.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "lead", "n")
     members = materialise(buckets.join(shared, F.col("key") == F.col("k")).select("key", "rep", "lead", "n"), "bucket-members")
-    sets = materialise(full_sets(docs, members.select(F.col("rep").alias("id")).distinct()), "shingle-sets")
+    sets = materialise(full_sets(docs, materialise(members.select("rep").distinct(), "member-ids")), "shingle-sets")
 
     small = members.where(F.col("n") <= SMALL)
-    other = (F.broadcast(small) if members.count() <= BROADCAST_IDS else small).select(F.col("key").alias("k"), F.col("rep").alias("b"))
+    other = bounded(small, ROW_BYTES).select(F.col("key").alias("k"), F.col("rep").alias("b"))
     pairs = small.join(other, (F.col("key") == F.col("k")) & (F.col("rep") < F.col("b"))).select(F.col("rep").alias("a"), "b").distinct()
     held = members.where((F.col("n") > SMALL) & (F.col("rep") > F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     held = verify(materialise(held, "held-against-lead"), sets, differences=True).select(F.col("a").alias("lead"), (F.col("total") + F.col("inter") - F.col("nb")).alias("lead_n"), F.col("b").alias("rep"), F.col("nb").alias("n"), "diff", linked().alias("ok"))
     held = materialise(held, "differences")
     found = verify(materialise(pairs, "pairs"), sets).where(linked()).select("a", "b").union(held.where("ok").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
     found = materialise(found.distinct(), "links-so-far")
-    so_far = bounded(materialise(components(found), "components-so-far"))
+    so_far = bounded(materialise(components(found), "components-so-far"), ID_BYTES)
     labelled = held.join(so_far, F.col("rep") == F.col("node"), "left").select("lead", "lead_n", "rep", "n", "diff", "ok", F.coalesce("component", "rep").alias("component"))
     more = materialise(pairs_by_differences(labelled), "pairs-by-differences")
     return found.union(verify(more, sets).where(linked()).select("a", "b")).distinct()
@@ -267,8 +257,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     while True:
-        few = edges.count() <= BROADCAST_IDS
-        sized = F.broadcast if few else (lambda df: df)
+        sized = F.broadcast if edges.count() * ID_BYTES <= BROADCAST_BYTES else (lambda df: df)
         # Large-star: over all neighbours; the larger ones move to the least.
         near = edges.union(edges.select("v", "u"))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
@@ -290,8 +279,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
     Documents are linked if their shingle sets have a Jaccard similarity of 0.75 or more; the
-    component is the least doc_id that links reach, and its document is kept. Null and empty texts
-    and texts without words have an empty set and stand alone. Rows that share a doc_id are one
+    component is the least doc_id that links reach, and its document is kept. Shingles are compared
+    as 64-bit hashes, so n_shingles is a number of distinct hashes. Null and empty texts
+    and texts without words have an empty set and stand alone. Very long texts are taken whole. Rows that share a doc_id are one
     document. A row without a doc_id can lead no component: it joins that of its text if a
     document has it, and else has a null component and is kept. An empty table gives an empty result.
     """
@@ -311,7 +301,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: that with the least doc_id."""
+    """``docs`` with one document of each group: that with the least doc_id.
+
+    Rows are dropped by doc_id: rows that share one stay or go together, also if their texts differ,
+    and rows without one stay. An empty table stays empty; other columns are passed on.
+    """
     dropped = materialise(near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct(), "dropped")
     return keep_ids(docs, dropped, "left_anti")
 

@@ -54,7 +54,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Codec:
     """Encoder and decoder of one model file (unigram or BPE, identity normalisation)."""
 
-    def __init__(self, model: bytes, most: int = 300_000):
+    def __init__(self, model: bytes, most: int = 100_000):
         self.kind, self.prefix, pieces = UNIGRAM, True, []
         for field, value in _fields(model):
             if field == 1:
@@ -89,6 +89,8 @@ class Codec:
         self.chunk = re.compile(f"{line}{'|' if line else ''}{word}{SPACE}*[^{SPACE}{line}]+|{SPACE}+" if apart else "(?s).+")
         # Ids of the chunks of late and of those before them; the latter go when the former are many.
         self.most, self.known, self.older, self.pairs = most, {}, {}, {}
+        # Commits made before a chunk's end, and the widest stretch of boundaries that was held for one.
+        self.commits = self.widest = 0
 
     # -- encoding -------------------------------------------------------------------------
 
@@ -155,11 +157,14 @@ class Codec:
             width.append(size)
             if end - done >= check:
                 meet = self._meeting(width, end - done)
+                self.commits, self.widest = self.commits + (meet > 0), max(self.widest, end - done)
                 if meet:
                     out += self._back(text, last, width, done, meet)
                     last, width, total = last[meet:], width[meet:], [x - total[meet] for x in total[meet:]]
                     done += meet
-                check = max(2 * longest, 2 * (end - done))
+                # Looked at again a piece's length later; where paths stay apart, as they may in a string that
+                # repeats itself, only after half as much again, so that looking takes no more than the steps.
+                check = end - done + (longest if meet else max(longest, (end - done) // 2))
         return out + self._back(text, last, width, done, len(last) - 1)
 
     def _meeting(self, width: list[int], end: int) -> int:
@@ -187,6 +192,10 @@ class Codec:
                 out.append(self.unknown)
         return out
 
+    def forget(self) -> None:
+        """Drop the older half of what has been learned of texts."""
+        self.older = {}
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers; what came before is looked up."""
         if not text:
@@ -265,7 +274,7 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same)], ["doc_id", "ids", "n_tokens", "ids_crc32", "round_trip"])
-        codec.older = {}  # the worker process goes on to other stages
+        codec.forget()  # the worker process goes on to other stages
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")
 
