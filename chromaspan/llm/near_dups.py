@@ -21,10 +21,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bounded, fresh, materialise, slices
+from .common import bounded, fresh, materialise, slices, small
 
 SHINGLE, BINS, ROWS = 5, 128, 4
 #: Links: 100 * intersection >= LINK * union.
@@ -174,7 +174,7 @@ def verify(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> Data
     salts = materialise(salts, "salts")
     left = sets.join(bounded(salts, ROW_BYTES), F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(1), "salts")).alias("salt"), F.col("set").alias("sa"))
     dealt = pairs.join(bounded(salts, ROW_BYTES).withColumnRenamed("a", "c"), F.col("a") == F.col("c")).select(F.col("a").alias("pa"), "b", (F.pmod(F.xxhash64("b"), "salts") + 1).cast("int").alias("ps"))
-    right = sets.join(F.broadcast(dealt) if pairs.count() * ROW_BYTES <= BROADCAST_BYTES else dealt, F.col("id") == F.col("b")).select("pa", "ps", "b", F.col("set").alias("sb"))
+    right = sets.join(F.broadcast(dealt) if small(pairs.count(), ROW_BYTES) else dealt, F.col("id") == F.col("b")).select("pa", "ps", "b", F.col("set").alias("sb"))
     na, nb = F.size("sa"), F.size("sb")
     both = left.join(right, (F.col("a") == F.col("pa")) & (F.col("salt") == F.col("ps")))
     inter = F.size(F.array_intersect("sa", "sb"))
@@ -188,6 +188,29 @@ def linked() -> Column:
     return 100 * F.col("inter") >= LINK * F.col("total")
 
 
+def of_several_components(held: DataFrame) -> DataFrame:
+    """Rows of ``held`` whose lead's members are in different components: only these may have links yet to be found."""
+    mixed = held.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("lead").alias("l"))
+    return held.join(bounded(materialise(mixed, "leads-of-several"), ID_BYTES), F.col("lead") == F.col("l"), "left_semi")
+
+
+def medoid_pairs(held: DataFrame) -> DataFrame:
+    """(a, b): each group of a lead and its members, with the group's most central one as ``a``.
+
+    The sum of a member's differences from all others is a constant of the group plus the sum, over
+    its differences from the lead, of M - 2 * (members with that difference), so one count by
+    difference and a sum by member give it. The lead itself has no differences and the sum 0.
+    """
+    each = held.select("lead", "rep", F.explode("diff").alias("token"))
+    many = held.groupBy("lead").agg(F.count("*").alias("many")).withColumnRenamed("lead", "m")
+    uses = each.groupBy("lead", "token").agg(F.count("*").alias("uses")).join(many, F.col("lead") == F.col("m")).select(F.col("lead").alias("l"), F.col("token").alias("t"), (F.col("many") - 2 * F.col("uses")).alias("cost"))
+    cost = each.join(uses, (F.col("lead") == F.col("l")) & (F.col("token") == F.col("t"))).groupBy("lead", "rep").agg(F.sum("cost").alias("cost"))
+    best = cost.groupBy("lead").agg(F.min(F.struct("cost", "rep")).alias("x"))
+    best = materialise(best.select(F.col("lead").alias("l"), F.when(F.col("x.cost") < 0, F.col("x.rep")).otherwise(F.col("lead")).alias("a")), "medoids")
+    members = held.select("lead", F.col("rep").alias("b")).union(held.select("lead", F.col("lead").alias("b")).distinct())
+    return members.join(bounded(best, ID_BYTES), F.col("lead") == F.col("l")).select("a", "b").where("a <> b").distinct()
+
+
 def pairs_by_differences(held: DataFrame) -> DataFrame:
     """Pairs (a, b) that may link, of members held against the same lead that are in different components so far.
 
@@ -200,26 +223,36 @@ def pairs_by_differences(held: DataFrame) -> DataFrame:
     7 |Dy| > |y| + |lead|. Two that are linked to it need no pair, so for a linked x that is always so;
     an x that is not linked goes deeper into its differences for linked partners than for others.
     """
-    mixed = held.groupBy("lead").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("lead").alias("l"))
-    mixed = bounded(materialise(mixed, "leads-of-several"), ID_BYTES)
-    held = held.join(mixed, F.col("lead") == F.col("l"), "left_semi")
+    held = of_several_components(held)
     own = ["lead", "lead_n", "rep", "n", "ok", "component", "d"]
     each = held.withColumn("d", F.size("diff")).select(*own, F.explode("diff").alias("token"))
-    often = each.groupBy("lead", "token").agg(F.count("*").alias("uses")).where("uses > 1").select(F.col("lead").alias("l"), F.col("token").alias("t"), "uses")
-    shared = each.join(often, (F.col("lead") == F.col("l")) & (F.col("token") == F.col("t")))
+    # Differences that the same members have would all give the same pairs: they go on as one, with their number.
+    holders = [F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"h{i}") for i in (1, 2)]
+    often = each.groupBy("lead", "token").agg(F.count("*").alias("uses"), *holders).where("uses > 1").withColumnsRenamed({"lead": "l", "token": "t"})
+    shared = each.join(often, (F.col("lead") == F.col("l")) & (F.col("token") == F.col("t"))).groupBy(*own, "uses", "h1", "h2").agg(F.count("*").alias("w"))
     # Differences that nobody shares come first and match nothing, so only their number counts.
-    listed = shared.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("uses", "token"))).alias("ts"))
-    rows = listed.select(*own, F.size("ts").alias("many"), F.posexplode("ts").alias("i", "x"))
-    d, n, lead_n = F.col("d"), F.col("n"), F.col("lead_n")
+    mine = Window.partitionBy("lead", "rep")
+    before = F.coalesce(F.sum("w").over(mine.orderBy("uses", "h1", "h2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = shared.withColumn("pos", F.col("d") - F.sum("w").over(mine) + before)
+    d, n, lead_n, pos = F.col("d"), F.col("n"), F.col("lead_n"), F.col("pos")
     least = F.greatest(F.lit(1), d - F.floor(n / 3), F.ceil((7 * d - n - lead_n) / 8))
     least_far = F.greatest(least, F.floor((7 * d + lead_n - n) / 14) + 1)
-    rows = rows.select("lead", "rep", "n", "ok", "component", "d", F.col("x.token").alias("token"), (d - F.col("many") + F.col("i")).alias("pos"), least.alias("least"), least_far.alias("least_far"))
     # Each row may go with one that is not linked to the lead ("first"), or only with linked ones.
-    rows = rows.withColumn("first", F.col("pos") <= d - F.col("least_far")).where(F.col("first") | (~F.col("ok") & (F.col("pos") <= d - F.col("least")))).drop("least", "least_far")
+    rows = rows.withColumn("first", pos <= d - least_far).where(F.col("first") | (~F.col("ok") & (pos <= d - least)))
+    # At a common difference x and y can have T in common only if room(x) >= need(y) and room(y) >= need(x).
+    rows = rows.select("lead", "rep", "n", "ok", "component", "first", "uses", "h1", "h2", (7 * d - 14 * pos + n).alias("room"), (7 * d - n).alias("need"))
+    rows = materialise(rows, "difference-rows")
+    key = ["lead", "uses", "h1", "h2"]
+    over = lambda c, ok: F.when(F.col("ok") if ok else ~F.col("ok"), F.col(c))
+    best = rows.groupBy(*key).agg(F.min(over("need", False)).alias("need_far"), F.min(over("need", True)).alias("need_near"), F.max(over("room", False)).alias("room_far"), F.max(over("room", True)).alias("room_near"), F.count("*").alias("many"))
+    best = best.where("many > 1 AND need_far IS NOT NULL").select(*[F.col(c).alias(f"k_{c}") for c in key], "need_far", "need_near", "room_far", "room_near")
+    rows = rows.join(best, (F.col("lead") == F.col("k_lead")) & (F.col("uses") == F.col("k_uses")) & (F.col("h1") == F.col("k_h1")) & (F.col("h2") == F.col("k_h2")))
+    need, room = (F.when(F.col("ok"), F.col(f"{c}_far")).otherwise(pick(f"{c}_far", f"{c}_near")) for c, pick in (("need", F.least), ("room", F.greatest)))
+    rows = materialise(rows.where((F.col("room") >= need) & (F.col("need") <= room)).drop("k_lead", "k_uses", "k_h1", "k_h2", "need_far", "need_near", "room_far", "room_near"), "difference-rows")
     far, near = rows.where("NOT ok"), rows.where("ok")
-    overlap = 14 * F.least(d - F.col("pos"), F.col("o_d") - F.col("o_pos")) >= 7 * (d + F.col("o_d")) - (n + F.col("o_n"))
     sizes = 4 * F.least("n", "o_n") >= 3 * F.greatest("n", "o_n")
-    on = (F.col("lead") == F.col("o_lead")) & (F.col("token") == F.col("o_token")) & (F.col("component") != F.col("o_component")) & sizes & overlap
+    on = (F.col("lead") == F.col("o_lead")) & (F.col("uses") == F.col("o_uses")) & (F.col("h1") == F.col("o_h1")) & (F.col("h2") == F.col("o_h2"))
+    on = on & (F.col("component") != F.col("o_component")) & sizes & (F.col("room") >= F.col("o_need")) & (F.col("o_room") >= F.col("need"))
 
     def joined(x: DataFrame, y: DataFrame, also: Column) -> DataFrame:
         return x.join(y.select(*[F.col(c).alias(f"o_{c}") for c in y.columns]), on & also).select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b"))
@@ -234,20 +267,40 @@ def confirmed_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     members = materialise(buckets.join(shared, F.col("key") == F.col("k")).select("key", "rep", "lead", "n"), "bucket-members")
     sets = materialise(full_sets(docs, materialise(members.select("rep").distinct(), "member-ids")), "shingle-sets")
 
-    small = members.where(F.col("n") <= SMALL)
-    other = bounded(small, ROW_BYTES).select(F.col("key").alias("k"), F.col("rep").alias("b"))
-    pairs = small.join(other, (F.col("key") == F.col("k")) & (F.col("rep") < F.col("b"))).select(F.col("rep").alias("a"), "b").distinct()
+    few = members.where(F.col("n") <= SMALL)
+    other = bounded(few, ROW_BYTES).select(F.col("key").alias("k"), F.col("rep").alias("b"))
+    pairs = few.join(other, (F.col("key") == F.col("k")) & (F.col("rep") < F.col("b"))).select(F.col("rep").alias("a"), "b").distinct()
     held = members.where((F.col("n") > SMALL) & (F.col("rep") > F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    held = verify(materialise(held, "held-against-lead"), sets, differences=True).select(F.col("a").alias("lead"), (F.col("total") + F.col("inter") - F.col("nb")).alias("lead_n"), F.col("b").alias("rep"), F.col("nb").alias("n"), "diff", linked().alias("ok"))
-    held = materialise(held, "differences")
-    found = verify(materialise(pairs, "pairs"), sets).where(linked()).select("a", "b").union(held.where("ok").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+    held = differences(held, sets)
+    found = verify(materialise(pairs, "pairs"), sets).where(linked()).select("a", "b").union(links_to_leads(held))
     found = materialise(found.distinct(), "links-so-far")
-    so_far = bounded(materialise(components(found), "components-so-far"), ID_BYTES)
-    labelled = held.join(so_far, F.col("rep") == F.col("node"), "left").select("lead", "lead_n", "rep", "n", "diff", "ok", F.coalesce("component", "rep").alias("component"))
-    more = materialise(pairs_by_differences(labelled), "pairs-by-differences")
+    mixed = materialise(of_several_components(labelled(held, found)), "mixed-groups")
+    if not mixed.limit(1).count():
+        return found
+    # The least member may be an odd one. Held against the most central one, members that link to
+    # others mostly link to it, and those that do not differ from it in little that they share.
+    held = differences(medoid_pairs(mixed), sets)
+    found = materialise(found.union(links_to_leads(held)).distinct(), "links-so-far")
+    more = materialise(pairs_by_differences(labelled(held, found)), "pairs-by-differences")
     return found.union(verify(more, sets).where(linked()).select("a", "b")).distinct()
 
 
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(lead, lead_n, rep, n, diff, ok) of pairs (a, b) of a lead and a member: sizes, differences, and whether they link; written."""
+    held = verify(materialise(pairs, "held-against-lead"), sets, differences=True)
+    return materialise(held.select(F.col("a").alias("lead"), (F.col("total") + F.col("inter") - F.col("nb")).alias("lead_n"), F.col("b").alias("rep"), F.col("nb").alias("n"), "diff", linked().alias("ok")), "differences")
+
+
+def links_to_leads(held: DataFrame) -> DataFrame:
+    return held.where("ok").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
+
+
+def labelled(held: DataFrame, found: DataFrame) -> DataFrame:
+    """``held`` with each member's component by the links found so far."""
+    so_far = bounded(materialise(components(found), "components-so-far"), ID_BYTES)
+    return held.join(so_far, F.col("rep") == F.col("node"), "left").select(*held.columns, F.coalesce("component", "rep").alias("component"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): every node of a link with the least node it reaches.
 
@@ -257,7 +310,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     while True:
-        sized = F.broadcast if edges.count() * ID_BYTES <= BROADCAST_BYTES else (lambda df: df)
+        sized = F.broadcast if small(edges.count(), ID_BYTES) else (lambda df: df)
         # Large-star: over all neighbours; the larger ones move to the least.
         near = edges.union(edges.select("v", "u"))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
@@ -266,8 +319,8 @@ def components(links: DataFrame) -> DataFrame:
         # Small-star: over smaller neighbours; they and the node move to the least.
         small_least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         moved = large.join(sized(small_least), F.col("u") == F.col("c"))
-        small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(moved.select("u", "m")).distinct()
-        edges = materialise(small, "small-star")
+        smaller = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(moved.select("u", "m")).distinct()
+        edges = materialise(smaller, "small-star")
         # Done when no node is both a center and an end, and every end has one center.
         centers = edges.select(F.col("v").alias("c"))
         both = edges.join(sized(centers), F.col("u") == F.col("c"), "left_semi").limit(1).count()

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from chromaspan.llm import near_dups
+from chromaspan.llm import common, near_dups
 
 from . import cases
 
@@ -120,6 +120,26 @@ def test_near_dups_edges(spark):
     assert [(r["component_id"], r["kept"]) for r in near_dups.op4_near_dups(unnamed).collect()] == [(None, True)] * 2
 
 
+def test_near_dups_by_shuffle(spark, monkeypatch):
+    """Without any broadcast, and with a lead's pairs dealt out two at a time, the result is the same."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(near_dups, "LEAD_PAIRS", 2)
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    texts = {i: " ".join([*base[: rnd.choice([40, 50, 60])], *(f"x{i}y{k}" for k in range(rnd.choice([0, 1, 4])))]) for i in range(30)}
+    check(spark, texts)
+
+
+def test_near_dups_template(spark):
+    """Texts of one template, alike by 0.7 in each other and in nothing else: no pair of them is made from common differences."""
+    rows = []
+    for i in range(1, 400):
+        s = set(range(160)) | {1000 * i + k for k in range(34)}
+        rows.append((0, 194, i, len(s), sorted(s ^ (set(range(160)) | set(range(200, 234)))), False, i))
+    held = spark.createDataFrame(rows, "lead long, lead_n long, rep long, n long, diff array<long>, ok boolean, component long")
+    assert near_dups.pairs_by_differences(held).count() == 0
+
+
 def test_sketch_keeps_similarity():
     import numpy as np
 
@@ -163,3 +183,28 @@ def test_pipeline(spark):
             before = spark.createDataFrame(rows, after.schema)
     final = {(r["doc_id"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, cases.SF).collect()}
     assert final == {(r["doc_id"], r["ids_crc32"]) for r in rows}
+
+
+def test_pipeline_edges(spark):
+    """Nulls, empty and long texts, repeated rows, rows without an id, empty tables, and columns named like those the stages use."""
+    extra = ["id_", "hash_", "found", "new", "lost1_", "languages", "lang_pred", "n_lines", "n_dropped", "spans", "hit_spans", "row_hash"]
+    clash = lambda df: df.selectExpr("*", *[f"'keep' AS {c}" for c in extra])
+    docs, none = clash(cases.documents(spark)), clash(cases.empty(spark))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, cases.SF)
+        assert stage(spark, none, cases.SF).count() == 0
+        rows = out.collect()
+        if name == "sentencepiece":
+            assert len(rows) == docs.count()
+            continue
+        assert out.columns == docs.columns and all(r[c] == "keep" for r in rows for c in extra) and all(r["score"] == "x" and r["n_words"] == -1 for r in rows)
+        ids = [r["doc_id"] for r in rows]
+        last = len(cases.TEXTS) - 1
+        if name == "language_id":
+            assert 0 not in ids and 1 not in ids and ids.count(last) == 2 and ids.count(None) == 1
+        if name == "line_dedup":
+            assert len(ids) == docs.count() and {r["text"] for r in rows if r["doc_id"] == 0} == {""}
+        if name == "near_dups":
+            assert ids.count(last) == 2 and ids.count(None) == 1 and 9 not in ids and {0, 1, 2} <= set(ids)
+        if name == "decontamination":
+            assert {0, 1} <= set(ids) and ids.count(last) == 2
