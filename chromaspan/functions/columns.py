@@ -97,6 +97,16 @@ def significant(value: Column | str, digits: int) -> Column:
     return F.format_string(f"%.{digits - 1}e", _c(value).cast("double")).cast("double")
 
 
+def significant_text(value: Column | str, digits: int) -> Column:
+    """A double as text with so many significant digits and no trailing zeros, with an exponent if it is under 1e-4 or has more digits."""
+    x = significant(value, digits)
+    no_zeros = lambda t: F.regexp_replace(t, r"\.?0+$", "")
+    plain = x.cast("decimal(38,14)").cast("string")
+    parts = F.split(F.format_string(f"%.{digits - 1}e", x), "e")
+    short = (F.abs(x) >= 1e-4) & (F.abs(x) < 10.0**digits)
+    return F.when(x == 0, F.lit("0")).when(F.isnan(x), F.lit("nan")).when(short, no_zeros(plain)).otherwise(F.concat(F.regexp_replace(parts[0], r"\.?0+$", ""), F.lit("e"), parts[1]))
+
+
 def as_flag(value: str | bool | None, default: bool) -> bool:
     """Booleans as command lines spell them; anything unknown is the default."""
     if isinstance(value, bool):

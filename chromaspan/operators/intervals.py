@@ -12,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stages import is_small
+
+#: Bin width where none is given.
+WIDTH = 5000
 #: Suffixes of the right side's columns while a join runs.
 _R = "__r_"
 
@@ -35,16 +39,17 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", width: i
 
     ``how``: ``inner`` gives all pairs (the right side's columns get ``prefix``), ``left_semi`` and
     ``left_anti`` rows of ``left`` with and without a partner, each row once. ``width`` is the bin
-    width; None joins on the chromosome with the overlap as a residual, which is right for small sides.
-    Null chromosomes or bounds overlap nothing.
+    width. None is for a small right side: if its count allows that it is broadcast and held against
+    its chromosome's rows; else bins of WIDTH are taken. Null chromosomes or bounds overlap nothing.
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"unknown join {how}")
     same_chr = F.col("chr") == F.col(_R + "chr")
     out = [*[F.col(c) for c in left.columns], *[F.col(_R + c).alias(prefix + c) for c in right.columns]]
-    if width is None:
-        joined = left.join(_renamed(right), same_chr & _overlap(start, end), how)
+    if width is None and is_small(right):
+        joined = left.join(F.broadcast(_renamed(right)), same_chr & _overlap(start, end), how)
         return joined.select(out) if how == "inner" else joined
+    width = width or WIDTH
     if how != "inner":
         # A row has a partner if any of its bins has one; places are joined back to the rows.
         hits = _binned(left.select("chr", start, end).distinct(), start, end, width)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import gene_symbol, gtf_attribute, peak_id, strand_tss, strip_chr
+from ..functions.stages import bounded
+from ..operators.sequence import CHUNK, chunk_lines
 from ..operators.signals import column_name, parse_columns
 
 
@@ -27,7 +32,8 @@ def read_bed(spark: SparkSession, path: str, columns: str = "0") -> tuple[DataFr
     """Regions (peak_id, chr, start, end, signal fields) and the output suffix of each signal field.
 
     ``columns`` is a selection as in ``parse_columns``. A first line with # gives the names. Whole
-    lines that repeat are taken once.
+    lines that repeat are taken once. Lines with the same place but other signals would multiply rows
+    in every join on the region, so such a file is refused.
     """
     head = spark.read.text(path).limit(1).collect()
     header = head[0][0].lstrip("# ").split("\t") if head and head[0][0].startswith("#") else []
@@ -39,15 +45,29 @@ def read_bed(spark: SparkSession, path: str, columns: str = "0") -> tuple[DataFr
     at = lambda i: F.get(f, F.lit(i))
     chrom, start, end = strip_chr(at(0)), at(1).cast("long"), at(2).cast("long")
     names = {f"c{n}": column_name(header[n - 1] if n <= len(header) else None, n) for n in numbers}
-    return lines.select(peak_id(chrom, start, end).alias("peak_id"), chrom.alias("chr"), start.alias("start"), end.alias("end"), *[at(n - 1).cast("double").alias(f"c{n}") for n in numbers]), names
-
-
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chr, seq): one row a record, line breaks taken out; names end at the first blank."""
+    regions = lines.select(peak_id(chrom, start, end).alias("peak_id"), chrom.alias("chr"), start.alias("start"), end.alias("end"), *[at(n - 1).cast("double").alias(f"c{n}") for n in numbers])
+    if numbers:
+        twice = regions.groupBy("peak_id").count().where("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"region {twice[0]['peak_id']} has several lines with different signals")
+    else:
+        regions = regions.dropDuplicates(["peak_id"])
+    return regions, names
+
+
+def read_fasta(spark: SparkSession, path: str, least: int = 2) -> DataFrame:
+    """(chr, seq): one row a record of a file of short sequences, line breaks taken out; names end at the first blank. Sequences under ``least`` are left out."""
     records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
     name = F.regexp_extract("value", r"^(\S+)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "")
-    return records.select(strip_chr(name).alias("chr"), body.alias("seq"))
+    return records.select(strip_chr(name).alias("chr"), body.alias("seq")).where(F.length("seq") >= least)
+
+
+def read_genome(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
+    """(chr, chunk, length, part): the contigs of sequence files in chunks, read line by line and in parallel."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.btrim("value", F.lit(" \t\r")).alias("value"))
+    head = F.when(F.col("value").startswith(">"), strip_chr(F.regexp_extract("value", r"^>\s*(\S+)", 1)))
+    return chunk_lines(text.where(~F.col("value").startswith("#")).withColumn("head", head), size)
 
 
 def read_transfac(spark: SparkSession, path: str) -> DataFrame:
@@ -72,14 +92,35 @@ def read_energy_matrices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_contacts(spark: SparkSession, folder: str) -> DataFrame:
-    """(chr, pos1, pos2, contact) of a folder of gzipped per-chromosome files; of two files for one chromosome the last by name."""
-    lines = spark.read.text(folder, pathGlobFilter="*[cC]hr*gz").withColumn("path", F.input_file_name())
+    """(chr, pos1, pos2, contact, ord) of a folder of gzipped per-chromosome files; ``ord`` is the order of the lines.
+
+    Of two files for one chromosome the last by name counts, among those whose first line begins
+    with a digit: others are not readable as contacts.
+    """
+    lines = spark.read.text(folder, pathGlobFilter="*[cC]hr*gz").select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ord"))
     chrom = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"[cC]hr([0-9]+|[A-Za-z]+)[^0-9].*gz$", 1)
-    rows = lines.select(chrom.alias("chr"), "path", F.split("value", "\t").alias("f")).where("chr <> ''")
-    last = rows.groupBy("chr").agg(F.max("path").alias("__p")).withColumnRenamed("chr", "__c")  # one row a chromosome
-    rows = rows.join(F.broadcast(last), (F.col("chr") == F.col("__c")) & (F.col("path") == F.col("__p")))
+    rows = lines.select(chrom.alias("chr"), "path", "ord", "value").where("chr <> ''")
+    files = rows.groupBy("chr", "path").agg(F.min_by("value", "ord").alias("first")).where(F.col("first").rlike("^[0-9]"))
+    last = files.groupBy(F.col("chr").alias("__c")).agg(F.max("path").alias("__p"))
+    rows = rows.join(bounded(last, 300), (F.col("chr") == F.col("__c")) & (F.col("path") == F.col("__p"))).select("chr", "ord", F.split("value", "\t").alias("f"))
     at = lambda i, t: F.get("f", F.lit(i)).try_cast(t)
-    return rows.select("chr", at(0, "long").alias("pos1"), at(1, "long").alias("pos2"), at(2, "float").cast("double").alias("contact")).where("pos1 IS NOT NULL AND pos2 IS NOT NULL")
+    return rows.select("chr", at(0, "long").alias("pos1"), at(1, "long").alias("pos2"), at(2, "float").cast("double").alias("contact"), "ord").where("pos1 IS NOT NULL AND pos2 IS NOT NULL")
+
+
+def interaction_files(path: str, names: dict[str, str]) -> dict[str, str]:
+    """The file of each activity column (``names``: column and its suffix), from that of any of them.
+
+    One column takes the path as it is. Files may be named by number (``_c4.txt.gz``) or by header
+    (``_red.txt.gz``); a path with neither has the suffix put before its ending.
+    """
+    end = ".txt.gz"
+    if len(names) == 1:
+        return dict.fromkeys(names, path)
+    stem = re.sub(r"_c[0-9]+\.txt\.gz$", "", path)
+    if stem != path:
+        return {c: f"{stem}_{c}{end}" for c in names}
+    stem = next((path.removesuffix(suffix + end) for suffix in names.values() if path.endswith(suffix + end)), path.removesuffix(end))
+    return {c: stem + suffix + end for c, suffix in names.items()}
 
 
 def read_interactions(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -89,10 +130,7 @@ def read_interactions(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         df = spark.read.option("sep", "\t").option("header", True).csv(path)
         df = df.toDF(*[c.replace("#", "") for c in df.columns])
         parts.append(df.select(F.lit(column).alias("column"), F.col("Ensembl ID").alias("gene_id"), strip_chr("PeakID").alias("peak_id"), F.col("intergenicScore").cast("double").alias("intergenic_score")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
