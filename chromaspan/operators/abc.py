@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bin_of, fractal_contact, midpoint_bin, tss_distance
+from ..functions.columns import MEGABASE, bin_of, fractal_contact, midpoint_bin, tss_distance
+from ..functions.stages import bounded
 from . import contacts as C
 from .genes import filter_genes, gene_windows
 from .intervals import overlap_join
@@ -21,7 +22,12 @@ from .intervals import overlap_join
 
 @dataclass(frozen=True)
 class AbcSettings:
-    """Window sizes are half widths in bases. Without contacts, contact is estimated from the distance."""
+    """Window sizes are half widths in bases. Without contacts, contact is estimated from the distance.
+
+    Two switches repeat quirks of earlier programs: ``ordered_max`` scales the signals of the original
+    form by a maximum that depends on the order of the regions, and ``unit_far_pseudocount`` adds 1
+    beyond a megabase where a chromosome has no fit, or pseudocounts are off.
+    """
 
     gene_window: int = 2_500_000
     enhancer_window: int = 2_500_000
@@ -30,6 +36,8 @@ class AbcSettings:
     adapted: bool = True
     pseudocount: bool = True
     join_width: int | None = 100_000
+    ordered_max: bool = False
+    unit_far_pseudocount: bool = False
 
 
 def pair_contacts(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, contacts: DataFrame | None = None) -> DataFrame:
@@ -55,12 +63,16 @@ def pair_contacts(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, con
     found = C.lookup(rows, cells, "gene_bin", "peak_bin")
     # Regions beyond the last gene window's bin have the expected contact only.
     last = gene_windows(genes.select("gene_id", "chr", "tss"), reach).groupBy("chr").agg(bin_of(F.max("end"), b).alias("last_bin")).withColumnRenamed("chr", "__c")
-    found = found.join(F.broadcast(last), F.col("chr") == F.col("__c")).drop("__c")
+    found = found.join(bounded(last), F.col("chr") == F.col("__c")).drop("__c")
     measured = F.when(F.col("peak_bin") <= F.col("last_bin"), F.col("contact")).otherwise(F.lit(0.0))
+    far = F.when(F.abs(F.col("gene_bin") - F.col("peak_bin")) * b > MEGABASE, F.lit(1.0)).otherwise(F.lit(0.0))
     if settings.pseudocount:
         fit = C.power_law(contacts, b).withColumnRenamed("chr", "__c")
-        found = found.join(F.broadcast(fit), F.col("chr") == F.col("__c"), "left").drop("__c")
-        measured = measured + C.pseudocount(F.col("gene_bin") - F.col("peak_bin"), b, F.col("slope"), F.col("intercept"))
+        found = found.join(bounded(fit), F.col("chr") == F.col("__c"), "left").drop("__c")
+        expected = C.pseudocount(F.col("gene_bin") - F.col("peak_bin"), b, F.col("slope"), F.col("intercept"))
+        measured = measured + (F.when(F.col("slope").isNull(), far).otherwise(expected) if settings.unit_far_pseudocount else expected)
+    elif settings.unit_far_pseudocount:
+        measured = measured + far
     return found.withColumn("contact", measured).select(*rows.columns, "contact")
 
 
@@ -69,6 +81,19 @@ def peak_contact_sums(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("chr", "peak_id").agg(F.sum("contact").alias("contact_sum"))
 
 
+def _signal_max(settings: AbcSettings, gene) -> Column:
+    """The largest signal of a gene's regions.
+
+    With ``ordered_max``, a fold in the order of the regions: a region whose signals, summed over the
+    gene's starts, exceed what is held puts its mean signal there, though that may be less.
+    """
+    if not settings.ordered_max:
+        return F.max("signal").over(gene)
+    inorder = gene.orderBy("start", "end", "peak_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = F.collect_list(F.struct("n_tss", "signal")).over(inorder)
+    return F.aggregate(listed, F.lit(0.0), lambda held, x: F.when(x["n_tss"] * x["signal"] > held, x["signal"]).otherwise(held))
+
+
 def score(genes: DataFrame, peaks: DataFrame, signals: DataFrame, settings: AbcSettings, contacts: DataFrame | None = None, gene_keys: DataFrame | None = None) -> DataFrame:
     """Interactions that reach the cutoff, by activity column.
 
@@ -89,7 +114,7 @@ def score(genes: DataFrame, peaks: DataFrame, signals: DataFrame, settings: AbcS
     )
     gene = Window.partitionBy("column", "gene_id")
     total, highest = F.sum("ac").over(gene), F.max(F.col("c") / F.col("n_tss")).over(gene)
-    by_pair = by_pair.select("*", total.alias("total"), highest.alias("c_max"), F.max(F.col("signal")).over(gene).alias("s_max"), F.max("undefined").over(gene).alias("gene_undefined"))
+    by_pair = by_pair.select("*", total.alias("total"), highest.alias("c_max"), _signal_max(settings, gene).alias("s_max"), F.max("undefined").over(gene).alias("gene_undefined"))
     contact, activity = F.col("c") / F.col("n_tss"), F.col("act") / F.col("n_tss")
     scored = by_pair.where(~F.col("gene_undefined")).select(
         "column", "chr", "start", "end", "gene_id", "peak_id", "signal", contact.alias("contact"), activity.alias("mean_activity"),
@@ -102,7 +127,7 @@ def score(genes: DataFrame, peaks: DataFrame, signals: DataFrame, settings: AbcS
     if settings.adapted:
         hits = hits.withColumn("activity", F.col("mean_activity")).withColumn("intergenic_score", F.col("mean_activity"))
     else:
-        hits = hits.join(F.broadcast(top), F.col("chr") == F.col("__c")).drop("__c")
+        hits = hits.join(bounded(top), F.col("chr") == F.col("__c")).drop("__c")
         hits = hits.withColumn("activity", F.col("scaled_signal")).withColumn("intergenic_score", F.try_divide("contact", "chr_max") * F.col("signal"))
     names = genes if gene_keys is None else filter_genes(genes, gene_keys)
     names = names.select(F.col("gene_id").alias("__g"), "gene_name")
@@ -125,7 +150,7 @@ def gene_info(hits: DataFrame, genes: DataFrame, columns: list[str], candidates:
     if contact_chrs is None:
         joined = joined.withColumn("__chr", F.col("chr"))
     else:
-        joined = joined.join(F.broadcast(contact_chrs.select(F.col("chr").alias("__chr")).distinct()), F.col("chr") == F.col("__chr"), "left")
+        joined = joined.join(bounded(contact_chrs.select(F.col("chr").alias("__chr")).distinct()), F.col("chr") == F.col("__chr"), "left")
     failure = (
         F.when(F.col("n_enhancer").isNotNull(), F.lit("-"))
         .when(F.col("__chr").isNull(), F.lit("Missing normalized contact file"))

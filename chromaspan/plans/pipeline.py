@@ -1,16 +1,19 @@
-"""A whole run: regions, annotation, motifs, contacts and sequences to interactions and gene by factor values.
+"""Whole runs: regions, annotation, motifs, contacts and sequences to interactions and gene by factor values; and each of the parts alone.
 
-Everything up to the sinks is one lazy plan; nothing is collected but the motifs that are broadcast.
+Nothing is collected but the motifs that are broadcast.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import as_flag
+from ..functions.stages import written
 from ..operators import abc, genes, intervals, matrix, motifs, sequence, signals
+from ..operators.contacts import canonical
 from ..sources import readers
 
 
@@ -37,15 +40,60 @@ class RunConfig:
     enhancer_window: int = 5_000_000
     exclude: str | None = None
     gene_list: str | None = None
-    interactions: dict[str, str] = field(default_factory=dict)
+    interactions: dict[str, str] | str = field(default_factory=dict)
+    ordered_max: bool = False
+    unit_far_pseudocount: bool = False
 
     @property
     def scored(self) -> bool:
-        return bool(self.contacts) or self.fractal
+        return (bool(self.contacts) or self.fractal) and not self.interactions
 
     @property
     def half(self) -> int:
-        return (self.window or (5_000_000 if self.scored else 50_000)) // 2
+        return (self.window or (5_000_000 if self.contacts or self.fractal else 50_000)) // 2
+
+    @classmethod
+    def from_options(cls, options: dict[str, str]) -> RunConfig:
+        """A configuration from text options, as command lines give them: flags in any spelling, windows also as ``1e05``; ``contacts`` may be a false flag, which asks for contacts estimated from the distance."""
+        kinds = {f.name: str(f.type) for f in fields(cls)}
+        unknown = sorted(set(options) - set(kinds))
+        if unknown:
+            raise ValueError(f"unknown options: {', '.join(unknown)}")
+        out: dict = {}
+        for name, value in options.items():
+            kind = kinds[name]
+            if kind == "bool":
+                out[name] = as_flag(value, cls.__dataclass_fields__[name].default)
+            else:
+                out[name] = int(float(value)) if kind.startswith("int") else float(value) if kind.startswith("float") else value
+        if not isinstance(out.get("contacts"), type(None)) and as_flag(out["contacts"], True) is False:
+            out |= {"contacts": None, "fractal": True}
+        if not isinstance(out.get("bed"), type(None)) and as_flag(out["bed"], True) is False:
+            out["bed"] = None
+        return cls(**out)
+
+    def check(self) -> RunConfig:
+        """Itself, or a ValueError that names all that is missing or contradicts."""
+        wrong = [f"{name} is required" for name in ("annotation", "genome") if not getattr(self, name)]
+        if not (self.energies or self.counts):
+            wrong.append("motifs are required, as energies or counts")
+        if self.energies and self.counts:
+            wrong.append("motifs are either energies or counts")
+        with_signal = self.columns.strip() not in ("", "0")
+        if self.scored:
+            if not self.bed or not with_signal:
+                wrong.append("scores need regions and the column of their activity")
+            if self.contacts and self.fractal:
+                wrong.append("contacts are either measured or estimated")
+            if self.contacts and self.bin_size < 1:
+                wrong.append("measured contacts need the size of their bins")
+        if self.interactions and not (self.bed and with_signal):
+            wrong.append("given interactions need regions and the column of their activity")
+        if (self.window is not None and self.window < 1) or self.enhancer_window < 1:
+            wrong.append("windows have at least one base")
+        if wrong:
+            raise ValueError("; ".join(wrong))
+        return self
 
 
 @dataclass
@@ -59,10 +107,9 @@ class RunResult:
 
 
 def run_pipeline(spark: SparkSession, config: RunConfig) -> RunResult:
-    if not (config.energies or config.counts):
-        raise ValueError("motifs are required, as energies or counts")
-    rows = readers.read_gtf(spark, config.annotation, "gene")
-    one_tss = genes.five_prime_tss(rows)
+    """All results of a run. What several of them read (sequences, scored pairs, region-gene pairs) is written once."""
+    config.check()
+    one_tss = genes.five_prime_tss(readers.read_gtf(spark, config.annotation, "gene"))
     keys = readers.read_gene_list(spark, config.gene_list) if config.gene_list else None
     wanted = genes.filter_genes(one_tss, keys) if keys is not None else one_tss
 
@@ -75,8 +122,7 @@ def run_pipeline(spark: SparkSession, config: RunConfig) -> RunResult:
     if config.exclude:
         peaks = intervals.exclude_regions(peaks, readers.read_bed(spark, config.exclude)[0])
 
-    chunks = sequence.chunk_genome(readers.read_fasta(spark, config.genome))
-    seqs = sequence.clean(sequence.extract(peaks, chunks))
+    seqs = written(sequence.clean(sequence.extract(peaks, readers.read_genome(spark, config.genome))), "region-sequences")
     if config.energies:
         matrices = readers.read_energy_matrices(spark, config.energies)
     else:
@@ -88,24 +134,81 @@ def run_pipeline(spark: SparkSession, config: RunConfig) -> RunResult:
     sig = signals.unpivot_signals(peaks, list(names)) if names else None
     hits = info = None
     if config.interactions:
-        hits = readers.read_interactions(spark, config.interactions)
+        paths = config.interactions if isinstance(config.interactions, dict) else readers.interaction_files(config.interactions, names)
+        hits = written(readers.read_interactions(spark, paths), "given-interactions")
     elif config.scored:
-        listed = genes.all_tss(readers.read_gtf(spark, config.annotation, "transcript")) if config.all_tss else one_tss.withColumn("tss", F.array("tss"))
-        settings = abc.AbcSettings(config.half, config.enhancer_window // 2, config.bin_size, config.cutoff, config.adapted, config.pseudocount)
-        cells = None
-        if config.contacts:
-            from ..operators.contacts import canonical
-
-            cells = canonical(readers.read_contacts(spark, config.contacts), config.bin_size)
-        hits = abc.score(listed, peaks, sig, settings, cells, keys)
-        candidates = intervals.overlap_join(genes.gene_windows(listed, settings.gene_window), peaks, "inner", 100_000)
-        named = genes.filter_genes(listed, keys) if keys is not None else listed
-        info = abc.gene_info(hits, named, list(names), candidates, cells.select("chr") if cells is not None else None)
+        hits, info = _scored(spark, config, peaks, sig, list(names), one_tss, keys)
 
     if hits is not None:
-        pairs = matrix.interaction_pairs(hits, wanted, regions)
+        pairs = written(matrix.interaction_pairs(hits, wanted, regions), "pairs")
         scaled = matrix.interaction_scaler(pairs, sig, hits)
     else:
-        pairs = matrix.window_pairs(wanted, regions, config.half) if config.bed else matrix.promoter_pairs(wanted, regions, config.half)
+        pairs = written(matrix.window_pairs(wanted, regions, config.half) if config.bed else matrix.promoter_pairs(wanted, regions, config.half), "pairs")
         scaled = matrix.window_scaler(pairs, sig, config.decay and bool(config.bed))
+    scaled = written(scaled, "scaled-pairs")
     return RunResult(regions, hits, info, matrix.gene_tf(scaled, affinity, matrices), matrix.peak_features(scaled), matrix.discarded_genes(wanted, pairs))
+
+
+def _scored(spark: SparkSession, config: RunConfig, peaks: DataFrame, sig: DataFrame, columns: list[str], one_tss: DataFrame, keys: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Interactions, written once, and the summary of genes."""
+    listed = genes.all_tss(readers.read_gtf(spark, config.annotation, "transcript")) if config.all_tss else one_tss.withColumn("tss", F.array("tss"))
+    settings = abc.AbcSettings(config.half, config.enhancer_window // 2, config.bin_size, config.cutoff, config.adapted, config.pseudocount, ordered_max=config.ordered_max, unit_far_pseudocount=config.unit_far_pseudocount)
+    cells = written(canonical(readers.read_contacts(spark, config.contacts), config.bin_size), "cells") if config.contacts else None
+    hits = written(abc.score(listed, peaks, sig, settings, cells, keys), "interactions")
+    candidates = intervals.overlap_join(genes.gene_windows(listed, settings.gene_window), peaks, "inner", 100_000)
+    named = genes.filter_genes(listed, keys) if keys is not None else listed
+    return hits, abc.gene_info(hits, named, columns, candidates, cells.select("chr") if cells is not None else None)
+
+
+def run_scores(spark: SparkSession, config: RunConfig) -> tuple[DataFrame, DataFrame]:
+    """Interactions and gene summaries alone; neither genome nor motifs are read. Without a column the fourth is taken, without contacts they are estimated."""
+    config = replace(config, columns="4" if config.columns.strip() in ("", "0") else config.columns, genome=config.genome or "-", counts=config.counts or (None if config.energies else "-"), fractal=config.fractal or not config.contacts, window=config.window or 5_000_000, interactions={})
+    config.check()
+    peaks, names = readers.read_bed(spark, config.bed, config.columns)
+    if config.exclude:
+        peaks = intervals.exclude_regions(peaks, readers.read_bed(spark, config.exclude)[0])
+    keys = readers.read_gene_list(spark, config.gene_list) if config.gene_list else None
+    one_tss = genes.five_prime_tss(readers.read_gtf(spark, config.annotation, "gene"))
+    return _scored(spark, config, peaks, signals.unpivot_signals(peaks, list(names)), list(names), one_tss, keys)
+
+
+def run_affinities(spark: SparkSession, fasta: str, energies: str) -> DataFrame:
+    """(peak_id, affinity) of the sequences of a file, each a record, to a file of energy matrices."""
+    seqs = sequence.clean(readers.read_fasta(spark, fasta)).withColumnRenamed("chr", "peak_id")
+    return motifs.affinities(seqs, readers.read_energy_matrices(spark, energies))
+
+
+def run_gene_tf(affinity: DataFrame, matrices: DataFrame, genes_: DataFrame, peaks: DataFrame, names: dict[str, str], half: int = 25_000, decay: bool = True, interactions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gene by factor values, peak features and genes without a region, from affinities of regions and their signals."""
+    sig = signals.unpivot_signals(peaks, list(names)) if names else None
+    known = peaks.join(affinity.select(F.col("peak_id").alias("__p")), F.col("peak_id") == F.col("__p"), "left_semi")
+    pairs = written(matrix.interaction_pairs(interactions, genes_, known) if interactions is not None else matrix.window_pairs(genes_, known, half), "pairs")
+    scaled = written(matrix.interaction_scaler(pairs, sig, interactions) if interactions is not None else matrix.window_scaler(pairs, sig, decay), "scaled-pairs")
+    return matrix.gene_tf(scaled, affinity, matrices), matrix.peak_features(scaled), matrix.discarded_genes(genes_, pairs)
+
+
+def run_promoter_windows(spark: SparkSession, annotation: str, window: int = 5000, gene_list: str | None = None) -> DataFrame:
+    """Distinct windows of a full width around the genes' 5' starts."""
+    one_tss = genes.five_prime_tss(readers.read_gtf(spark, annotation, "gene"))
+    return genes.promoter_windows(genes.filter_genes(one_tss, readers.read_gene_list(spark, gene_list)) if gene_list else one_tss, window // 2)
+
+
+def run_metadata(spark: SparkSession, config: RunConfig, result: RunResult | None = None, columns: dict[str, str] | None = None) -> dict[str, dict]:
+    """Sections of a run's metadata: inputs, references, parameters, and counts of regions (lines of the file), motifs and results."""
+    part = lambda *names: {n: getattr(config, n) for n in names if getattr(config, n) not in (None, "", {})}
+    lines = lambda path, pattern: spark.read.text(path).where(F.col("value").rlike(pattern)).count()
+    counts = {"provided regions": lines(config.bed, ".")} if config.bed else {}
+    counts["considered motifs"] = lines(config.energies, "^>") if config.energies else lines(config.counts, r"^\s*//")
+    if result is not None:
+        counts |= {"regions with a sequence": result.regions.count(), "genes without a region": result.discarded.count()}
+        if result.interactions is not None:
+            counts["interactions"] = result.interactions.count()
+    return {
+        "Inputs": part("bed", "columns", "exclude", "gene_list", "interactions") | ({"suffixes": ",".join(columns.values())} if columns else {}), "References": part("genome", "annotation", "energies", "counts", "gc"),
+        "Parameters": part("window", "cutoff", "contacts", "fractal", "bin_size", "all_tss", "decay", "adapted", "pseudocount", "enhancer_window", "ordered_max", "unit_far_pseudocount"), "Metrics": counts,
+    }
+
+
+def score_metadata(config: RunConfig) -> dict[str, dict]:
+    """What a run of scores alone was given, windows as full widths."""
+    return {"Scores": {f.name: getattr(config, f.name) for f in fields(config) if f.name in ("bed", "columns", "annotation", "gene_list", "window", "contacts", "bin_size", "cutoff", "exclude", "pseudocount", "all_tss", "adapted", "enhancer_window")}}

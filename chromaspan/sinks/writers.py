@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import gzip
-import json
 import struct
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import significant_text
+from ..operators.matrix import wide
+
 #: Field names of the published tables.
 INTERACTION_FIELDS = {
     "chr": "#chr", "start": "start", "end": "end", "gene_id": "Ensembl ID", "gene_name": "Gene Name", "peak_id": "PeakID", "signal": "signalValue", "contact": "Contact",
@@ -21,6 +25,12 @@ GENE_INFO_FIELDS = {
 }
 
 
+#: Names and digits of the published files, and the numbers of the check of the byte order.
+INTERACTIONS, GENE_INFO, GENE_TF, DISCARDED, BED = "ABCpp_scoredInteractions", "GeneInfo", "TF_Gene_Affinities", "discarded_Genes", "PromoterWindows"
+INTERACTION_DIGITS, GENE_INFO_DIGITS, GENE_TF_DECIMALS = 8, 6, 10
+ORDER_CHECK = [0.25, -0.75, 128.5, -8.5]
+
+
 def write_tsv(df: DataFrame, path: str, fields: dict[str, str] | None = None, partition: str | None = None) -> None:
     """Gzipped tab-separated parts with a header, one folder by value of ``partition`` if given."""
     if fields:
@@ -29,12 +39,46 @@ def write_tsv(df: DataFrame, path: str, fields: dict[str, str] | None = None, pa
     (writer.partitionBy(partition) if partition else writer).csv(path)
 
 
+def _digits(df: DataFrame, digits: int) -> DataFrame:
+    """Doubles of a table with so many significant digits, as text."""
+    return df.select(*[significant_text(c, digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
 def write_interactions(hits: DataFrame, path: str, adapted: bool = True) -> None:
-    write_tsv(hits, path, INTERACTION_FIELDS if adapted else INTERACTION_FIELDS | {"activity": "scaledActivity"}, "column")
+    """Scored interactions with eight significant digits, one folder a column."""
+    write_tsv(_digits(hits, INTERACTION_DIGITS), path, INTERACTION_FIELDS if adapted else INTERACTION_FIELDS | {"activity": "scaledActivity"}, "column")
 
 
 def write_gene_info(info: DataFrame, path: str) -> None:
-    write_tsv(info, path, GENE_INFO_FIELDS, "column")
+    """Summaries of genes with six significant digits, one folder a column."""
+    write_tsv(_digits(info, GENE_INFO_DIGITS), path, GENE_INFO_FIELDS, "column")
+
+
+def write_gene_tf(matrix: DataFrame, path: str) -> None:
+    """The gene by factor matrix with ten decimals, ``geneID`` first, one folder a column."""
+    fields = [c for c in matrix.columns if c not in ("column", "gene_id")]
+    text = lambda c, t: F.format_string(f"%.{GENE_TF_DECIMALS}f", F.col(f"`{c}`")) if t == "double" else F.col(f"`{c}`")
+    write_tsv(matrix.select("column", F.col("gene_id").alias("geneID"), *[text(c, dict(matrix.dtypes)[c]).alias(c) for c in fields]), path, partition="column")
+
+
+def write_discarded(discarded: DataFrame, path: str) -> None:
+    """Genes without a region and the reason, tab-separated, without a header."""
+    discarded.select("gene_id", "reason").write.mode("errorifexists").option("sep", "\t").csv(path)
+
+
+def write_run(result, folder: str, prefix: str, adapted: bool = True, factors: list[str] | None = None) -> dict[str, str]:
+    """All tables of a run below ``folder``, which must not exist; gives their paths by name."""
+    out = {name: f"{folder.rstrip('/')}/{prefix}_{name}" for name in (INTERACTIONS, GENE_INFO, GENE_TF, DISCARDED)}
+    if Path(folder.removeprefix("file://")).exists():
+        raise FileExistsError(folder)
+    if result.interactions is not None:
+        write_interactions(result.interactions, out[INTERACTIONS], adapted)
+    if result.gene_info is not None:
+        write_gene_info(result.gene_info, out[GENE_INFO])
+    factors = factors or [r["tf"] for r in result.gene_tf.select("tf").distinct().orderBy("tf").collect()]  # one row a motif
+    write_gene_tf(wide(result.gene_tf, factors, result.features), out[GENE_TF])
+    write_discarded(result.discarded, out[DISCARDED])
+    return out
 
 
 def write_bed(regions: DataFrame, path: str) -> None:
@@ -43,38 +87,98 @@ def write_bed(regions: DataFrame, path: str) -> None:
 
 def write_energy_matrices(matrices: DataFrame, path: str, gc: float) -> None:
     """Energy matrices as text records, six significant digits."""
-    digits = lambda x: F.regexp_replace(F.format_string("%.6g", x), r"(\.\d*?)0+$|\.$", "$1")
+    digits = lambda x: significant_text(x, 6)
     rows = F.array_join(F.transform("energy", lambda r: F.array_join(F.transform(r, digits), "\t")), "\n")
     head = F.concat(F.lit(">"), F.col("ac"), F.lit("\t"), F.col("name"), F.lit("\tlnR0: "), digits(F.col("lnr0")))
     matrices.orderBy("motif_ord").select(F.concat(head, F.lit("\n"), rows).alias("value")).write.mode("errorifexists").text(path)
 
 
-def write_binary(wide: DataFrame, genes: list[str], columns: list[str], fields: list[str], path: str) -> int:
+def write_binary(wide: DataFrame, genes: DataFrame, columns: list[str], fields: list[str], path: str) -> int:
     """The matrix as little-endian 32-bit floats: factor fastest, then column, then gene; gives the number of values.
 
-    The rows are sorted by Spark and streamed partition by partition, so the driver holds one partition at most.
+    ``genes`` has gene_id and ord, their order; ``columns`` and ``fields`` are as few as activity
+    columns and motifs. The rows are ranged by (gene, column), and each task writes its range as one
+    gzip member, part after part: the parts in order of their names are one gzip stream. A repeated
+    attempt writes under a name of its own, and ``parts`` lists those that count.
     """
-    target = Path(path)
+    target = Path(path.removeprefix("file://"))
     target.mkdir(parents=True, exist_ok=False)
+    data = str(target / "Reshape_Binary.bin.gz")
+    Path(data).mkdir()
+    named = genes.select(F.col("gene_id").alias("g"), F.col("ord").alias("gi"))
     col_ord = F.array_position(F.array(*map(F.lit, columns)), F.col("column"))
-    gene_ord = wide.sparkSession.createDataFrame([(g, i) for i, g in enumerate(genes)], "g string, gi long")
-    ordered = wide.join(gene_ord, F.col("gene_id") == F.col("g")).orderBy("gi", col_ord).select(F.array(*[F.col(f"`{f}`").cast("float") for f in fields]).alias("v"))
-    count = 0
-    with gzip.open(target / "Reshape_Binary.bin.gz", "wb") as out:
-        for row in ordered.toLocalIterator():
-            out.write(struct.pack(f"<{len(row.v)}f", *row.v))
-            count += len(row.v)
-    (target / "Reshape_Meta.txt").write_text("\n".join([str(count), "\t".join(fields), "\t".join(columns), "\t".join(genes)]) + "\n")
+    rows = wide.join(named, F.col("gene_id") == F.col("g")).select("gi", col_ord.alias("ci"), F.array(*[F.col(f"`{f}`").cast("float") for f in fields]).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        name, count = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.gz", 0
+        with gzip.open(f"{data}/{name}", "wb") as out:
+            for batch in batches:
+                values = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+                out.write(values.astype("<f4").tobytes())
+                count += len(values)
+        yield pa.RecordBatch.from_pydict({"name": [name], "n": [count]}, schema=pa.schema([("name", pa.string()), ("n", pa.int64())]))
+
+    ranged = rows.repartitionByRange("gi", "ci").sortWithinPartitions("gi", "ci").select("v")
+    ranged.mapInArrow(run, "name string, n long").write.parquet(str(target / "parts"))
+    count = wide.sparkSession.read.parquet(str(target / "parts")).agg(F.sum("n")).first()[0] or 0
+    with (target / "Reshape_Meta.txt").open("w") as meta:
+        meta.write("\n".join([str(count), "\t".join(fields), "\t".join(columns), ""]))
+        # Names only, partition by partition.
+        for k, row in enumerate(genes.orderBy("ord").select("gene_id").toLocalIterator()):
+            meta.write("\t" * (k > 0) + row["gene_id"])
+        meta.write("\n")
+    (target / "Endianness_check.txt").write_text("\n".join(["LITTLE_ENDIAN", *map(str, ORDER_CHECK)]) + "\n")
+    (target / "Endianness_check.bin").write_bytes(struct.pack("<4f", *ORDER_CHECK))
     return count
 
 
-def read_binary(path: str) -> list[float]:
-    data = gzip.decompress((Path(path) / "Reshape_Binary.bin.gz").read_bytes())
-    return list(struct.unpack(f"<{len(data) // 4}f", data))
+def read_binary(spark: SparkSession, path: str) -> DataFrame:
+    """(gene_ord, column, field, value) of a folder of ``write_binary``, from its parts and its metadata."""
+    target = Path(path.removeprefix("file://"))
+    with (target / "Reshape_Meta.txt").open() as meta:
+        _, fields, columns = (meta.readline().rstrip("\n").split("\t") for _ in range(3))
+    parts = spark.read.parquet(str(target / "parts"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")  # one row a part
+    data, width = str(target / "Reshape_Binary.bin.gz"), len(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for name, first in zip(batch.column("name").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                with gzip.open(f"{data}/{name}", "rb") as source:
+                    while block := source.read(4 * width * 1000):
+                        at = np.arange(len(block) // 4) + first
+                        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.frombuffer(block, "<f4"))], ["at", "value"])
+                        first += len(at)
+
+    values = parts.select("name", before.alias("first")).where("n > 0").mapInArrow(run, "at long, value float")
+    at, per_gene = F.col("at"), width * len(columns)
+    pick = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
+    return values.select(F.floor(at / per_gene).alias("gene_ord"), pick(columns, F.floor(at / width) % len(columns)).alias("column"), pick(fields, at % width).alias("field"), "value")
 
 
-def write_metadata(path: str, values: dict) -> None:
-    target = Path(path)
+def write_metadata(path: str, sections: dict[str, dict | list]) -> None:
+    """Metadata of a run as text: sections in brackets, then a line for each entry; refuses an existing file."""
+    target = Path(path.removeprefix("file://"))
     if target.exists():
         raise FileExistsError(path)
-    target.write_text(json.dumps(values, indent=1, sort_keys=True, default=str) + "\n")
+    lines = []
+    for name, entries in sections.items():
+        lines += [f"[{name}]", *([f"{k}\t{v}" for k, v in entries.items()] if isinstance(entries, dict) else map(str, entries)), ""]
+    target.write_text("\n".join(lines))
+
+
+def read_metadata(path: str) -> dict[str, dict]:
+    """Sections of a metadata file."""
+    out: dict[str, dict] = {}
+    for line in Path(path.removeprefix("file://")).read_text().splitlines():
+        if line.startswith("["):
+            out[line.strip("[]")] = section = {}
+        elif line:
+            key, _, value = line.partition("\t")
+            section[key] = value
+    return out
