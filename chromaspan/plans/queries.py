@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
+from ..functions.stages import shared_folder, written
 from ..operators import abc, contacts, genes, intervals, matrix, motifs, sequence, signals
+from ..sinks import writers
+from ..sources import readers
+from . import pipeline
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,11 +64,10 @@ def tss_all(spark, d):
     return t.select("gene_id", "chr", F.size("tss").cast("long").alias("n_tss"), F.array_min("tss").alias("low"), F.array_max("tss").alias("high"), F.array_join(F.transform("tss", lambda x: x.cast("string")), ",").alias("tss"))
 
 
-@query(_with(V.GENES_CTE) + "SELECT gene_id, gene_name FROM genes WHERE gene_name = 'BUILDING' OR gene_id IN (SELECT c_name FROM customer WHERE c_custkey % 7 = 0)")
+@query(_with(V.GENES_CTE) + "SELECT gene_id, gene_name FROM genes WHERE gene_name = 'BUILDING' OR ord IN (SELECT doc_id FROM labels)")
 def gene_filter(spark, d):
-    ids = V.read(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_name").alias("key"))
-    keys = ids.union(V.genes(spark, d).where("gene_name = 'BUILDING'").select(F.col("gene_name").alias("key")))
-    return genes.filter_genes(V.genes(spark, d), keys).select("gene_id", "gene_name")
+    ids = V.read(spark, d, "labels").select(F.concat(F.lit("Customer#"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("key"))
+    return genes.filter_genes(V.genes(spark, d), ids.union(spark.createDataFrame([("BUILDING",)], "key string"))).select("gene_id", "gene_name")
 
 
 @query(_with(V.GENES_CTE) + "SELECT DISTINCT chr, greatest(0, tss - 2501) AS wstart, tss + 2500 AS wend FROM genes")
@@ -172,36 +175,43 @@ def gene_activity(spark, d):
 # -- sequences and motifs ---------------------------------------------------------------------
 
 
-@query("SELECT doc_id, regexp_replace(upper(regexp_replace(text[1:300], '[^A-Za-z]', '', 'g')), '[^ACGT]', 'N', 'g') AS seq FROM documents")
+@query("SELECT doc_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACGT]', 'N', 'g') AS seq FROM documents")
 def seq_clean(spark, d):
-    s = V.read(spark, d, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 300), "[^A-Za-z]", "").alias("seq"))
-    return sequence.clean(s)
+    return sequence.clean(V.read(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("seq")))
 
 
-@query(_with(V.SEQUENCES_CTE) + "SELECT CAST(max(length(seq)) AS BIGINT) AS max_len, round(sum(length(regexp_replace(seq, '[^CG]', '', 'g'))) / sum(length(regexp_replace(seq, '[^ACGT]', '', 'g'))), 6) AS gc FROM seqs")
+@query(_with(V.CONTIGS_CTE) + "SELECT CAST(max(length(seq)) AS BIGINT) AS max_len, round(sum(length(regexp_replace(seq, '[^CG]', '', 'g'))) / sum(length(regexp_replace(seq, '[^ACGT]', '', 'g'))), 6) AS gc FROM contigs")
 def gc_content(spark, d):
-    return sequence.statistics(V.sequences(spark, d)).select("max_len", r("gc").alias("gc"))
+    return sequence.statistics(V.contigs(spark, d)).select("max_len", r("gc").alias("gc"))
 
 
-@query(_with(V.SEQUENCES_CTE) + "SELECT peak_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM seqs")
+@query(_with(V.CONTIGS_CTE) + "SELECT chr, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM contigs")
 def revcomp(spark, d):
-    return V.sequences(spark, d).select("peak_id", X.reverse_complement("seq").alias("seq"))
+    return V.contigs(spark, d).select("chr", X.reverse_complement("seq").alias("seq"))
 
 
-@query(_with(V.SEQUENCES_CTE, "cut AS (SELECT peak_id, seq, (CAST(peak_id AS BIGINT) * 7) % 90 AS s FROM seqs)") + "SELECT peak_id, seq[s + 1:s + 100] AS part FROM cut WHERE s + 100 <= length(seq)")
+@query(_with(V.CONTIGS_CTE, "cut AS (SELECT chr, seq, unnest([(CAST(chr AS BIGINT) * 7) % 90, CAST(length(seq) // 2 AS BIGINT), CAST(length(seq) AS BIGINT) - 100]) AS s FROM contigs)") + "SELECT DISTINCT chr, s, seq[s + 1:s + 100] AS part FROM cut WHERE s >= 0 AND s + 100 <= length(seq)")
 def sequence_extract(spark, d):
-    genome = V.sequences(spark, d).select(F.col("peak_id").alias("chr"), "seq")
-    start = (F.col("chr").cast("long") * 7) % 90
-    regions = genome.select(F.col("chr").alias("peak_id"), "chr", start.alias("start"), (start + 100).alias("end"))
-    return sequence.extract(regions, sequence.chunk_genome(genome, 64), 64).select("peak_id", F.col("seq").alias("part"))
+    genome = V.contigs(spark, d)
+    n = F.length("seq").cast("long")
+    starts = F.array((F.col("chr").cast("long") * 7) % 90, F.floor(n / 2), n - 100)
+    regions = genome.select("chr", F.explode(starts).alias("start")).where("start >= 0").distinct()
+    regions = regions.select(X.peak_id("chr", "start", F.col("start") + 100).alias("peak_id"), "chr", "start", (F.col("start") + 100).alias("end"))
+    return sequence.extract(regions, sequence.chunk_genome(genome, 64), 64).select("chr", F.col("start").alias("s"), F.col("seq").alias("part"))
 
 
-def _counts(spark, d):
-    rows = V.motif_rows(spark, d, 50)
-    return rows.select("motif_ord", "ac", "name", "pos", *[F.floor(b).cast("double").alias(b) for b in "acgt"])
+@query(_with(V.CONTIGS_CTE) + "SELECT chr, CAST(k AS BIGINT) AS chunk, CAST(length(seq) AS BIGINT) AS length, seq[k * 1000 + 1:k * 1000 + 1000] AS part FROM (SELECT chr, seq, unnest(range(0, (length(seq) + 999) // 1000)) AS k FROM contigs WHERE length(seq) > 0)")
+def genome_chunks(spark, d):
+    return readers.read_genome(spark, V.genome_file(spark, d), 1000)
 
 
-_ENERGY = """counts AS (SELECT motif_ord, pos, floor(a) + 1 AS a, floor(c) + 1 AS c, floor(g) + 1 AS g, floor(t) + 1 AS t FROM mrows),
+@query(_with(V.SEQUENCES_CTE) + "SELECT peak_id, seq FROM seqs WHERE length(seq) > 1")
+def fasta_records(spark, d):
+    lines = V.sequences(spark, d).select(F.concat(F.lit(">"), F.col("peak_id"), F.lit("\n"), F.col("seq")).alias("value"))
+    return readers.read_fasta(spark, V.text_folder(lines, "records")).select(F.col("chr").alias("peak_id"), "seq")
+
+
+_ENERGY = """counts AS (SELECT motif_ord, pos, a + 1 AS a, c + 1 AS c, g + 1 AS g, t + 1 AS t FROM crows),
 tops AS (SELECT *, greatest(a, t) AS m_at, greatest(c, g) AS m_cg FROM counts)"""
 
 
@@ -212,9 +222,9 @@ def _energy_sql(own: str, other: str, x: str, bg: str) -> str:
 _AT, _CG = "ln(((1 - 0.41) / 2) / (0.41 / 2))", "ln((0.41 / 2) / ((1 - 0.41) / 2))"
 
 
-@query(_with(V.MOTIFS_CTE.replace("vec_id < 4", "vec_id < 50"), _ENERGY) + f"SELECT motif_ord, CAST(pos AS INTEGER) AS pos, {_energy_sql('m_at', 'm_cg', 'a', _AT)} AS a, {_energy_sql('m_cg', 'm_at', 'c', _CG)} AS c, {_energy_sql('m_cg', 'm_at', 'g', _CG)} AS g, {_energy_sql('m_at', 'm_cg', 't', _AT)} AS t, round(16 * 0.584 - 5.66, 6) AS lnr0 FROM tops")
+@query(_with(V.COUNTS_CTE, _ENERGY) + f"SELECT motif_ord, CAST(pos AS INTEGER) AS pos, {_energy_sql('m_at', 'm_cg', 'a', _AT)} AS a, {_energy_sql('m_cg', 'm_at', 'c', _CG)} AS c, {_energy_sql('m_cg', 'm_at', 'g', _CG)} AS g, {_energy_sql('m_at', 'm_cg', 't', _AT)} AS t, round(16 * 0.584 - 5.66, 6) AS lnr0 FROM tops")
 def pscm_to_psem(spark, d):
-    e = motifs.energies(_counts(spark, d))
+    e = motifs.energies(V.count_rows(spark, d))
     return e.select("motif_ord", "pos", *[r(b).alias(b) for b in "acgt"], r(motifs.ln_r0(F.lit(16.0))).alias("lnr0"))
 
 
@@ -452,8 +462,294 @@ def gene_tf_long(spark, d):
     return _gene_tf(spark, d)[0].select(F.col("column").alias("col"), "gene_id", "tf", r("value", 4).alias("value"))
 
 
-@query(_GENE_TF + "SELECT col, gene_id, " + ", ".join(f"round(coalesce(max(v) FILTER (WHERE tf = 'TF{i}'), 0), 4) AS TF{i}" for i in range(4)) + " FROM gt GROUP BY col, gene_id")
+@query(_GENE_TF + "SELECT col, gene_id, " + ", ".join(f"round(coalesce(max(v) FILTER (WHERE tf = 'TF{i}'), 0), 4) AS TF{i}" for i in range(5)) + " FROM gt GROUP BY col, gene_id")
 def gene_tf_matrix(spark, d):
-    factors = [f"TF{i}" for i in range(4)]
+    factors = [r["name"] for r in _matrices(spark, d).select("name").orderBy("name").collect()]  # one row a motif
     wide = matrix.wide(_gene_tf(spark, d)[0], factors)
     return wide.select(F.col("column").alias("col"), "gene_id", *[r(f, 4).alias(f) for f in factors])
+
+
+# -- sources ----------------------------------------------------------------------------------
+
+
+def _values(names: str, rows: list[tuple]) -> str:
+    """SQL of a few given rows."""
+    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(text, x)) + ")" for x in rows) + f") v({names})"
+
+
+@query(_with(V.GENES_CTE) + "SELECT gene_id, gene_name, chr, strand, s AS gstart, e AS gend, tss FROM genes")
+def gtf_genes(spark, d):
+    return readers.read_gtf(spark, V.gtf_file(spark, d), "gene").select("gene_id", "gene_name", "chr", "strand", F.col("start").alias("gstart"), F.col("end").alias("gend"), "tss")
+
+
+@query(_with(V.TRANSCRIPTS_CTE) + "SELECT gene_id, gene_name, chr, tss FROM transcripts")
+def gtf_transcripts(spark, d):
+    return readers.read_gtf(spark, V.gtf_file(spark, d), "transcript").select("gene_id", "gene_name", "chr", "tss")
+
+
+@query(_with(V.PEAKS_CTE) + "SELECT peak_id, chr, s AS pstart, e AS pend, sig1, sig2, '_sig_one,_price' AS suffixes FROM peaks")
+def bed_signals(spark, d):
+    regions, names = readers.read_bed(spark, V.bed_file(spark, d), "4+")
+    return regions.select("peak_id", "chr", F.col("start").alias("pstart"), F.col("end").alias("pend"), F.col("c4").alias("sig1"), F.col("c5").alias("sig2"), F.lit(",".join(names.values())).alias("suffixes"))
+
+
+@query(_with(V.COUNTS_CTE) + "SELECT name, CAST(pos AS INTEGER) AS pos, a, c, g, t FROM crows")
+def transfac_matrices(spark, d):
+    return readers.read_transfac(spark, V.transfac_file(spark, d)).select("name", "pos", *"acgt")
+
+
+@query(_with(V.MOTIFS_CTE) + "SELECT name, CAST(pos AS INTEGER) AS pos, 16 AS length, round(16 * 0.584 - 5.66, 4) AS lnr0, round(a, 4) AS a, round(c, 4) AS c, round(g, 4) AS g, round(t, 4) AS t FROM mrows")
+def energy_matrices(spark, d):
+    path = shared_folder(spark, "energy-matrices")
+    writers.write_energy_matrices(_matrices(spark, d), path, motifs.DEFAULT_GC)
+    back = readers.read_energy_matrices(spark, path).select("name", "length", r("lnr0", 4).alias("lnr0"), F.posexplode("energy").alias("pos", "e"))
+    return back.select("name", "pos", "length", "lnr0", *[r(F.get("e", F.lit(i)), 4).alias(b) for i, b in enumerate("acgt")])
+
+
+@query(_with(V.MOTIFS_CTE) + "SELECT name, 15 - CAST(pos AS INTEGER) AS pos, round(t, 4) AS a, round(g, 4) AS c, round(c, 4) AS g, round(a, 4) AS t FROM mrows")
+def motif_reverse_energies(spark, d):
+    back = motifs.reverse_complement(_matrices(spark, d)).select("name", F.posexplode("energy").alias("pos", "e"))
+    return back.select("name", "pos", *[r(F.get("e", F.lit(i)), 4).alias(b) for i, b in enumerate("acgt")])
+
+
+@query(_with(V.CELLS_CTE) + "SELECT chr, bin1, bin2, contact FROM cells")
+def contact_files(spark, d):
+    """Files by name, repeated cells: the last line of a cell counts."""
+    return contacts.last_cells(contacts.canonical(readers.read_contacts(spark, V.contact_folder(spark, d)), V.BIN))
+
+
+@query(_with(V.CELLS_CTE) + "SELECT chr, bin2 - bin1 AS d, sum(contact * 2 + 5) AS total FROM cells WHERE bin2 > bin1 GROUP BY chr, bin2 - bin1")
+def contact_files_profile(spark, d):
+    """Repeated cells all count in the sums by distance."""
+    cells = contacts.canonical(readers.read_contacts(spark, V.contact_folder(spark, d)), V.BIN)
+    return contacts.distance_profile(cells, V.BIN).select("chr", "d", "total")
+
+
+@query("SELECT c_name AS key FROM labels JOIN customer ON c_custkey = doc_id")
+def gene_list(spark, d):
+    c = V.read(spark, d, "customer")
+    keys = V.read(spark, d, "labels").join(c, F.col("doc_id") == F.col("c_custkey")).select(F.concat(F.lit(" "), F.col("c_name")).alias("value"))
+    return readers.read_gene_list(spark, V.text_folder(keys.union(spark.createDataFrame([("",)], "value string")), "gene-list"))
+
+
+@query(_with(V.SEQUENCES_CTE, V.MOTIFS_CTE, _AFFINITY) + "SELECT peak_id, count(*) AS n, round(sum(x), 5) AS total FROM aff GROUP BY peak_id")
+def affinity_table(spark, d):
+    a = motifs.affinities(V.sequences(spark, d), _matrices(spark, d))
+    return a.select("peak_id", F.size("affinity").cast("long").alias("n"), r(F.aggregate("affinity", F.lit(0.0), lambda x, y: x + y), 5).alias("total"))
+
+
+_SPECS = {"4": "4", "4-6": "4,5,6", "4+": "4,5,6", "4,6,9": "4,6", "4,6-8": "4,5,6,7,8", "0": "", "": ""}
+
+
+@query(_values("spec, columns", list(_SPECS.items())))
+def column_grammar(spark, d):
+    return spark.createDataFrame([(x, ",".join(map(str, signals.parse_columns(x, 6)))) for x in _SPECS], "spec string, columns string")
+
+
+_FLAGS = [("True", 1, 1), ("F", 0, 0), ("1", 1, 1), ("false", 0, 0), ("maybe", 1, 0), ("", 1, 0)]
+
+
+@query(_values("flag, or_true, or_false", _FLAGS))
+def flag_spellings(spark, d):
+    return spark.createDataFrame([(x, int(X.as_flag(x, True)), int(X.as_flag(x, False))) for x, _, _ in _FLAGS], "flag string, or_true int, or_false int")
+
+
+_OPTIONS = [
+    ({"annotation": "a", "genome": "g", "counts": "c"}, ""),
+    ({"annotation": "a", "genome": "g"}, "motifs are required, as energies or counts"),
+    ({"annotation": "a", "genome": "", "counts": "c"}, "genome is required"),
+    ({"annotation": "a", "genome": "g", "counts": "c", "contacts": "False"}, "scores need regions and the column of their activity"),
+    ({"annotation": "a", "genome": "g", "counts": "c", "contacts": "F", "bed": "b", "columns": "4"}, ""),
+    ({"annotation": "a", "genome": "g", "counts": "c", "contacts": "folder", "bed": "b", "columns": "4", "bin_size": "0"}, "measured contacts need the size of their bins"),
+    ({"annotation": "a", "genome": "g", "counts": "c", "interactions": "x", "bed": "b"}, "given interactions need regions and the column of their activity"),
+    ({"annotation": "a", "genome": "g", "counts": "c", "window": "1e05", "bed": "F"}, ""),
+    ({"annotation": "a", "genome": "g", "counts": "c", "wndow": "1"}, "unknown options: wndow"),
+]
+
+
+def _told(options: dict[str, str]) -> str:
+    try:
+        pipeline.RunConfig.from_options(options).check()
+    except ValueError as wrong:
+        return str(wrong)
+    return ""
+
+
+@query(_values("k, told", [(k, told) for k, (_, told) in enumerate(_OPTIONS)]))
+def option_checks(spark, d):
+    return spark.createDataFrame([(k, _told(o)) for k, (o, _) in enumerate(_OPTIONS)], "k int, told string")
+
+
+@query(_values("k, half, scored", [(0, 25_000, 0), (1, 2_500_000, 1), (2, 50_000, 0)]))
+def option_defaults(spark, d):
+    given = [{}, {"contacts": "false"}, {"window": "1e05"}]
+    configs = [pipeline.RunConfig.from_options({"annotation": "a", "genome": "g"} | o) for o in given]
+    return spark.createDataFrame([(k, c.half, int(c.scored)) for k, c in enumerate(configs)], "k int, half int, scored int")
+
+
+@query(_values("k, told", [(0, "refused"), (1, "accepted")]))
+def repeated_regions(spark, d):
+    """A region with two different lines is refused, whole lines that repeat are not."""
+    p = V.peaks(spark, d).select(F.concat_ws("\t", F.col("chr"), F.col("start").cast("string"), F.col("end").cast("string"), F.col("sig1").cast("string")).alias("value"))
+    out = []
+    for k, more in enumerate((p.select(F.concat("value", F.lit("9")).alias("value")), p)):
+        try:
+            readers.read_bed(spark, V.text_folder(p.union(more), "regions"), "4")
+            out.append((k, "accepted"))
+        except ValueError:
+            out.append((k, "refused"))
+    return spark.createDataFrame(out, "k int, told string")
+
+
+# -- further modes and sinks ------------------------------------------------------------------
+
+
+@query(_with(V.CELLS_CTE, _SPAN, _PROFILE, _FIT) + "SELECT o_orderkey, round(CASE WHEN o_orderkey * 1000 > 1000000 THEN exp(slope * ln(o_orderkey * 1000) + intercept) ELSE exp(slope * ln(1000000) + intercept) END, 4) AS expected FROM orders JOIN fit ON chr = CAST(o_custkey % 5 AS VARCHAR)")
+def pseudocount_by_distance(spark, d):
+    fit = contacts.power_law(_cells(spark, d), V.BIN)
+    o = V.read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 5).cast("string").alias("c"))
+    return o.join(fit, F.col("c") == F.col("chr")).select("o_orderkey", r(contacts.pseudocount(F.col("o_orderkey"), V.BIN, F.col("slope"), F.col("intercept")), 4).alias("expected"))
+
+
+@query("SELECT o_orderkey, CAST(printf('%.5e', o_totalprice / 6.9999) AS DOUBLE) AS six, CAST(printf('%.7e', o_totalprice / 70000000) AS DOUBLE) AS eight FROM orders")
+def significant_digits(spark, d):
+    text = lambda x, n: X.significant_text(x, n).cast("double")
+    return V.read(spark, d, "orders").select("o_orderkey", text(F.col("o_totalprice") / 6.9999, 6).alias("six"), text(F.col("o_totalprice") / 70000000, 8).alias("eight"))
+
+
+_FOLD = "list_reduce(list_prepend({'t': CAST(0 AS DOUBLE), 'v': CAST(0 AS DOUBLE)}, list({'t': n * sig, 'v': sig} ORDER BY s, e, peak_id) OVER w), lambda held, x: CASE WHEN x.t > held.v THEN x ELSE held END).v AS s_max"
+_ORDERED = _abc_sql(False, True, False).replace("max(sig) OVER w AS s_max", _FOLD)
+
+
+@query(_ORDERED + "SELECT col, gene_id, peak_id, round(activity, 6) AS activity, round(score, 6) AS score FROM hits")
+def abc_ordered_max(spark, d):
+    settings = abc.AbcSettings(**(SETTINGS.__dict__ | {"adapted": False, "ordered_max": True}))
+    p = V.peaks(spark, d)
+    hits = abc.score(genes.all_tss(V.transcripts(spark, d)), p, signals.unpivot_signals(p, ["sig1", "sig2"]), settings)
+    return hits.select(F.col("column").alias("col"), "gene_id", "peak_id", r("activity").alias("activity"), r("abc_score").alias("score"))
+
+
+@query(_with(V.GENES_CTE, "w AS (SELECT DISTINCT chr, greatest(0, tss - 2501) AS s, tss + 2500 AS e FROM genes)") + "SELECT g.gene_id, w.s AS wstart, w.e AS wend, 0 AS distance, CAST(1 AS DOUBLE) AS scaler FROM genes g JOIN w ON g.chr = w.chr AND greatest(0, g.tss - 2501) = w.s AND g.tss + 2500 = w.e")
+def promoter_scaler(spark, d):
+    g = V.genes(spark, d)
+    windows = genes.promoter_windows(g, HALF).withColumn("peak_id", X.peak_id("chr", "start", "end"))
+    scaled = matrix.window_scaler(matrix.promoter_pairs(g, windows, HALF), None, False)
+    return scaled.select("gene_id", F.col("start").alias("wstart"), F.col("end").alias("wend"), "distance", "scaler")
+
+
+def _hits(spark, d):
+    return _abc(spark, d, True, True, False)
+
+
+@query(_abc_sql(True, True, False) + "SELECT col, gene_id, peak_id, round(intergenic, 3) AS score FROM hits")
+def interaction_tables(spark, d):
+    """Interactions written, one folder a column, and read as given ones."""
+    path = shared_folder(spark, "interactions")
+    writers.write_interactions(_hits(spark, d), path)
+    back = readers.read_interactions(spark, {c: f"{path}/column={c}" for c in ("sig1", "sig2")})
+    return back.select(F.col("column").alias("col"), "gene_id", "peak_id", r("intergenic_score", 3).alias("score"))
+
+
+_NAMES = [("out/x_c4.txt.gz", "out/x_c4.txt.gz,out/x_c5.txt.gz"), ("out/x_red.txt.gz", "out/x_red.txt.gz,out/x_sky_blue.txt.gz"), ("out/x.txt.gz", "out/x_red.txt.gz,out/x_sky_blue.txt.gz")]
+
+
+@query(_values("path, files", _NAMES))
+def interaction_siblings(spark, d):
+    names = {"c4": "_red", "c5": "_sky_blue"}
+    return spark.createDataFrame([(p, ",".join(readers.interaction_files(p, names).values())) for p, _ in _NAMES], "path string, files string")
+
+
+@query(_abc_sql(True, False, True) + _INFO + "SELECT col, gene_id, n_enhancer, round(avg_activity, 2) AS avg_activity, failure FROM info")
+def gene_info_tables(spark, d):
+    path = shared_folder(spark, "gene-info")
+    writers.write_gene_info(_info(spark, d), path)
+    back = spark.read.option("sep", "\t").option("header", True).csv(path)
+    return back.select(F.col("column").alias("col"), F.col("Ensembl ID").alias("gene_id"), F.col("`#Enhancer`").cast("long").alias("n_enhancer"), r(F.col("Avg_EnhancerActivity").cast("double"), 2).alias("avg_activity"), F.col("Failure").alias("failure"))
+
+
+def _wide(spark, d):
+    long, scaled = _gene_tf(spark, d)
+    factors = [x["name"] for x in _matrices(spark, d).select("name").orderBy("name").collect()]  # one row a motif
+    return matrix.wide(long, factors, matrix.peak_features(scaled)), [*factors, "NumPeaks", "AvgPeakDistance", "AvgPeakSize"]
+
+
+_WIDE = ", wf AS (SELECT col, gene_id, " + ", ".join(f"coalesce(max(v) FILTER (WHERE tf = 'TF{i}'), 0) AS TF{i}" for i in range(5)) + """ FROM gt GROUP BY col, gene_id),
+pf AS (SELECT col, gene_id, count(*) FILTER (WHERE scaler > 0) AS NumPeaks, coalesce(avg(dist) FILTER (WHERE scaler > 0), 0) AS AvgPeakDistance, coalesce(avg(e - s) FILTER (WHERE scaler > 0), 0) AS AvgPeakSize FROM scaled GROUP BY col, gene_id)
+"""
+
+
+@query(_GENE_TF + _WIDE + "SELECT col, gene_id, " + ", ".join(f"round(TF{i}, 4) AS TF{i}" for i in range(5)) + ", NumPeaks, round(AvgPeakDistance, 3) AS AvgPeakDistance, round(AvgPeakSize, 3) AS AvgPeakSize FROM wf JOIN pf USING (col, gene_id)")
+def gene_tf_tables(spark, d):
+    """The matrix as text, ten decimals, one folder a column."""
+    path = shared_folder(spark, "gene-tf")
+    wide, fields = _wide(spark, d)
+    writers.write_gene_tf(wide, path)
+    back = spark.read.option("sep", "\t").option("header", True).csv(path)
+    digits = lambda f: F.col(f).cast("long") if f == "NumPeaks" else r(F.col(f).cast("double"), 3 if f.startswith("Avg") else 4)
+    return back.select(F.col("column").alias("col"), F.col("geneID").alias("gene_id"), *[digits(f).alias(f) for f in fields])
+
+
+@query(_GENE_TF + _WIDE + ", o AS (SELECT c_name, c_custkey AS gi FROM customer) SELECT gi, col, field, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 1) AS value FROM (SELECT gi, col, unnest(['TF0', 'TF1', 'TF2', 'TF3', 'TF4', 'NumPeaks', 'AvgPeakDistance', 'AvgPeakSize']) AS field, unnest([TF0, TF1, TF2, TF3, TF4, NumPeaks, AvgPeakDistance, AvgPeakSize]) AS value FROM wf JOIN pf USING (col, gene_id) JOIN o ON c_name = gene_id)")
+def gene_tf_binary(spark, d):
+    """The matrix as 32-bit floats, read back by place; genes are in the order of their keys."""
+    path = shared_folder(spark, "binary")
+    wide, fields = _wide(spark, d)
+    named = V.read(spark, d, "customer").select(F.col("c_name").alias("gene_id"), F.col("c_custkey").alias("k"))
+    there = named.join(wide.select("gene_id").distinct(), "gene_id", "left_semi")
+    ords = written(there.select("gene_id", "k", (F.row_number().over(Window.orderBy("k")) - 1).cast("long").alias("ord")), "gene-order")  # one row a gene
+    writers.write_binary(wide, ords, ["sig1", "sig2"], fields, path)
+    back = writers.read_binary(spark, path).join(ords, F.col("gene_ord") == F.col("ord"))
+    return back.select(F.col("k").alias("gi"), F.col("column").alias("col"), "field", F.round(F.col("value").cast("double"), 1).alias("value"))
+
+
+@query(SQL["discarded_genes"])
+def discarded_table(spark, d):
+    path = shared_folder(spark, "discarded")
+    writers.write_discarded(discarded_genes(spark, d), path)
+    return spark.read.option("sep", "\t").schema("gene_id string, reason string").csv(path)
+
+
+@query(SQL["promoter_windows"])
+def promoter_bed(spark, d):
+    path = shared_folder(spark, "promoter-windows")
+    writers.write_bed(genes.promoter_windows(V.genes(spark, d), HALF), path)
+    return readers.read_bed(spark, path)[0].select("chr", F.col("start").alias("wstart"), F.col("end").alias("wend"))
+
+
+@query("SELECT 'considered motifs' AS k, count(*) AS v FROM embeddings UNION ALL SELECT 'provided regions', count(*) + 1 FROM part")
+def metadata_counts(spark, d):
+    """Counts of a run's metadata, written and read back; the header of the regions counts."""
+    config = pipeline.RunConfig(annotation="a", genome="g", bed=V.bed_file(spark, d), counts=V.transfac_file(spark, d))
+    path = shared_folder(spark, "metadata")
+    V._path(path).parent.mkdir(parents=True, exist_ok=True)
+    writers.write_metadata(path, pipeline.run_metadata(spark, config))
+    return spark.createDataFrame([(k, int(v)) for k, v in writers.read_metadata(path)["Metrics"].items()], "k string, v long")
+
+
+_GIVEN = {"annotation": "a.gtf", "bed": "r.bed", "columns": "4+", "window": "100000", "cutoff": "0.02", "bin_size": "5000", "adapted": "True"}
+
+
+@query(_values("k, v", list(_GIVEN.items())))
+def score_metadata(spark, d):
+    config = pipeline.RunConfig(annotation="a.gtf", genome="g", bed="r.bed", columns="4+", window=100_000, fractal=True, counts="c")
+    path = shared_folder(spark, "metadata")
+    V._path(path).parent.mkdir(parents=True, exist_ok=True)
+    writers.write_metadata(path, pipeline.score_metadata(config))
+    found = writers.read_metadata(path)["Scores"]
+    return spark.createDataFrame([(k, found[k]) for k in _GIVEN], "k string, v string")
+
+
+@query("SELECT 'refused' AS again, count(*) AS rows FROM part")
+def existing_output(spark, d):
+    """Gzipped tables, and a second write to the same place."""
+    path = shared_folder(spark, "table")
+    p = V.peaks(spark, d)
+    writers.write_tsv(p, path)
+    try:
+        writers.write_tsv(p, path)
+        again = "accepted"
+    except Exception as refused:  # Spark names it differently by version
+        again = "refused" if "exist" in str(refused).lower() else str(refused)
+    gz = spark.read.option("sep", "\t").option("header", True).option("pathGlobFilter", "*.gz").csv(path)
+    return gz.groupBy(F.lit(again).alias("again")).agg(F.count("*").alias("rows"))

@@ -5,10 +5,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import gzip
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import peak_id, strand_tss
+from ..functions.stages import shared_folder
 
 BIN = 1000
 
@@ -49,25 +53,103 @@ def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 5).cast("string").alias("chr"), start.alias("start"), (start + 60).alias("end"))
 
 
+def _bases(text: str) -> Column:
+    """A text's ASCII letters, upper-cased, dealt out to the four bases."""
+    letters = F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
+    return F.translate(letters, "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
+
+
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long sequences: whole documents."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chr"), _bases("text").alias("seq"))
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    bases = F.translate(letters, "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("peak_id"), F.substring(bases, 1, 200).alias("seq"))
+    """Region sequences: whole turns of conversations."""
+    return read(spark, sf_dir, "conversations").select((F.col("conv_id") * 8 + F.col("turn")).cast("string").alias("peak_id"), _bases("text").alias("seq"))
 
 
-def motif_rows(spark: SparkSession, sf_dir: str, count: int = 4) -> DataFrame:
-    """Energy rows of the first motifs."""
-    e = read(spark, sf_dir, "embeddings").where(F.col("vec_id") < count)
-    rows = e.select(F.col("vec_id").alias("motif_ord"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pos"))
-    at = lambda b: (F.abs(F.get("embedding", F.col("pos") * 4 + b).cast("double")) * 10)
+def count_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count matrices: every embedding, 16 positions of 4 bases."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("motif_ord"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pos"))
+    at = lambda b: F.floor(F.abs(F.get("embedding", F.col("pos") * 4 + b).cast("double")) * 10).cast("double")
     name = F.concat(F.lit("TF"), F.col("motif_ord").cast("string"))
     return rows.select("motif_ord", name.alias("ac"), name.alias("name"), "pos", at(0).alias("a"), at(1).alias("c"), at(2).alias("g"), at(3).alias("t"))
 
 
+def motif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy rows: a motif of 16 positions for each region of the sales tables."""
+    k, p = F.col("motif_ord"), F.col("pos")
+    rows = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("motif_ord"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pos"))
+    name = F.concat(F.lit("TF"), k.cast("string"))
+    at = lambda x, m: (x % m) * 0.06
+    return rows.select("motif_ord", name.alias("ac"), name.alias("name"), "pos", at((k + 1) * (7 * p + 3), 11).alias("a"), at((k + 2) * (5 * p + 1), 13).alias("c"), at((k + 3) * (3 * p + 2), 7).alias("g"), at((k + 1) * (2 * p + 5), 9).alias("t"))
+
+
+def _path(folder: str) -> Path:
+    return Path(folder.removeprefix("file://"))
+
+
+def text_folder(lines: DataFrame, label: str) -> str:
+    """Lines (value) written as text to a fresh folder, which is given."""
+    path = shared_folder(lines.sparkSession, label)
+    lines.select("value").write.text(path)
+    return path
+
+
+def gtf_file(spark: SparkSession, sf_dir: str) -> str:
+    """Genes and transcripts as annotation lines."""
+    field = lambda *x: F.concat_ws("\t", *[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    attr = F.concat(F.lit('gene_id "'), F.col("gene_id"), F.lit('"; gene_name "'), F.col("gene_name"), F.lit('";'))
+    chrom = F.concat(F.lit("chr"), F.col("chr"))
+    g = genes(spark, sf_dir).select(field(chrom, "x", "gene", F.col("start"), F.col("end"), ".", F.col("strand"), ".", attr).alias("value"))
+    t = transcripts(spark, sf_dir).select(field(chrom, "x", "transcript", F.col("tss"), F.col("tss") + 10, ".", "+", ".", attr).alias("value"))
+    return text_folder(g.union(t).union(spark.createDataFrame([("# made of tables",), ("too\tshort",)], "value string")), "annotation")
+
+
+def bed_file(spark: SparkSession, sf_dir: str) -> str:
+    """Regions with two signals below a header."""
+    head = spark.createDataFrame([("# chr\tstart\tend\tsig one\tprice",)], "value string")
+    rows = peaks(spark, sf_dir).select(F.concat_ws("\t", F.concat(F.lit("chr"), F.col("chr")), F.col("start").cast("string"), F.col("end").cast("string"), F.col("sig1").cast("string"), F.col("sig2").cast("string")).alias("value"))
+    return text_folder(head.union(rows).coalesce(1), "regions")  # the header is the first line of one file
+
+
+def transfac_file(spark: SparkSession, sf_dir: str) -> str:
+    """Count matrices as records."""
+    line = F.concat_ws(" ", F.lpad((F.col("pos") + 1).cast("string"), 2, "0"), *[F.col(b).cast("long").cast("string") for b in "acgt"])
+    m = count_rows(spark, sf_dir).groupBy("motif_ord", "ac", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n").alias("rows"))
+    return text_folder(m.select(F.concat(F.lit("AC "), F.col("ac"), F.lit("\nID "), F.col("name"), F.lit("\nP0 A C G T\n"), F.col("rows"), F.lit("\nXX\n//")).alias("value")), "count-matrices")
+
+
+def contact_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A gzipped file a chromosome. Each cell stands twice, the later line is right; files that are to be passed over stand beside."""
+    raw = raw_contacts(spark, sf_dir)
+    twice = raw.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    line = F.concat_ws("\t", F.col("pos1").cast("string"), F.col("pos2").cast("string"), (F.col("contact") + 5 * (1 - F.col("turn"))).cast("string"))
+    folder = shared_folder(spark, "contacts")
+    twice.repartition("chr").sortWithinPartitions("chr", "turn", "pos1", "pos2").select("chr", line.alias("value")).write.option("compression", "gzip").partitionBy("chr").text(folder + "-parts")
+    _path(folder).mkdir(parents=True)
+    for part in sorted(_path(folder + "-parts").glob("chr=*/*.gz")):  # one file a chromosome
+        chrom = part.parent.name.removeprefix("chr=")
+        part.rename(_path(folder) / f"chr{chrom}_b.gz")
+        for name, text in ((f"chr{chrom}_a.gz", "0\t0\t77\n"), (f"chr{chrom}_c.gz", "not readable\n0\t0\t99\n")):
+            with gzip.open(_path(folder) / name, "wt") as f:
+                f.write(text)
+    return folder
+
+
+def genome_file(spark: SparkSession, sf_dir: str) -> str:
+    """Contigs in lines of 60."""
+    wrapped = F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")
+    return text_folder(contigs(spark, sf_dir).select(F.concat(F.lit(">chr"), F.col("chr"), F.lit(" made of a text\n"), wrapped).alias("value")), "genome")
+
+
 PEAKS_CTE = """peaks AS (SELECT *, chr || ':' || s || '-' || e AS peak_id FROM (SELECT p_partkey AS ord, CAST(p_partkey % 5 AS VARCHAR) AS chr, p_partkey * 37 AS s, p_partkey * 37 + p_size * 10 AS e, CAST(p_size AS DOUBLE) AS sig1, p_retailprice AS sig2 FROM part))"""
 GENES_CTE = """genes AS (SELECT *, CASE WHEN strand = '+' THEN s ELSE e END AS tss FROM (SELECT c_custkey AS ord, c_name AS gene_id, c_mktsegment AS gene_name, CAST(c_custkey % 5 AS VARCHAR) AS chr, CASE WHEN c_nationkey % 2 = 0 THEN '+' ELSE '-' END AS strand, c_custkey * 49 + 1 AS s, c_custkey * 49 + 1 + c_nationkey * 20 AS e FROM customer))"""
 TRANSCRIPTS_CTE = """transcripts AS (SELECT o_orderkey AS ord, c_name AS gene_id, c_mktsegment AS gene_name, CAST(o_custkey % 5 AS VARCHAR) AS chr, o_custkey * 49 + 1 + (o_orderkey % 7) * 200 AS tss FROM orders JOIN customer ON o_custkey = c_custkey)"""
 CELLS_CTE = """cells AS (SELECT CAST(l_partkey % 5 AS VARCHAR) AS chr, CAST(floor(l_partkey * 37 / 1000) AS BIGINT) AS bin1, CAST(floor(l_partkey * 37 / 1000) AS BIGINT) + l_suppkey % 30 AS bin2, sum(l_quantity) AS contact FROM lineitem GROUP BY ALL)"""
 EXCLUDED_CTE = """excluded AS (SELECT CAST(s_suppkey % 5 AS VARCHAR) AS chr, s_suppkey * 701 AS s, s_suppkey * 701 + 60 AS e FROM supplier)"""
-SEQUENCES_CTE = """seqs AS (SELECT CAST(doc_id AS VARCHAR) AS peak_id, substring(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC'), 1, 200) AS seq FROM documents)"""
-MOTIFS_CTE = """mrows AS (SELECT vec_id AS motif_ord, 'TF' || vec_id AS name, p AS pos, abs(CAST(embedding[4 * p + 1] AS DOUBLE)) * 10 AS a, abs(CAST(embedding[4 * p + 2] AS DOUBLE)) * 10 AS c, abs(CAST(embedding[4 * p + 3] AS DOUBLE)) * 10 AS g, abs(CAST(embedding[4 * p + 4] AS DOUBLE)) * 10 AS t FROM embeddings, range(16) r(p) WHERE vec_id < 4)"""
+CONTIGS_CTE = """contigs AS (SELECT CAST(doc_id AS VARCHAR) AS chr, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS seq FROM documents)"""
+SEQUENCES_CTE = """seqs AS (SELECT CAST(conv_id * 8 + turn AS VARCHAR) AS peak_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS seq FROM conversations)"""
+COUNTS_CTE = """crows AS (SELECT vec_id AS motif_ord, 'TF' || vec_id AS name, p AS pos, floor(abs(CAST(embedding[4 * p + 1] AS DOUBLE)) * 10) AS a, floor(abs(CAST(embedding[4 * p + 2] AS DOUBLE)) * 10) AS c, floor(abs(CAST(embedding[4 * p + 3] AS DOUBLE)) * 10) AS g, floor(abs(CAST(embedding[4 * p + 4] AS DOUBLE)) * 10) AS t FROM embeddings, range(16) r(p))"""
+MOTIFS_CTE = """mrows AS (SELECT CAST(r_regionkey AS BIGINT) AS motif_ord, 'TF' || r_regionkey AS name, p AS pos, CAST(((r_regionkey + 1) * (7 * p + 3)) % 11 AS DOUBLE) * 0.06 AS a, CAST(((r_regionkey + 2) * (5 * p + 1)) % 13 AS DOUBLE) * 0.06 AS c, CAST(((r_regionkey + 3) * (3 * p + 2)) % 7 AS DOUBLE) * 0.06 AS g, CAST(((r_regionkey + 1) * (2 * p + 5)) % 9 AS DOUBLE) * 0.06 AS t FROM region, range(16) r(p))"""

@@ -3,13 +3,14 @@
 import gzip
 import math
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from chromaspan.functions import columns as X
 from chromaspan.operators import abc, contacts, genes, intervals, matrix, motifs, sequence, signals
-from chromaspan.plans.pipeline import RunConfig, run_pipeline
+from chromaspan.plans.pipeline import RunConfig, run_affinities, run_metadata, run_pipeline, run_promoter_windows, run_scores
 from chromaspan.sinks import writers
 from chromaspan.sources import readers
 from chromaspan.streaming.regions import gene_activity
@@ -184,6 +185,90 @@ def test_readers(spark, files):
     assert [(r["ac"], r["name"], r["length"]) for r in m] == [("M1", "first", 3), ("M2", "second", 2)]
 
 
+def test_genome_by_lines(spark, tmp_path):
+    """Contigs over several blocks of a file, in short and in very long lines, equal their text."""
+    rnd = random.Random(3)
+    contigs = {f"c{k}": "".join(rnd.choices("ACGTN", k=n)) for k, n in enumerate((5, 900, 1, 4000, 300, 2500))}
+    text = "".join(f">chr{k} note\n" + ("\n".join(v[i : i + 60] for i in range(0, len(v), 60)) if k != "c3" else v) + "\n" for k, v in contigs.items())
+    (tmp_path / "g.fa").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = readers.read_genome(spark, str(tmp_path / "g.fa"), 128).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {}
+    for r in sorted(rows, key=lambda r: r["chunk"]):
+        assert r["length"] == len(contigs[r["chr"]]) and (len(r["part"]) == 128 or (r["chunk"] + 1) * 128 > r["length"])
+        got[r["chr"]] = got.get(r["chr"], "") + r["part"]
+    assert got == contigs
+
+
+def test_gene_tf_blocks_equal_long_sums(spark):
+    rnd = random.Random(6)
+    affinity = spark.createDataFrame([(f"p{i}", [rnd.random() for _ in range(3)]) for i in range(40)], "peak_id string, affinity array<double>")
+    scaled = spark.createDataFrame([(rnd.choice("uv"), f"g{rnd.randrange(6)}", f"p{rnd.randrange(45)}", rnd.random() if rnd.random() < 0.9 else None) for _ in range(300)], "column string, gene_id string, peak_id string, scaler double")
+    m = spark.createDataFrame([(i, f"m{i}", i + 2) for i in range(3)], "motif_ord long, name string, length int")
+    rows = scaled.join(affinity, "peak_id").select("column", "gene_id", "scaler", F.posexplode("affinity").alias("k", "x")).groupBy("column", "gene_id", "k").agg(F.sum(F.col("x") * F.col("scaler")).alias("t")).collect()
+    want = {(r["column"], r["gene_id"], f"m{r['k']}"): r["t"] / (r["k"] + 2) for r in rows}
+    assert {(r["column"], r["gene_id"], r["tf"]): r["value"] for r in matrix.gene_tf(scaled, affinity, m).collect()} == pytest.approx(want)
+
+
+def test_quirk_switches(spark, small):
+    """A maximum that depends on the regions' order, and a constant beyond a megabase without a fit."""
+    g, p, s, c = small
+    base = abc.AbcSettings(gene_window=100_000, enhancer_window=100_000, cutoff=0.0, adapted=False)
+    plain, ordered = (abc.score(g, p, s, abc.AbcSettings(**(base.__dict__ | {"ordered_max": x}))) for x in (False, True))
+    sig = {(r["peak_id"], r["column"]): r["signal"] for r in s.collect()}
+    n = {r["gene_id"]: len(r["tss"]) for r in g.collect()}
+    rows = ordered.collect()
+    some = 0
+    for gene, col in {(r["gene_id"], r["column"]) for r in rows}:
+        own = sorted((r for r in rows if (r["gene_id"], r["column"]) == (gene, col)), key=lambda r: (r["start"], r["end"], r["peak_id"]))
+        pairs = abc.pair_contacts(g.where(g["gene_id"] == gene), p, base).where("near").select("peak_id", "start", "end").distinct().orderBy("start", "end", "peak_id").collect() if some < 3 else None
+        if pairs is None:
+            continue
+        some += 1
+        held = 0.0
+        for x in pairs:
+            held = sig[x["peak_id"], col] if n[gene] * sig[x["peak_id"], col] > held else held
+        assert all(r["activity"] == pytest.approx(100 * r["signal"] / held) for r in own)
+    assert plain.count() == len(rows)
+    far = spark.createDataFrame([("g", "1", [10])], "gene_id string, chr string, tss array<long>"), spark.createDataFrame([("1:3000000-3000100", "1", 3_000_000, 3_000_100)], "peak_id string, chr string, start long, end long")
+    cells = spark.createDataFrame([("1", 0, 1, 2.0)], "chr string, bin1 long, bin2 long, contact double")
+    got = [abc.pair_contacts(*far, abc.AbcSettings(4_000_000, 4_000_000, unit_far_pseudocount=x), cells).first()["contact"] for x in (False, True)]
+    assert got == [0.0, 1.0]
+
+
+def test_parts_alone(spark, files):
+    """Scores, affinities, windows and gene values by themselves, with their own defaults."""
+    cfg = RunConfig(annotation=str(files / "a.gtf"), genome="", bed=str(files / "r.bed"), cutoff=0.0, window=10_000)
+    hits, info = run_scores(spark, cfg)
+    assert {r["column"] for r in hits.select("column").distinct().collect()} == {"c4"} and info.count() == 2
+    assert run_promoter_windows(spark, str(files / "a.gtf")).count() == 3
+    assert {r["end"] - r["start"] for r in run_promoter_windows(spark, str(files / "a.gtf")).collect()} <= {5001, 2601}
+    (files / "s.fa").write_text(">1:0-4\nACGTACGTTG\n>1:5-6\nA\n")
+    writers.write_energy_matrices(motifs.to_matrices(motifs.energies(readers.read_transfac(spark, str(files / "m.txt")))), str(files / "psem"), 0.41)
+    aff = run_affinities(spark, str(files / "s.fa"), str(files / "psem"))
+    assert [(r["peak_id"], len(r["affinity"])) for r in aff.collect()] == [("1:0-4", 2)]
+
+
+def test_run_is_written_and_told(spark, files, tmp_path):
+    cfg = RunConfig(annotation=str(files / "a.gtf"), genome=str(files / "g.fa"), bed=str(files / "r.bed"), counts=str(files / "m.txt"), columns="4-5", fractal=True, cutoff=0.0, window=10_000)
+    result = run_pipeline(spark, cfg)
+    paths = writers.write_run(result, str(tmp_path / "out"), "x")
+    assert set(paths) == {writers.INTERACTIONS, writers.GENE_INFO, writers.GENE_TF, writers.DISCARDED}
+    with pytest.raises(FileExistsError):
+        writers.write_run(result, str(tmp_path / "out"), "x")
+    told = run_metadata(spark, cfg, result)
+    writers.write_metadata(str(tmp_path / "meta.tsv"), told)
+    back = writers.read_metadata(str(tmp_path / "meta.tsv"))
+    assert back["Metrics"]["provided regions"] == "5" and back["Metrics"]["considered motifs"] == "2" and back["Metrics"]["interactions"] == str(result.interactions.count())
+    with pytest.raises(ValueError, match="activity"):
+        run_pipeline(spark, RunConfig(annotation="a", genome="g", counts="c", bed="b", fractal=True))
+
+
 def test_energy_file_roundtrip(spark, files, tmp_path):
     m = motifs.to_matrices(motifs.energies(readers.read_transfac(spark, str(files / "m.txt"))))
     writers.write_energy_matrices(m, str(tmp_path / "psem"), 0.41)
@@ -205,11 +290,19 @@ def test_run_window_mode(spark, files, tmp_path):
     wide = matrix.wide(out.gene_tf, ["first", "second"], out.features)
     assert wide.columns == ["column", "gene_id", "first", "second", "NumPeaks", "AvgPeakDistance", "AvgPeakSize"]
     fields = wide.columns[2:]
-    n = writers.write_binary(wide, ["G1", "G2"], ["c4", "c5"], fields, str(tmp_path / "bin"))
-    values = writers.read_binary(str(tmp_path / "bin"))
+    order = spark.createDataFrame([("G1", 0), ("G2", 1)], "gene_id string, ord long")
+    n = writers.write_binary(wide, order, ["c4", "c5"], fields, str(tmp_path / "bin"))
+    values = {(r["gene_ord"], r["column"], r["field"]): r["value"] for r in writers.read_binary(spark, str(tmp_path / "bin")).collect()}
     rows = {(r["column"], r["gene_id"]): r for r in wide.collect()}
     assert n == len(values) == 2 * 2 * 5
-    assert values[5:10] == pytest.approx([float(rows["c5", "G1"][f]) for f in fields], rel=1e-6)
+    assert [values[0, "c5", f] for f in fields] == pytest.approx([float(rows["c5", "G1"][f]) for f in fields], rel=1e-6)
+    # The parts are one gzip stream: factor fastest, then column, then gene.
+    parts = sorted((tmp_path / "bin" / "Reshape_Binary.bin.gz").glob("*.gz"))
+    stream = gzip.decompress(b"".join(p.read_bytes() for p in parts))
+    want = [float(rows[c, g][f]) for g in ("G1", "G2") for c in ("c4", "c5") for f in fields]
+    assert list(struct.unpack(f"<{n}f", stream)) == pytest.approx(want, rel=1e-6)
+    assert (tmp_path / "bin" / "Reshape_Meta.txt").read_text().split("\n")[2:4] == ["c4\tc5", "G1\tG2"]
+    assert struct.unpack("<4f", (tmp_path / "bin" / "Endianness_check.bin").read_bytes()) == tuple(writers.ORDER_CHECK)
     writers.write_tsv(wide, str(tmp_path / "tsv"), partition="column")
     with pytest.raises(Exception, match="(?i)exist"):
         writers.write_tsv(wide, str(tmp_path / "tsv"), partition="column")
