@@ -130,7 +130,8 @@ class ChunkEncoder:
     character into white space, nor from a letter into one of ``.,;:!?``. So a text is cut there,
     and the ids of its chunks, kept in a bounded table, are those of the text. New chunks go to the
     library many at a time, with a NUL between them, which no merge touches. Texts with characters
-    that Python and the library may class differently, with a NUL or an added token are passed whole.
+    that Python and the library may class differently, with a NUL or an added token (which the library
+    finds in a text before it splits it) are passed whole.
     """
 
     chunk = re.compile(r"\s?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\s.,;:!?])|[.,;:!?]++(?!\S)|\s*+\S++|\s++")
@@ -143,7 +144,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         # The chunks of late and those before them; the latter go when the former are many.
         self.most, self.known, self.older = most, {}, {}
@@ -236,8 +236,8 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, path: str
 
     Gives the folder and its manifest (file, part, seq, n_docs, n_ids, first_id), one row a file.
     Null and empty texts have the end id only; rows without a doc_id come first; repeated rows are
-    written each; an empty table writes no file. A task writes its files under their final names by
-    a rename, and a repeated task writes the same bytes again.
+    written each; an empty table writes no file; very long texts make longer files. Each attempt of a
+    task writes under names of its own, and the manifest lists those of the attempts that Spark took.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
@@ -260,10 +260,9 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, path: str
         end = END_ID.to_bytes(encoder.width, "little")
 
         def flush() -> pa.RecordBatch:
-            name = f"part-{part:06d}-{seq:05d}.tok"
-            with store.open_output_stream(f"{folder}/{name}.{attempt}.tmp") as out:
+            name = f"part-{part:06d}-{seq:05d}-{attempt}.tok"
+            with store.open_output_stream(f"{folder}/data/{name}") as out:
                 out.write(pack_file(names, lengths, b"".join(ids), encoder.width))
-            store.move(f"{folder}/{name}.{attempt}.tmp", f"{folder}/data/{name}")
             return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "n_docs": [len(names)], "n_ids": [held]}, schema=pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for batch in batches:
@@ -293,25 +292,31 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, path: str
     return path, spark.read.parquet(f"{path.rstrip('/')}/manifest")
 
 
-def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) and the ids of each document, from the files and manifest alone."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True, most: int = 20_000) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) and the ids of each document, from the files and manifest alone.
+
+    Tasks, ``most`` at most, get names of files and read these one at a time; a document's place in
+    its file comes from ``select`` on the stored boundaries. An empty manifest gives an empty result.
+    """
     manifest = spark.read.parquet(f"{path.rstrip('/')}/manifest").select("file", "first_id")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(f"{path.rstrip('/')}/data")
-    located = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(manifest, "file").select("first_id", "content")
+    tasks = max(1, min(most, manifest.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         import numpy as np
+        from pyarrow import fs
 
+        store, folder = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for k in range(batch.num_rows):
-                data, first = batch.column("content")[k].as_py(), batch.column("first_id")[k].as_py()
-                file = TokenFile(data)
-                ends = file.ends.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            for name, first in zip(batch.column("file").to_pylist(), batch.column("first_id").to_pylist(), strict=True):
+                with store.open_input_stream(f"{folder}/data/{name}") as source:
+                    file = TokenFile(source.read())
+                ends = [file.ends.select(i) for i in range(file.documents)]
+                starts = [0, *ends[:-1]]
                 wide = file.tokens(0, file.ids).astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts, ends, strict=True)]
+                starts, ends = np.array(starts, np.int64), np.array(ends, np.int64)
                 columns = [pa.array(file.doc_ids(), pa.int64()), pa.array(starts + first), pa.array(ends - starts), pa.array(crc, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
@@ -320,7 +325,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return located.mapInArrow(run, schema)
+    return manifest.repartition(tasks).mapInArrow(run, schema)
 
 
 def op6_token_files(docs: DataFrame) -> DataFrame:
