@@ -1,10 +1,14 @@
 """Quality rules: thresholds that adapt to each language and source.
 
-Every document gets a few ratios. For each (lang, source) and ratio a logarithmic histogram is
-counted: bucket k holds the values in (g^(k-1), g^k], so counts of any two histograms add up, and
-any quantile of the sum is known within the relative error of the bucket width. From the quantiles
-of a group come an upper and a lower fence; groups with few rows borrow those of the language, and
-then of all documents. Documents outside a fence of their group are dropped by a join.
+Every document gets a few ratios, taken as if a little text of the usual kind were added to it, so
+that short texts and zeros have a place on a logarithmic scale. For each (lang, source) and ratio a
+histogram is counted: bucket k holds the values in (g^(k-1), g^k], so counts of any two histograms
+add up, and any quantile of the sum is known within the relative error of the bucket width. The
+fences of a group are so many quartile distances above and below its median, in buckets; there are
+no fixed cutoffs. Groups with few rows borrow those of the language, and then of all documents, and
+no group's fence goes further than FACTOR times that of its language, nor a language's than FACTOR
+times that of all: so a source that is junk for the most part does not set its own standard.
+Documents outside a fence of their group are dropped by a join.
 """
 
 from __future__ import annotations
@@ -23,10 +27,13 @@ ACCURACY = 0.02
 MIN_ROWS = 100
 #: Tables of thresholds of at most so many rows (some 100 bytes each) are broadcast.
 BROADCAST_ROWS = 200_000
-#: For each ratio: the least value of an upper fence, so that groups without spread reject nothing small.
-RATIOS = {"symbol_ratio": 0.10, "dup_line_ratio": 0.50, "repeat_ratio": 0.30, "mean_word": 12.0}
+#: For each ratio: what is counted, of what, and what is added to both. The added text is of 50 words or
+#: 10 lines; a window that is found twice has 6 words.
+RATIOS = {"symbol_ratio": ("n_symbols", "n_words", 0.5, 50), "dup_line_ratio": ("n_dup_lines", "n_lines", 0.5, 10), "repeat_ratio": ("n_repeat_words", "n_words", 5.0, 50), "mean_word": ("word_chars", "n_words", 0.0, 0)}
 #: Ratios that are also held against a lower fence.
 LOWER = {"mean_word"}
+#: Quartile distances from the median to a fence, and how far a fence may be from that of the wider group.
+SPREAD, FACTOR = 9, 4.0
 
 
 def repeated_words(w: Column) -> Column:
@@ -65,9 +72,9 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def ratio(name: str) -> Column:
-    """A ratio of the measures; null where it says nothing."""
-    part = {"symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "mean_word": ("word_chars", "n_words")}[name]
-    return F.try_divide(F.col(part[0]).cast("double"), F.col(part[1]))
+    """A ratio of the measures; null for a text without words."""
+    part, whole, more, base = RATIOS[name]
+    return F.when(F.col(whole) > 0, (F.col(part) + F.lit(more)) / (F.col(whole) + F.lit(base)))
 
 
 def bucket(value: Column) -> Column:
@@ -81,37 +88,50 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "source", each).where("x.bucket IS NOT NULL").groupBy("lang", "source", "x.ratio", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(hist: DataFrame, by: list[str], spread: float) -> DataFrame:
-    """Fences of each group and ratio: the median plus and minus ``spread`` times its distance to the 90th and 10th percentile."""
+def fences(hist: DataFrame, by: list[str], spread: int) -> DataFrame:
+    """Fences of each group and ratio, as buckets: the median and ``spread`` times the distance to the quartile on that side.
+
+    A distance counts as one bucket at least, which is what a quantile is known to; ``flat`` tells that no quartile differs.
+    """
     hist = hist.groupBy(*by, "ratio", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "ratio")
     run = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = hist.select(*by, "ratio", "bucket", "n", run.alias("run"), F.sum("n").over(group).alias("total"))
-    at = lambda q: F.min(F.when(F.col("run") >= F.ceil(F.col("total") * q), F.pow(F.lit(1 + ACCURACY), F.col("bucket"))))
-    q = ranked.groupBy(*by, "ratio").agg(F.max("total").alias("rows"), at(0.1).alias("q10"), at(0.5).alias("q50"), at(0.9).alias("q90"))
-    least = F.coalesce(*[F.when(F.col("ratio") == r, F.lit(float(v))) for r, v in RATIOS.items()])
-    return q.select(*by, "ratio", "rows", F.greatest(F.col("q50") + spread * (F.col("q90") - F.col("q50")), least).alias("high"), (F.col("q50") - spread * (F.col("q50") - F.col("q10"))).alias("low"))
+    at = lambda q: F.min(F.when(F.col("run") >= F.ceil(F.col("total") * q), F.col("bucket")))
+    q = ranked.groupBy(*by, "ratio").agg(F.max("total").alias("rows"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+    high, low = (F.col("q50") + sign * spread * F.greatest(F.lit(1), width) for sign, width in ((1, F.col("q75") - F.col("q50")), (-1, F.col("q50") - F.col("q25"))))
+    return q.select(*by, "ratio", "rows", high.alias("high"), low.alias("low"), (F.col("q25") == F.col("q75")).alias("flat"))
 
 
-def thresholds(hist: DataFrame, spread: float, min_rows: int) -> DataFrame:
-    """One row for each (lang, source) with a low and high fence per ratio."""
+def group_fences(hist: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS) -> DataFrame:
+    """(lang, source, ratio, high, low, flat): the fences that hold for a group, its own or borrowed ones."""
     own = fences(hist, ["lang", "source"], spread)
-    wider = fences(hist, ["lang"], spread).select(F.col("lang").alias("l"), F.col("ratio").alias("lr"), F.col("rows").alias("lrows"), F.col("high").alias("lhigh"), F.col("low").alias("llow"))
-    widest = fences(hist, [], spread).select(F.col("ratio").alias("ar"), F.col("high").alias("ahigh"), F.col("low").alias("alow"))
+    wider = fences(hist, ["lang"], spread).select(F.col("lang").alias("l"), F.col("ratio").alias("lr"), F.col("rows").alias("l_rows"), F.col("high").alias("l_high"), F.col("low").alias("l_low"), F.col("flat").alias("l_flat"))
+    widest = fences(hist, [], spread).select(F.col("ratio").alias("ar"), F.col("high").alias("a_high"), F.col("low").alias("a_low"), F.col("flat").alias("a_flat"))
     joined = own.join(wider, F.col("lang").eqNullSafe(F.col("l")) & (F.col("ratio") == F.col("lr"))).join(widest, F.col("ratio") == F.col("ar"))
-    pick = lambda c: F.when(F.col("rows") >= min_rows, F.col(c)).when(F.col("lrows") >= min_rows, F.col(f"l{c}")).otherwise(F.col(f"a{c}"))
-    picked = joined.select("lang", "source", "ratio", pick("high").alias("high"), pick("low").alias("low"))
+    far = math.ceil(math.log(FACTOR) / math.log1p(ACCURACY))
+    many, l_many = F.col("rows") >= min_rows, F.col("l_rows") >= min_rows
+    l_high = F.when(l_many, F.least("l_high", F.col("a_high") + far)).otherwise(F.col("a_high"))
+    l_low = F.when(l_many, F.greatest("l_low", F.col("a_low") - far)).otherwise(F.col("a_low"))
+    return joined.select(
+        "lang", "source", "ratio", F.when(many, F.least("high", l_high + far)).otherwise(l_high).alias("high"), F.when(many, F.greatest("low", l_low - far)).otherwise(l_low).alias("low"),
+        F.when(many, F.col("flat")).when(l_many, F.col("l_flat")).otherwise(F.col("a_flat")).alias("flat"),
+    )
+
+
+def thresholds(hist: DataFrame, spread: int, min_rows: int) -> DataFrame:
+    """One row for each (lang, source) with a low and high fence per ratio."""
     both = [F.max(F.when(F.col("ratio") == r, F.col(c))).alias(f"{c}_{r}") for r in RATIOS for c in ("high", "low")]
-    return picked.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*both)
+    return group_fences(hist, spread, min_rows).groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*both)
 
 
-def judge(docs: DataFrame, spread: float = 4.0, min_rows: int = MIN_ROWS) -> DataFrame:
+def judge(docs: DataFrame, spread: int = SPREAD, min_rows: int = MIN_ROWS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, lang, source, text): its measures, ``base_failed``,
     ``failed_rules`` (names of the fences it is outside of) and ``kept``.
 
     A null text has no words and fails the base rule, as do texts under 50 words and very repetitive
-    ones. Null languages and sources form groups of their own. Repeated rows are judged alike. An
-    empty table gives an empty result; further columns are not looked at.
+    ones. Null languages and sources form groups of their own. Repeated rows are judged alike. Very
+    long texts count whole. An empty table gives an empty result; further columns are not looked at.
     """
     rows = materialise(measures(docs), "quality-measures")
     t = materialise(thresholds(sketches(rows), spread, min_rows), "quality-thresholds")
@@ -119,7 +139,7 @@ def judge(docs: DataFrame, spread: float = 4.0, min_rows: int = MIN_ROWS) -> Dat
         t = F.broadcast(t)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     # A value is compared by its bucket, as the fences are, and a rule needs a fence.
-    outside = lambda r: F.coalesce(ratio(r) > F.col(f"high_{r}") * (1 + ACCURACY), F.lit(False)) | (F.coalesce(ratio(r) < F.col(f"low_{r}") / (1 + ACCURACY), F.lit(False)) if r in LOWER else F.lit(False))
+    outside = lambda r: F.coalesce(bucket(ratio(r)) > F.col(f"high_{r}"), F.lit(False)) | (F.coalesce(bucket(ratio(r)) < F.col(f"low_{r}"), F.lit(False)) if r in LOWER else F.lit(False))
     rules = F.array_compact(F.array(*[F.when(outside(r), F.lit(r)) for r in RATIOS]))
     judged = rows.join(t, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     judged = judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), rules.alias("failed_rules"))
@@ -131,15 +151,24 @@ def op7_quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def _fence_sql(name: str, by: str) -> str:
-    """The fences of one way of grouping, as two common table expressions."""
+    """The fences of one way of grouping, as common table expressions."""
     keys = f"{by}, " if by else ""
     return f"""{name}_h AS (SELECT {keys}k, bucket, count(*) AS n FROM r GROUP BY {keys}k, bucket),
 {name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {keys}k ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY {keys}k) AS total FROM {name}_h),
-{name} AS (SELECT {keys}k, rows, greatest(q50 + 4.0 * (q90 - q50), CASE k {" ".join(f"WHEN '{k}' THEN {v}" for k, v in RATIOS.items())} END) AS high, q50 - 4.0 * (q50 - q10) AS low FROM (
-  SELECT {keys}k, max(total) AS rows, min(CASE WHEN run >= ceil(total * 0.1) THEN power(1.02, bucket) END) AS q10, min(CASE WHEN run >= ceil(total * 0.5) THEN power(1.02, bucket) END) AS q50, min(CASE WHEN run >= ceil(total * 0.9) THEN power(1.02, bucket) END) AS q90
+{name} AS (SELECT {keys}k, rows, q50 + {SPREAD} * greatest(1, q75 - q50) AS high, q50 - {SPREAD} * greatest(1, q50 - q25) AS low FROM (
+  SELECT {keys}k, max(total) AS rows, min(CASE WHEN run >= ceil(total * 0.25) THEN bucket END) AS q25, min(CASE WHEN run >= ceil(total * 0.5) THEN bucket END) AS q50, min(CASE WHEN run >= ceil(total * 0.75) THEN bucket END) AS q75
   FROM {name}_r GROUP BY {keys}k))"""
 
 
+#: A factor of 4 in buckets of 2 percent.
+_FAR = 71
+
+
+def _ratio_sql(name: str) -> str:
+    part, whole, more, base = RATIOS[name]
+    return f"SELECT doc_id, lang, source, '{name}' AS k, (CAST({part} AS DOUBLE) + {more}) / ({whole} + {base}) AS v FROM m WHERE {whole} > 0"
+
+
 #: DuckDB SQL for op7: the same counts, histograms and fences.
 OP7_SQL = rf"""
 WITH t AS (
@@ -153,14 +182,15 @@ WITH t AS (
     len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c, 0) AS n_repeat_words FROM t LEFT JOIN cov USING (doc_id)
 ), r AS (
   SELECT doc_id, lang, source, k, v, CAST(ceil(ln(greatest(v, 1e-6)) / ln(1.02)) AS INTEGER) AS bucket FROM (
-    SELECT doc_id, lang, source, 'symbol_ratio' AS k, n_symbols / n_words AS v FROM m WHERE n_words > 0 UNION ALL SELECT doc_id, lang, source, 'dup_line_ratio', n_dup_lines / n_lines FROM m WHERE n_lines > 0
-    UNION ALL SELECT doc_id, lang, source, 'repeat_ratio', n_repeat_words / n_words FROM m WHERE n_words > 0 UNION ALL SELECT doc_id, lang, source, 'mean_word', word_chars / n_words FROM m WHERE n_words > 0)
+    {" UNION ALL ".join(map(_ratio_sql, RATIOS))}
+)
 ), {_fence_sql("own", "lang, source")}, {_fence_sql("wider", "lang")}, {_fence_sql("widest", "")},
-f AS (
-  SELECT r.doc_id, r.k FROM r JOIN own o ON r.lang IS NOT DISTINCT FROM o.lang AND r.source IS NOT DISTINCT FROM o.source AND r.k = o.k
-    JOIN wider l ON r.lang IS NOT DISTINCT FROM l.lang AND r.k = l.k JOIN widest a ON r.k = a.k
-  WHERE v > CASE WHEN o.rows >= 100 THEN o.high WHEN l.rows >= 100 THEN l.high ELSE a.high END * 1.02
-    OR r.k = 'mean_word' AND v < CASE WHEN o.rows >= 100 THEN o.low WHEN l.rows >= 100 THEN l.low ELSE a.low END / 1.02
+held AS (
+  SELECT o.lang, o.source, o.k, o.rows, o.high, o.low, CASE WHEN l.rows >= 100 THEN least(l.high, a.high + {_FAR}) ELSE a.high END AS l_high, CASE WHEN l.rows >= 100 THEN greatest(l.low, a.low - {_FAR}) ELSE a.low END AS l_low
+  FROM own o JOIN wider l ON o.lang IS NOT DISTINCT FROM l.lang AND o.k = l.k JOIN widest a ON o.k = a.k
+), f AS (
+  SELECT r.doc_id, r.k FROM r JOIN held h ON r.lang IS NOT DISTINCT FROM h.lang AND r.source IS NOT DISTINCT FROM h.source AND r.k = h.k
+  WHERE bucket > CASE WHEN rows >= 100 THEN least(high, l_high + {_FAR}) ELSE l_high END OR r.k = 'mean_word' AND bucket < CASE WHEN rows >= 100 THEN greatest(low, l_low - {_FAR}) ELSE l_low END
 ), g AS (SELECT doc_id, string_agg(k, ',' ORDER BY CASE k {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(RATIOS))} END) AS failed_rules FROM f GROUP BY doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND failed_rules IS NULL AS kept, coalesce(failed_rules, '') AS failed_rules
