@@ -1,10 +1,12 @@
 """Decontamination, line dedup and quality rules."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from chromaspan.llm import decontamination, line_dedup, quality_rules
+from chromaspan.llm import common, decontamination, line_dedup, quality_rules
 
 from . import cases
 
@@ -41,13 +43,27 @@ def test_decontamination_removals(spark, benchmark):
     hit = {i for i, r in cases.by_id(decontamination.op1_decontamination(docs, benchmark)).items() if r["contaminated"]}
     assert kept.columns == docs.columns and not hit & set(cases.by_id(kept))
     spans = cases.by_id(decontamination.remove_spans(spark.createDataFrame([(1, "Say: the AND of, to! the end", 2)], "doc_id long, text string, x int"), benchmark))
-    assert spans[1]["text"] == "Say:   ,   the end".replace("   ,   ", "   , ! ") or "the end" in spans[1]["text"] and "AND" not in spans[1]["text"]
+    assert spans[1]["text"] == "Say:   , ! the end" and spans[1]["x"] == 2
     assert decontamination.op1_decontamination(cases.empty(spark), benchmark).count() == 0
     assert decontamination.remove_documents(docs, benchmark.limit(0)).count() == docs.count()
     repeated = decontamination.op1_decontamination(docs, benchmark)
     assert repeated.count() == docs.count()
 
 
+def test_decontamination_by_shuffle(spark, benchmark, monkeypatch):
+    """Without any broadcast the results are the same; columns may be named like those used inside."""
+    docs = cases.documents(spark)
+    want = sorted(decontamination.op1_decontamination(docs, benchmark).collect(), key=str)
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert sorted(decontamination.op1_decontamination(docs, benchmark).collect(), key=str) == want
+    clashing = docs.selectExpr("*", "1 AS id_", "2 AS hash_", "3 AS found", "4 AS row_hash", "5 AS w", "6 AS h")
+    assert decontamination.remove_documents(clashing, benchmark).count() == sum(not r["contaminated"] for r in want)
+    marked = decontamination.mark(clashing, benchmark)
+    assert marked.columns == [*clashing.columns, "hit_spans", "n_hit", "hit_items"] and marked.where("n_hit > 0").count() == sum(r["contaminated"] for r in want)
+    assert decontamination.remove_spans(clashing, benchmark).columns == clashing.columns
+
+
 def test_line_dedup_equals_sql(spark):
     for docs in (cases.documents(spark, repeat=False), cases.sf_documents(spark)):
         mine = {k: r.asDict() for k, r in cases.by_id(line_dedup.op10_line_dedup(docs)).items()}
@@ -110,3 +126,16 @@ def test_quality_verdict_against_labels(spark):
     assert judged.where("quality = 0 AND kept").count() == 0
     good = judged.where("quality = 1 AND NOT base_failed")
     assert good.where("kept").count() >= 0.98 * good.count()
+
+
+def test_quality_fences_are_of_the_data(spark):
+    """Whatever the scale of the junk, a source that is half junk rejects it, and nearly all fences come from quartiles that differ."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = quality_rules.group_fences(quality_rules.sketches(quality_rules.measures(docs)))
+    assert found.where("NOT flat").count() >= 0.95 * found.count() > 0
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("abcdeiorstn", k=rnd.randint(2, 8))) for _ in range(600)]
+    clean = lambda k: "\n".join(" ".join(rnd.choices(words, k=12)) for _ in range(6 + k % 9))
+    rows = [(k, clean(k), "en", "good") for k in range(400)] + [(1000 + k, clean(k) + " #$% ^& **" * 40 if k % 2 else clean(k), "en", "bad") for k in range(120)]
+    got = cases.by_id(quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert sum(got[k]["kept"] for k in range(400)) >= 396 and all(got[1000 + k]["kept"] == (k % 2 == 0) for k in range(120))
