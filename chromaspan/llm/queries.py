@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, line_dedup, near_dups, pii, quality_rules, sentencepiece_codec, sharding, token_files
+from . import centroid_clustering, decontamination, language_id, lexical_search, license_scan, line_dedup, near_dups, neighbour_graph, pii, quality_rules, sentencepiece_codec, sharding, token_files
 from .common import table
 
 
@@ -22,8 +22,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": lambda spark, d: language_id.op8_language_id(table(spark, d, "documents")),
         "op9_sharding": lambda spark, d: sharding.op9_sharding(table(spark, d, "documents")),
         "op10_line_dedup": lambda spark, d: line_dedup.op10_line_dedup(table(spark, d, "documents")),
+        "op11_neighbour_graph": lambda spark, d: neighbour_graph.op11_neighbour_graph(table(spark, d, "embeddings")),
+        "op12_lexical_search": lambda spark, d: lexical_search.op12_lexical_search(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op13_centroid_clustering": lambda spark, d: centroid_clustering.op13_centroid_clustering(table(spark, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.OP1_SQL, "op4_near_dups": near_dups.OP4_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+    return {
+        "op1_decontamination": decontamination.OP1_SQL, "op4_near_dups": near_dups.OP4_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op10_line_dedup": line_dedup.OP10_SQL,
+        "op12_lexical_search": lexical_search.OP12_SQL, "op13_centroid_clustering": centroid_clustering.OP13_SQL,
+    }
