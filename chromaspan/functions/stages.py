@@ -32,6 +32,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    tail = ""
+    while any((n + tail).lower() in taken for n in names):
+        tail += "_"
+    return [n + tail for n in names]
+
+
 def is_small(df: DataFrame, row_bytes: int = 100) -> bool:
     """Whether a count of its rows, which stops at the bound, allows a table to be broadcast."""
     most = BROADCAST_BYTES // row_bytes

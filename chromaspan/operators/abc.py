@@ -14,10 +14,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import MEGABASE, bin_of, fractal_contact, midpoint_bin, tss_distance
-from ..functions.stages import bounded
+from ..functions.stages import written
 from . import contacts as C
 from .genes import filter_genes, gene_windows
 from .intervals import overlap_join
+from .sweep import sweep_join
+from .vectors import vector_totals
+
+
+#: Fields of an interaction.
+HIT_FIELDS = ["column", "chr", "start", "end", "gene_id", "gene_name", "peak_id", "signal", "contact", "activity", "scaled_contact", "intergenic_score", "tss_distance", "abc_score"]
 
 
 @dataclass(frozen=True)
@@ -26,7 +32,8 @@ class AbcSettings:
 
     Two switches repeat quirks of earlier programs: ``ordered_max`` scales the signals of the original
     form by a maximum that depends on the order of the regions, and ``unit_far_pseudocount`` adds 1
-    beyond a megabase where a chromosome has no fit, or pseudocounts are off.
+    beyond a megabase where a chromosome has no fit, or pseudocounts are off. ``sweep`` joins windows and
+    regions by a sweep over slots of equal size instead of bins of ``join_width``.
     """
 
     gene_window: int = 2_500_000
@@ -38,6 +45,7 @@ class AbcSettings:
     join_width: int | None = 100_000
     ordered_max: bool = False
     unit_far_pseudocount: bool = False
+    sweep: bool = False
 
 
 def pair_contacts(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, contacts: DataFrame | None = None) -> DataFrame:
@@ -49,31 +57,45 @@ def pair_contacts(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, con
     """
     reach = max(settings.gene_window, settings.enhancer_window) if settings.adapted else settings.gene_window
     hull = gene_windows(genes.select("gene_id", "chr", "tss"), reach)
-    pairs = overlap_join(hull, peaks.select("peak_id", "chr", "start", "end"), "inner", settings.join_width)
+    measured_by_chr = contacts is not None
+    if measured_by_chr:
+        # What is known by chromosome goes to the genes before the join, so that no join of pairs is by chromosome.
+        hull = _with_chromosome_facts(hull, contacts, settings)
+    regions = peaks.select("peak_id", "chr", "start", "end")
+    pairs = sweep_join(hull, regions) if settings.sweep else overlap_join(hull, regions, "inner", settings.join_width)
     low, high = F.array_min("tss"), F.array_max("tss")
     closest = F.least(tss_distance("r_start", "r_end", low), tss_distance("r_start", "r_end", high))
-    pairs = pairs.select("chr", "gene_id", "tss", F.size("tss").alias("n_tss"), F.col("r_peak_id").alias("peak_id"), F.col("r_start").alias("start"), F.col("r_end").alias("end"), (closest <= settings.gene_window).alias("near"))
-    rows = pairs.select("chr", "gene_id", "n_tss", "peak_id", "start", "end", "near", F.posexplode("tss").alias("tss_ord", "t")).where("near OR tss_ord = 0")
+    pairs = pairs.select("chr", "gene_id", "tss", F.size("tss").alias("n_tss"), F.col("r_peak_id").alias("peak_id"), F.col("r_start").alias("start"), F.col("r_end").alias("end"), (closest <= settings.gene_window).alias("near"), *(_FACTS if measured_by_chr else []))
+    rows = pairs.select(*[c for c in pairs.columns if c != "tss"], F.posexplode("tss").alias("tss_ord", "t")).where("near OR tss_ord = 0")
     rows = rows.withColumn("distance", tss_distance("start", "end", "t"))
-    if contacts is None:
+    if not measured_by_chr:
         return rows.withColumn("contact", fractal_contact("distance"))
     b = settings.bin_size
     rows = rows.withColumn("gene_bin", bin_of("t", b)).withColumn("peak_bin", midpoint_bin("start", "end", b))
-    cells = C.with_diagonal(C.last_cells(contacts))
-    found = C.lookup(rows, cells, "gene_bin", "peak_bin")
+    found = C.lookup(rows, C.with_diagonal(C.last_cells(contacts)), "gene_bin", "peak_bin")
     # Regions beyond the last gene window's bin have the expected contact only.
-    last = gene_windows(genes.select("gene_id", "chr", "tss"), reach).groupBy("chr").agg(bin_of(F.max("end"), b).alias("last_bin")).withColumnRenamed("chr", "__c")
-    found = found.join(bounded(last), F.col("chr") == F.col("__c")).drop("__c")
     measured = F.when(F.col("peak_bin") <= F.col("last_bin"), F.col("contact")).otherwise(F.lit(0.0))
     far = F.when(F.abs(F.col("gene_bin") - F.col("peak_bin")) * b > MEGABASE, F.lit(1.0)).otherwise(F.lit(0.0))
     if settings.pseudocount:
-        fit = C.power_law(contacts, b).withColumnRenamed("chr", "__c")
-        found = found.join(bounded(fit), F.col("chr") == F.col("__c"), "left").drop("__c")
         expected = C.pseudocount(F.col("gene_bin") - F.col("peak_bin"), b, F.col("slope"), F.col("intercept"))
         measured = measured + (F.when(F.col("slope").isNull(), far).otherwise(expected) if settings.unit_far_pseudocount else expected)
     elif settings.unit_far_pseudocount:
         measured = measured + far
-    return found.withColumn("contact", measured).select(*rows.columns, "contact")
+    return found.withColumn("contact", measured).select(*[c for c in rows.columns if c not in _FACTS], "contact")
+
+
+#: What ``_with_chromosome_facts`` adds to genes.
+_FACTS = ["last_bin", "slope", "intercept"]
+
+
+def _with_chromosome_facts(hull: DataFrame, contacts: DataFrame, settings: AbcSettings) -> DataFrame:
+    """Genes with their chromosome's last window bin and power law (null without a fit, or where it is not asked for)."""
+    last = hull.groupBy(F.col("chr").alias("chr_")).agg(bin_of(F.max("end"), settings.bin_size).alias("last_bin"))
+    hull = hull.join(last, F.col("chr") == F.col("chr_")).drop("chr_")
+    if not settings.pseudocount:
+        return hull.withColumn("slope", F.lit(None).cast("double")).withColumn("intercept", F.lit(None).cast("double"))
+    fit = C.power_law(contacts, settings.bin_size).withColumnRenamed("chr", "chr_")
+    return hull.join(fit, F.col("chr") == F.col("chr_"), "left").drop("chr_")
 
 
 def peak_contact_sums(pairs: DataFrame) -> DataFrame:
@@ -105,6 +127,8 @@ def score(genes: DataFrame, peaks: DataFrame, signals: DataFrame, settings: AbcS
     # Each region's total stands beside its pairs; near pairs are all that goes on.
     pairs = pairs.withColumn("contact_sum", F.sum("contact").over(Window.partitionBy("chr", "peak_id")))
     near = pairs.where("near")
+    if not settings.adapted:
+        near = written(near, "near-pairs")  # read by the chromosomes' largest contacts and by the scores
     top = near.groupBy("chr").agg(F.max("contact").alias("chr_max")).withColumnRenamed("chr", "__c")
     s = signals.select(F.col("peak_id").alias("__p"), "column", F.col("signal").cast("float").cast("double").alias("signal"))
     rows = near.join(s, F.col("peak_id") == F.col("__p"))
@@ -127,13 +151,58 @@ def score(genes: DataFrame, peaks: DataFrame, signals: DataFrame, settings: AbcS
     if settings.adapted:
         hits = hits.withColumn("activity", F.col("mean_activity")).withColumn("intergenic_score", F.col("mean_activity"))
     else:
-        hits = hits.join(bounded(top), F.col("chr") == F.col("__c")).drop("__c")
+        hits = hits.join(top, F.col("chr") == F.col("__c")).drop("__c")
         hits = hits.withColumn("activity", F.col("scaled_signal")).withColumn("intergenic_score", F.try_divide("contact", "chr_max") * F.col("signal"))
     names = genes if gene_keys is None else filter_genes(genes, gene_keys)
     names = names.select(F.col("gene_id").alias("__g"), "gene_name")
-    return hits.join(names, F.col("gene_id") == F.col("__g")).select(
-        "column", "chr", "start", "end", "gene_id", "gene_name", "peak_id", "signal", "contact", "activity", "scaled_contact", "intergenic_score", "tss_distance", "abc_score"
+    return hits.join(names, F.col("gene_id") == F.col("__g")).select(*HIT_FIELDS)
+
+
+def score_columns(genes: DataFrame, peaks: DataFrame, columns: list[str], settings: AbcSettings, contacts: DataFrame | None = None, gene_keys: DataFrame | None = None) -> DataFrame:
+    """``score`` for any number of activity columns, which are fields of ``peaks``; the same rows and columns.
+
+    A region's activities stay one array. What depends on the pair alone (its contacts, and their
+    shares of the region's) is summed over starts first; a pair's activities are multiples of the
+    region's, so a gene's sums by column are one array as well, added up in every task and then by
+    gene. So as many rows are shuffled for five hundred columns as for one, and only interactions
+    become rows by column. Null and NaN activities leave a gene without rows in that column.
+    """
+    if settings.ordered_max:
+        raise ValueError("the ordered maximum is for single columns: use score")
+    pairs = pair_contacts(genes, peaks, settings, contacts)
+    near = pairs.withColumn("contact_sum", F.sum("contact").over(Window.partitionBy("chr", "peak_id"))).where("near")
+    share = F.try_divide("contact", "contact_sum") if settings.adapted else F.lit(1.0)
+    by_pair = near.withColumn("share", share).groupBy("chr", "gene_id", "peak_id", "start", "end", "n_tss").agg(
+        F.sum("contact").alias("c"), F.sum("share").alias("act"), F.sum(F.col("share") * F.col("contact")).alias("ac"), F.sum("distance").alias("dist"), F.max(F.col("share").isNull()).alias("undefined"), F.max("contact").alias("top")
     )
+    by_pair = written(by_pair, "near-pairs")
+    nan = F.lit(float("nan"))
+    values = F.array(*[F.coalesce(F.col(f"`{c}`").cast("float").cast("double"), nan) for c in columns])
+    rows = by_pair.join(peaks.select(F.col("peak_id").alias("p_"), values.alias("signals")), F.col("peak_id") == F.col("p_"))
+    # An undefined region makes all sums of its gene undefined.
+    weight = F.when(F.col("undefined"), nan).otherwise(F.col("ac"))
+    contact = F.col("c") / F.col("n_tss")
+    highest = F.array(contact) if settings.adapted else F.concat(F.array(contact), "signals")
+    totals = vector_totals(rows.select("gene_id", F.transform("signals", lambda s: s * weight).alias("total"), highest.alias("highest")), ["gene_id"], "total", "highest")
+    scored = rows.join(totals.withColumnRenamed("gene_id", "g_"), F.col("gene_id") == F.col("g_"))
+    n = len(columns)
+    each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.get("signals", i).alias("signal"), F.try_divide(F.get("signals", i) * F.col("ac"), F.get("total", i)).alias("score")))
+    cutoff = F.lit(settings.cutoff).cast("float").cast("double")
+    act = F.col("act") / F.col("n_tss")
+    hit = F.filter(each, lambda x: ~F.isnan(x["score"]) & (x["score"] >= cutoff) & (x["signal"] * act > 0))
+    found = scored.select("chr", "start", "end", "gene_id", "peak_id", contact.alias("contact"), act.alias("share"), "highest", (F.col("dist") / F.col("n_tss")).alias("tss_distance"), hit.alias("hit"))
+    hits = found.withColumn("x", F.explode("hit")).drop("hit")
+    named = F.get(F.array(*[F.lit(c) for c in columns]), F.col("x.i"))
+    scaled = F.coalesce(F.try_divide(F.col("contact") * 100.0, F.get("highest", F.lit(0))), F.lit(0.0))
+    hits = hits.select("*", named.alias("column"), F.col("x.signal").alias("signal"), F.col("x.score").alias("abc_score"), scaled.alias("scaled_contact"))
+    if settings.adapted:
+        hits = hits.withColumn("activity", F.col("signal") * F.col("share")).withColumn("intergenic_score", F.col("activity"))
+    else:
+        top = by_pair.groupBy("chr").agg(F.max("top").alias("chr_max"))
+        hits = hits.join(top.withColumnRenamed("chr", "c_"), F.col("chr") == F.col("c_")).drop("c_")
+        hits = hits.withColumn("activity", F.try_divide(F.col("signal") * 100.0, F.get("highest", F.col("x.i") + 1))).withColumn("intergenic_score", F.try_divide("contact", "chr_max") * F.col("signal"))
+    names = genes if gene_keys is None else filter_genes(genes, gene_keys)
+    return hits.join(names.select(F.col("gene_id").alias("g_"), "gene_name"), F.col("gene_id") == F.col("g_")).select(*HIT_FIELDS)
 
 
 def gene_info(hits: DataFrame, genes: DataFrame, columns: list[str], candidates: DataFrame, contact_chrs: DataFrame | None = None) -> DataFrame:
@@ -150,7 +219,7 @@ def gene_info(hits: DataFrame, genes: DataFrame, columns: list[str], candidates:
     if contact_chrs is None:
         joined = joined.withColumn("__chr", F.col("chr"))
     else:
-        joined = joined.join(bounded(contact_chrs.select(F.col("chr").alias("__chr")).distinct()), F.col("chr") == F.col("__chr"), "left")
+        joined = joined.join(contact_chrs.select(F.col("chr").alias("__chr")).distinct(), F.col("chr") == F.col("__chr"), "left")
     failure = (
         F.when(F.col("n_enhancer").isNotNull(), F.lit("-"))
         .when(F.col("__chr").isNull(), F.lit("Missing normalized contact file"))

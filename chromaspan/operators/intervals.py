@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stages import is_small
+from ..functions.stages import fresh, is_small
 
 #: Bin width where none is given.
 WIDTH = 5000
@@ -20,14 +20,15 @@ WIDTH = 5000
 _R = "__r_"
 
 
-def _binned(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
+def _binned(df: DataFrame, start: str, end: str, width: int, names: list[str]) -> DataFrame:
+    """Adds the first bin and, in a row each, the bins that an interval touches, under two new names."""
     first = F.floor(F.col(start) / width).cast("long")
     last = F.greatest(first, F.floor((F.col(end) - 1) / width).cast("long"))
-    return df.withColumn("__first", first).withColumn("__bin", F.explode(F.sequence(first, last)))
+    return df.withColumn(names[0], first).withColumn(names[1], F.explode(F.sequence(first, last)))
 
 
 def _renamed(df: DataFrame) -> DataFrame:
-    return df.select([F.col(c).alias(_R + c) for c in df.columns])
+    return df.select([F.col(f"`{c}`").alias(_R + c) for c in df.columns])
 
 
 def _overlap(start: str, end: str) -> Column:
@@ -45,20 +46,28 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", width: i
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"unknown join {how}")
     same_chr = F.col("chr") == F.col(_R + "chr")
-    out = [*[F.col(c) for c in left.columns], *[F.col(_R + c).alias(prefix + c) for c in right.columns]]
+    out = [*[F.col(f"`{c}`") for c in left.columns], *[F.col(f"`{_R}{c}`").alias(prefix + c) for c in right.columns]]
     if width is None and is_small(right):
         joined = left.join(F.broadcast(_renamed(right)), same_chr & _overlap(start, end), how)
         return joined.select(out) if how == "inner" else joined
     width = width or WIDTH
     if how != "inner":
         # A row has a partner if any of its bins has one; places are joined back to the rows.
-        hits = _binned(left.select("chr", start, end).distinct(), start, end, width)
-        found = hits.join(_renamed(_binned(right.select("chr", start, end), start, end, width)), same_chr & (F.col("__bin") == F.col(_R + "__bin")) & _overlap(start, end), "left_semi")
-        places = found.select(F.col("chr").alias("__c"), F.col(start).alias("__s"), F.col(end).alias("__e")).distinct()
-        return left.join(places, (F.col("chr") == F.col("__c")) & (F.col(start) == F.col("__s")) & (F.col(end) == F.col("__e")), how)
-    l, r = _binned(left, start, end, width), _renamed(_binned(right, start, end, width))
-    once = F.col("__bin") == F.greatest("__first", _R + "__first")
-    return l.join(r, same_chr & (F.col("__bin") == F.col(_R + "__bin")) & _overlap(start, end) & once).select(out)
+        names = ["first_", "bin_"]
+        hits = _binned(left.select("chr", start, end).distinct(), start, end, width, names)
+        found = hits.join(_renamed(_binned(right.select("chr", start, end), start, end, width, names)), same_chr & (F.col("bin_") == F.col(_R + "bin_")) & _overlap(start, end), "left_semi")
+        return keep_places(left, found, how, start, end)
+    l_names, r_names = fresh(left, "first_", "bin_"), fresh(right, "first_", "bin_")
+    l, r = _binned(left, start, end, width, l_names), _renamed(_binned(right, start, end, width, r_names))
+    once = F.col(l_names[1]) == F.greatest(l_names[0], _R + r_names[0])
+    return l.join(r, same_chr & (F.col(l_names[1]) == F.col(_R + r_names[1])) & _overlap(start, end) & once).select(out)
+
+
+def keep_places(left: DataFrame, found: DataFrame, how: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Rows of ``left`` whose place is (``left_semi``) or is not (``left_anti``) among those of ``found``."""
+    c, s, e = fresh(left, "c_", "s_", "e_")
+    places = found.select(F.col("chr").alias(c), F.col(start).alias(s), F.col(end).alias(e)).distinct()
+    return left.join(places, (F.col("chr") == F.col(c)) & (F.col(start) == F.col(s)) & (F.col(end) == F.col(e)), how)
 
 
 def equal_join(left: DataFrame, right: DataFrame, prefix: str = "r_", start: str = "start", end: str = "end") -> DataFrame:
