@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions.stages import shared_folder, written
-from ..operators import abc, contacts, genes, intervals, matrix, motifs, sequence, signals
+from ..operators import abc, contacts, genes, intervals, matrix, motifs, sequence, signals, sweep
 from ..sinks import writers
 from ..sources import readers
 from . import pipeline
@@ -19,6 +19,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 HALF = 2500
+#: Scores are often exact fractions that end in 5 (3/128): a little is added, so that the last bit of a sum does not decide how they round.
+_OFF_TIES = 1e-10
+#: Small slots, so that these tables already take many.
+SLOT_ROWS = 500
 SETTINGS = abc.AbcSettings(gene_window=HALF, enhancer_window=HALF, bin_size=V.BIN, cutoff=0.02, join_width=5000)
 
 
@@ -143,6 +147,33 @@ def overlap_anti(spark, d):
     return intervals.exclude_regions(V.peaks(spark, d), V.excluded(spark, d)).select("peak_id")
 
 
+@query(SQL["overlap_inner"])
+def overlap_sweep(spark, d):
+    return sweep.sweep_join(_windows(spark, d), V.peaks(spark, d), slot_rows=SLOT_ROWS).select("gene_id", F.col("r_peak_id").alias("peak_id"))
+
+
+@query(SQL["overlap_semi"])
+def overlap_sweep_semi(spark, d):
+    return sweep.sweep_join(V.peaks(spark, d), V.excluded(spark, d), "left_semi", slot_rows=SLOT_ROWS).select("peak_id")
+
+
+@query(SQL["overlap_anti"])
+def overlap_sweep_anti(spark, d):
+    return sweep.sweep_join(V.peaks(spark, d), V.excluded(spark, d), "left_anti", slot_rows=SLOT_ROWS).select("peak_id")
+
+
+#: Windows from 200 bases to 20,000, by the gene's number.
+_UNEVEN = "greatest(0, g.tss - 100 * (1 + g.ord % 100)) < p.e AND p.s < g.tss + 100 * (1 + g.ord % 100)"
+
+
+@query(_with(V.PEAKS_CTE, V.GENES_CTE) + f"SELECT g.gene_id, p.peak_id FROM genes g JOIN peaks p ON g.chr = p.chr AND {_UNEVEN}")
+def overlap_uneven(spark, d):
+    """Windows of very different widths, by sweep."""
+    half = (F.col("ord") % 100 + 1) * 100
+    g = V.genes(spark, d).select("gene_id", "chr", F.greatest(F.lit(0), F.col("tss") - half).alias("start"), (F.col("tss") + half).alias("end"))
+    return sweep.sweep_join(g, V.peaks(spark, d), slot_rows=SLOT_ROWS).select("gene_id", F.col("r_peak_id").alias("peak_id"))
+
+
 @query(_with(V.GENES_CTE) + "SELECT g.gene_id, greatest(0, g.tss - 2501) AS wstart, h.gene_id AS other FROM genes g JOIN genes h ON g.chr = h.chr AND greatest(0, g.tss - 2501) = greatest(0, h.tss - 2501) AND g.tss = h.tss")
 def overlap_reciprocal(spark, d):
     w = _windows(spark, d)
@@ -252,6 +283,19 @@ def motif_affinity_reverse(spark, d):
     return motifs.affinity_long(motifs.affinities(V.sequences(spark, d), m), m).select("peak_id", "tf", r("affinity").alias("affinity"))
 
 
+@query(_with(V.MASKED_CTE, V.MOTIFS_CTE, _AFFINITY) + "SELECT peak_id, 'TF' || motif_ord AS tf, round(x, 6) AS affinity FROM aff")
+def motif_affinity_masked(spark, d):
+    """Sequences with unknown bases: sites that hold one do not count."""
+    m = _matrices(spark, d)
+    return motifs.affinity_long(motifs.affinities(V.masked_sequences(spark, d), m), m).select("peak_id", "tf", r("affinity").alias("affinity"))
+
+
+@query(_with(V.MASKED_CTE) + "SELECT CAST(max(length(seq)) AS BIGINT) AS max_len, round(sum(length(regexp_replace(seq, '[^CG]', '', 'g'))) / sum(length(regexp_replace(seq, '[^ACGT]', '', 'g'))), 6) AS gc FROM seqs")
+def gc_content_masked(spark, d):
+    """Unknown bases count in lengths, not in the share of C and G."""
+    return sequence.statistics(V.masked_sequences(spark, d)).select("max_len", r("gc").alias("gc"))
+
+
 # -- contacts ---------------------------------------------------------------------------------
 
 
@@ -379,6 +423,44 @@ def peak_contact_sum(spark, d):
     return abc.peak_contact_sums(abc.pair_contacts(g, V.peaks(spark, d), SETTINGS, _cells(spark, d))).select("chr", "peak_id", r("contact_sum", 4).alias("contact_sum"))
 
 
+@query(_abc_sql(True, False, True) + _ABC_OUT)
+def abc_sweep(spark, d):
+    """Windows met by sweep instead of bins."""
+    p, settings = V.peaks(spark, d), abc.AbcSettings(**(SETTINGS.__dict__ | {"sweep": True}))
+    return _abc_out(abc.score(V.genes(spark, d).withColumn("tss", F.array("tss")), p, signals.unpivot_signals(p, ["sig1", "sig2"]), settings, _cells(spark, d)))
+
+
+#: Fifty activities of a region, from its two.
+_MANY = 50
+_MANY_SIGS = f"sigs AS (SELECT peak_id, 'a' || k AS col, CAST(CAST((sig1 * k) % 53 + sig2 / k AS FLOAT) AS DOUBLE) AS sig FROM peaks, range(1, {_MANY + 1}) x(k))"
+
+
+def _many_sql(adapted: bool) -> str:
+    sql = _abc_sql(adapted, False, True)
+    i = sql.index("sigs AS (")
+    return sql[:i] + _MANY_SIGS + sql[sql.index(",\nact AS", i) :] + f"SELECT col, gene_id, peak_id, round(contact + {_OFF_TIES}, 6) AS contact, round(activity + {_OFF_TIES}, 6) AS activity, round(scaled_contact + {_OFF_TIES}, 6) AS scaled_contact, round(intergenic + {_OFF_TIES}, 6) AS intergenic, round(score + {_OFF_TIES}, 6) AS score FROM hits"
+
+
+def _many(spark, d, adapted: bool) -> DataFrame:
+    """Activity columns as one array a region."""
+    names = [f"a{k}" for k in range(1, _MANY + 1)]
+    p = V.peaks(spark, d).select("*", *[((F.col("sig1") * k) % 53 + F.col("sig2") / k).alias(f"a{k}") for k in range(1, _MANY + 1)])
+    settings = abc.AbcSettings(**(SETTINGS.__dict__ | {"adapted": adapted}))
+    hits = abc.score_columns(V.genes(spark, d).withColumn("tss", F.array("tss")), p, names, settings, _cells(spark, d))
+    off = lambda c: r(F.col(c) + _OFF_TIES)
+    return hits.select(F.col("column").alias("col"), "gene_id", "peak_id", off("contact").alias("contact"), off("activity").alias("activity"), off("scaled_contact").alias("scaled_contact"), off("intergenic_score").alias("intergenic"), off("abc_score").alias("score"))
+
+
+@query(_many_sql(True))
+def abc_many_columns(spark, d):
+    return _many(spark, d, True)
+
+
+@query(_many_sql(False))
+def abc_many_columns_original(spark, d):
+    return _many(spark, d, False)
+
+
 _INFO = """, stats AS (SELECT col, gene_id, count(*) AS n, avg(activity) AS a, avg(contact) AS c, avg(tss_dist) AS dist FROM hits GROUP BY col, gene_id),
 cand AS (SELECT DISTINCT gene_id FROM hull),
 info AS (SELECT k.col, g.gene_id, g.chr, coalesce(s.n, 0) AS n_enhancer, round(coalesce(a, 0), 6) AS avg_activity, round(coalesce(c, 0), 6) AS avg_contact, round(coalesce(dist, 0), 4) AS avg_distance,
@@ -403,6 +485,22 @@ def failure_reason(spark, d):
     return _info(spark, d).groupBy(F.col("column").alias("col"), "failure").agg(F.count("*").alias("n"))
 
 
+#: Sparse regions, a third of them without activity, and a chromosome without contacts: all reasons of failure occur.
+_FEW_PEAKS = "peaks AS (SELECT *, chr || ':' || s || '-' || e AS peak_id FROM (SELECT s_suppkey AS ord, CAST(s_suppkey % 5 AS VARCHAR) AS chr, s_suppkey * 701 AS s, s_suppkey * 701 + 60 AS e, CAST(s_suppkey % 3 AS DOUBLE) AS sig1, CAST(s_nationkey AS DOUBLE) AS sig2 FROM supplier))"
+_FEW_CELLS = V.CELLS_CTE.replace("cells AS (", "allcells AS (", 1) + ", cells AS (SELECT * FROM allcells WHERE chr <> '0')"
+
+
+@query((_abc_sql(True, False, True) + _INFO).replace(V.PEAKS_CTE, _FEW_PEAKS).replace(V.CELLS_CTE, _FEW_CELLS) + "SELECT gene_id, col, failure FROM info")
+def failure_reasons(spark, d):
+    """Every reason why a gene has no interactions."""
+    s = V.read(spark, d, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_nationkey").cast("double").alias("sig2"))
+    p = V.excluded(spark, d).withColumn("ord", F.col("start") / 701).join(s, "ord").withColumn("sig1", (F.col("ord") % 3).cast("double")).withColumn("peak_id", X.peak_id("chr", "start", "end"))
+    g, cells = V.genes(spark, d).withColumn("tss", F.array("tss")), _cells(spark, d).where("chr <> '0'")
+    hits = abc.score(g, p, signals.unpivot_signals(p, ["sig1", "sig2"]), SETTINGS, cells)
+    cand = intervals.overlap_join(genes.gene_windows(g, HALF), p, "inner")
+    return abc.gene_info(hits, g, ["sig1", "sig2"], cand, cells.select("chr")).select("gene_id", F.col("column").alias("col"), "failure")
+
+
 # -- gene by factor ---------------------------------------------------------------------------
 
 
@@ -539,55 +637,6 @@ def affinity_table(spark, d):
     return a.select("peak_id", F.size("affinity").cast("long").alias("n"), r(F.aggregate("affinity", F.lit(0.0), lambda x, y: x + y), 5).alias("total"))
 
 
-_SPECS = {"4": "4", "4-6": "4,5,6", "4+": "4,5,6", "4,6,9": "4,6", "4,6-8": "4,5,6,7,8", "0": "", "": ""}
-
-
-@query(_values("spec, columns", list(_SPECS.items())))
-def column_grammar(spark, d):
-    return spark.createDataFrame([(x, ",".join(map(str, signals.parse_columns(x, 6)))) for x in _SPECS], "spec string, columns string")
-
-
-_FLAGS = [("True", 1, 1), ("F", 0, 0), ("1", 1, 1), ("false", 0, 0), ("maybe", 1, 0), ("", 1, 0)]
-
-
-@query(_values("flag, or_true, or_false", _FLAGS))
-def flag_spellings(spark, d):
-    return spark.createDataFrame([(x, int(X.as_flag(x, True)), int(X.as_flag(x, False))) for x, _, _ in _FLAGS], "flag string, or_true int, or_false int")
-
-
-_OPTIONS = [
-    ({"annotation": "a", "genome": "g", "counts": "c"}, ""),
-    ({"annotation": "a", "genome": "g"}, "motifs are required, as energies or counts"),
-    ({"annotation": "a", "genome": "", "counts": "c"}, "genome is required"),
-    ({"annotation": "a", "genome": "g", "counts": "c", "contacts": "False"}, "scores need regions and the column of their activity"),
-    ({"annotation": "a", "genome": "g", "counts": "c", "contacts": "F", "bed": "b", "columns": "4"}, ""),
-    ({"annotation": "a", "genome": "g", "counts": "c", "contacts": "folder", "bed": "b", "columns": "4", "bin_size": "0"}, "measured contacts need the size of their bins"),
-    ({"annotation": "a", "genome": "g", "counts": "c", "interactions": "x", "bed": "b"}, "given interactions need regions and the column of their activity"),
-    ({"annotation": "a", "genome": "g", "counts": "c", "window": "1e05", "bed": "F"}, ""),
-    ({"annotation": "a", "genome": "g", "counts": "c", "wndow": "1"}, "unknown options: wndow"),
-]
-
-
-def _told(options: dict[str, str]) -> str:
-    try:
-        pipeline.RunConfig.from_options(options).check()
-    except ValueError as wrong:
-        return str(wrong)
-    return ""
-
-
-@query(_values("k, told", [(k, told) for k, (_, told) in enumerate(_OPTIONS)]))
-def option_checks(spark, d):
-    return spark.createDataFrame([(k, _told(o)) for k, (o, _) in enumerate(_OPTIONS)], "k int, told string")
-
-
-@query(_values("k, half, scored", [(0, 25_000, 0), (1, 2_500_000, 1), (2, 50_000, 0)]))
-def option_defaults(spark, d):
-    given = [{}, {"contacts": "false"}, {"window": "1e05"}]
-    configs = [pipeline.RunConfig.from_options({"annotation": "a", "genome": "g"} | o) for o in given]
-    return spark.createDataFrame([(k, c.half, int(c.scored)) for k, c in enumerate(configs)], "k int, half int, scored int")
-
-
 @query(_values("k, told", [(0, "refused"), (1, "accepted")]))
 def repeated_regions(spark, d):
     """A region with two different lines is refused, whole lines that repeat are not."""
@@ -622,12 +671,12 @@ _FOLD = "list_reduce(list_prepend({'t': CAST(0 AS DOUBLE), 'v': CAST(0 AS DOUBLE
 _ORDERED = _abc_sql(False, True, False).replace("max(sig) OVER w AS s_max", _FOLD)
 
 
-@query(_ORDERED + "SELECT col, gene_id, peak_id, round(activity, 6) AS activity, round(score, 6) AS score FROM hits")
+@query(_ORDERED + f"SELECT col, gene_id, peak_id, round(activity + {_OFF_TIES}, 6) AS activity, round(score + {_OFF_TIES}, 6) AS score FROM hits")
 def abc_ordered_max(spark, d):
     settings = abc.AbcSettings(**(SETTINGS.__dict__ | {"adapted": False, "ordered_max": True}))
     p = V.peaks(spark, d)
     hits = abc.score(genes.all_tss(V.transcripts(spark, d)), p, signals.unpivot_signals(p, ["sig1", "sig2"]), settings)
-    return hits.select(F.col("column").alias("col"), "gene_id", "peak_id", r("activity").alias("activity"), r("abc_score").alias("score"))
+    return hits.select(F.col("column").alias("col"), "gene_id", "peak_id", r(F.col("activity") + _OFF_TIES).alias("activity"), r(F.col("abc_score") + _OFF_TIES).alias("score"))
 
 
 @query(_with(V.GENES_CTE, "w AS (SELECT DISTINCT chr, greatest(0, tss - 2501) AS s, tss + 2500 AS e FROM genes)") + "SELECT g.gene_id, w.s AS wstart, w.e AS wend, 0 AS distance, CAST(1 AS DOUBLE) AS scaler FROM genes g JOIN w ON g.chr = w.chr AND greatest(0, g.tss - 2501) = w.s AND g.tss + 2500 = w.e")
@@ -642,30 +691,22 @@ def _hits(spark, d):
     return _abc(spark, d, True, True, False)
 
 
-@query(_abc_sql(True, True, False) + "SELECT col, gene_id, peak_id, round(intergenic, 3) AS score FROM hits")
+@query(_abc_sql(True, True, False) + "SELECT col, gene_id, peak_id, CAST(printf('%.7e', intergenic * (1 + 1e-13)) AS DOUBLE) AS score FROM hits")
 def interaction_tables(spark, d):
-    """Interactions written, one folder a column, and read as given ones."""
+    """Interactions written with eight significant digits, one folder a column, and read as given ones."""
     path = shared_folder(spark, "interactions")
     writers.write_interactions(_hits(spark, d), path)
     back = readers.read_interactions(spark, {c: f"{path}/column={c}" for c in ("sig1", "sig2")})
-    return back.select(F.col("column").alias("col"), "gene_id", "peak_id", r("intergenic_score", 3).alias("score"))
-
-
-_NAMES = [("out/x_c4.txt.gz", "out/x_c4.txt.gz,out/x_c5.txt.gz"), ("out/x_red.txt.gz", "out/x_red.txt.gz,out/x_sky_blue.txt.gz"), ("out/x.txt.gz", "out/x_red.txt.gz,out/x_sky_blue.txt.gz")]
-
+    return back.select(F.col("column").alias("col"), "gene_id", "peak_id", F.col("intergenic_score").alias("score"))
 
-@query(_values("path, files", _NAMES))
-def interaction_siblings(spark, d):
-    names = {"c4": "_red", "c5": "_sky_blue"}
-    return spark.createDataFrame([(p, ",".join(readers.interaction_files(p, names).values())) for p, _ in _NAMES], "path string, files string")
 
-
-@query(_abc_sql(True, False, True) + _INFO + "SELECT col, gene_id, n_enhancer, round(avg_activity, 2) AS avg_activity, failure FROM info")
+@query(_abc_sql(True, False, True) + _INFO.replace("round(coalesce(a, 0), 6)", "coalesce(a, 0)") + "SELECT col, gene_id, n_enhancer, CAST(printf('%.5e', avg_activity * (1 + 1e-13)) AS DOUBLE) AS avg_activity, failure FROM info")
 def gene_info_tables(spark, d):
+    """Summaries of genes written with six significant digits and read back."""
     path = shared_folder(spark, "gene-info")
     writers.write_gene_info(_info(spark, d), path)
     back = spark.read.option("sep", "\t").option("header", True).csv(path)
-    return back.select(F.col("column").alias("col"), F.col("Ensembl ID").alias("gene_id"), F.col("`#Enhancer`").cast("long").alias("n_enhancer"), r(F.col("Avg_EnhancerActivity").cast("double"), 2).alias("avg_activity"), F.col("Failure").alias("failure"))
+    return back.select(F.col("column").alias("col"), F.col("Ensembl ID").alias("gene_id"), F.col("`#Enhancer`").cast("long").alias("n_enhancer"), F.col("Avg_EnhancerActivity").cast("double").alias("avg_activity"), F.col("Failure").alias("failure"))
 
 
 def _wide(spark, d):
@@ -727,19 +768,6 @@ def metadata_counts(spark, d):
     return spark.createDataFrame([(k, int(v)) for k, v in writers.read_metadata(path)["Metrics"].items()], "k string, v long")
 
 
-_GIVEN = {"annotation": "a.gtf", "bed": "r.bed", "columns": "4+", "window": "100000", "cutoff": "0.02", "bin_size": "5000", "adapted": "True"}
-
-
-@query(_values("k, v", list(_GIVEN.items())))
-def score_metadata(spark, d):
-    config = pipeline.RunConfig(annotation="a.gtf", genome="g", bed="r.bed", columns="4+", window=100_000, fractal=True, counts="c")
-    path = shared_folder(spark, "metadata")
-    V._path(path).parent.mkdir(parents=True, exist_ok=True)
-    writers.write_metadata(path, pipeline.score_metadata(config))
-    found = writers.read_metadata(path)["Scores"]
-    return spark.createDataFrame([(k, found[k]) for k in _GIVEN], "k string, v string")
-
-
 @query("SELECT 'refused' AS again, count(*) AS rows FROM part")
 def existing_output(spark, d):
     """Gzipped tables, and a second write to the same place."""

@@ -69,6 +69,13 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select((F.col("conv_id") * 8 + F.col("turn")).cast("string").alias("peak_id"), _bases("text").alias("seq"))
 
 
+def masked_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region sequences with unknown bases: the letters J, Q, X and Z are N."""
+    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
+    seq = F.translate(letters, "BDEFHIKLMNOPRSUVWYJQXZ", "ACGTACGTACGTACGTACNNNN")
+    return read(spark, sf_dir, "conversations").select(F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("peak_id"), seq.alias("seq"))
+
+
 def count_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count matrices: every embedding, 16 positions of 4 bases."""
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("motif_ord"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("pos"))
@@ -151,5 +158,6 @@ CELLS_CTE = """cells AS (SELECT CAST(l_partkey % 5 AS VARCHAR) AS chr, CAST(floo
 EXCLUDED_CTE = """excluded AS (SELECT CAST(s_suppkey % 5 AS VARCHAR) AS chr, s_suppkey * 701 AS s, s_suppkey * 701 + 60 AS e FROM supplier)"""
 CONTIGS_CTE = """contigs AS (SELECT CAST(doc_id AS VARCHAR) AS chr, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS seq FROM documents)"""
 SEQUENCES_CTE = """seqs AS (SELECT CAST(conv_id * 8 + turn AS VARCHAR) AS peak_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS seq FROM conversations)"""
+MASKED_CTE = """seqs AS (SELECT conv_id || '.' || turn AS peak_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIKLMNOPRSUVWYJQXZ', 'ACGTACGTACGTACGTACNNNN') AS seq FROM conversations)"""
 COUNTS_CTE = """crows AS (SELECT vec_id AS motif_ord, 'TF' || vec_id AS name, p AS pos, floor(abs(CAST(embedding[4 * p + 1] AS DOUBLE)) * 10) AS a, floor(abs(CAST(embedding[4 * p + 2] AS DOUBLE)) * 10) AS c, floor(abs(CAST(embedding[4 * p + 3] AS DOUBLE)) * 10) AS g, floor(abs(CAST(embedding[4 * p + 4] AS DOUBLE)) * 10) AS t FROM embeddings, range(16) r(p))"""
 MOTIFS_CTE = """mrows AS (SELECT CAST(r_regionkey AS BIGINT) AS motif_ord, 'TF' || r_regionkey AS name, p AS pos, CAST(((r_regionkey + 1) * (7 * p + 3)) % 11 AS DOUBLE) * 0.06 AS a, CAST(((r_regionkey + 2) * (5 * p + 1)) % 13 AS DOUBLE) * 0.06 AS c, CAST(((r_regionkey + 3) * (3 * p + 2)) % 7 AS DOUBLE) * 0.06 AS g, CAST(((r_regionkey + 1) * (2 * p + 5)) % 9 AS DOUBLE) * 0.06 AS t FROM region, range(16) r(p))"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chromaspan.functions import columns as X
 from chromaspan.operators import abc, contacts, genes, intervals, matrix, motifs, sequence, signals
-from chromaspan.plans.pipeline import RunConfig, run_affinities, run_metadata, run_pipeline, run_promoter_windows, run_scores
+from chromaspan.plans.pipeline import RunConfig, run_affinities, run_metadata, run_pipeline, run_promoter_windows, run_scores, score_metadata
 from chromaspan.sinks import writers
 from chromaspan.sources import readers
 from chromaspan.streaming.regions import gene_activity
@@ -342,3 +342,53 @@ def test_sequences_across_chunks(spark):
     regions = spark.createDataFrame([("a", "1", 3, 50), ("b", "1", 0, 120), ("c", "1", 100, 121)], "peak_id string, chr string, start long, end long")
     got = {r["peak_id"]: r["seq"] for r in sequence.extract(regions, sequence.chunk_genome(genome, 16), 16).collect()}
     assert got == {"a": ("ACGT" * 30)[3:50], "b": "ACGT" * 30}
+
+
+FLAGS = [("True", True, True), ("F", False, False), ("1", True, True), ("false", False, False), ("maybe", True, False), ("", True, False)]
+
+
+@pytest.mark.parametrize(("flag", "or_true", "or_false"), FLAGS)
+def test_flag_spellings(flag, or_true, or_false):
+    assert (X.as_flag(flag, True), X.as_flag(flag, False)) == (or_true, or_false)
+
+
+OPTIONS = [
+    ({"counts": "c"}, ""),
+    ({}, "motifs are required, as energies or counts"),
+    ({"genome": "", "counts": "c"}, "genome is required"),
+    ({"counts": "c", "contacts": "False"}, "scores need regions and the column of their activity"),
+    ({"counts": "c", "contacts": "F", "bed": "b", "columns": "4"}, ""),
+    ({"counts": "c", "contacts": "folder", "bed": "b", "columns": "4", "bin_size": "0"}, "measured contacts need the size of their bins"),
+    ({"counts": "c", "interactions": "x", "bed": "b"}, "given interactions need regions and the column of their activity"),
+    ({"counts": "c", "window": "1e05", "bed": "F"}, ""),
+    ({"counts": "c", "wndow": "1"}, "unknown options: wndow"),
+]
+
+
+@pytest.mark.parametrize(("options", "told"), OPTIONS)
+def test_option_checks(options, told):
+    config = lambda: RunConfig.from_options({"annotation": "a", "genome": "g"} | options).check()
+    if told:
+        with pytest.raises(ValueError, match=told):
+            config()
+    else:
+        config()
+
+
+@pytest.mark.parametrize(("options", "half", "scored"), [({}, 25_000, False), ({"contacts": "false"}, 2_500_000, True), ({"window": "1e05"}, 50_000, False)])
+def test_option_defaults(options, half, scored):
+    config = RunConfig.from_options({"annotation": "a", "genome": "g"} | options)
+    assert (config.half, config.scored) == (half, scored)
+
+
+@pytest.mark.parametrize(("path", "files"), [("x_c4.txt.gz", ["x_c4.txt.gz", "x_c5.txt.gz"]), ("x_red.txt.gz", ["x_red.txt.gz", "x_sky_blue.txt.gz"]), ("x.txt.gz", ["x_red.txt.gz", "x_sky_blue.txt.gz"])])
+def test_interaction_siblings(path, files):
+    assert list(readers.interaction_files(path, {"c4": "_red", "c5": "_sky_blue"}).values()) == files
+
+
+def test_score_metadata(tmp_path):
+    config = RunConfig(annotation="a.gtf", genome="g", bed="r.bed", columns="4+", window=100_000, fractal=True, counts="c")
+    writers.write_metadata(str(tmp_path / "m"), score_metadata(config))
+    found = writers.read_metadata(str(tmp_path / "m"))["Scores"]
+    given = {"annotation": "a.gtf", "bed": "r.bed", "columns": "4+", "window": "100000", "cutoff": "0.02", "bin_size": "5000", "adapted": "True"}
+    assert {k: found[k] for k in given} == given
