@@ -31,7 +31,9 @@ ROUNDS, ENOUGH = 8, 0.02
 #: Nodes of a random block, and such blocks for each node, at the start.
 BLOCK_NODES, BLOCKINGS = 512, 4
 #: Nodes or queries whose rows meet in one piece of arithmetic.
-PART_NODES = 4096
+PART_NODES = 2048
+#: Requests of a search whose node blocks are decoded at once.
+_PIECE = 256
 #: Beam of a search, nodes expanded a round, and entry points besides a query's own node.
 BEAM, EXPANDED, ENTRIES = 160, 32, 64
 GRAPH = "node long, code binary, nbr array<long>, sim array<float>, new array<boolean>"
@@ -190,7 +192,7 @@ def compare_block(table: pa.Table, k: int) -> pa.Table:
     return pa.table({"node": pa.array(owner, pa.int64()), "nbr": nbr, "sim": sim})
 
 
-def join_members(table: pa.Table, k: int, batch: int = 128) -> pa.Table:
+def join_members(table: pa.Table, k: int, batch: int = 64) -> pa.Table:
     """The local joins of one part's centres: rows (member, code, least, centres) to candidates (node, nbr, sim).
 
     Each pair of members of a centre is compared if one is new; a candidate must beat its node's worst neighbour.
@@ -404,8 +406,8 @@ def search_graph(graph: DataFrame, queries: DataFrame, beam: int = BEAM, expande
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in (whole.slice(at, _PIECE) for at in range(0, whole.num_rows, _PIECE)):
                 i, w = _flat(batch.append_column("i", pa.array(np.arange(batch.num_rows))), "i", "nbr")
                 sims = np.einsum("ij,ij->i", _decoded(b"".join(batch.column("codes").to_pylist()), len(i))[:, :-1], decode_vectors(batch.column("code"))[i, :-1])
                 good = sims > batch.column("least").to_numpy()[i]
