@@ -19,6 +19,7 @@ from . import contacts as C
 from .genes import filter_genes, gene_windows
 from .intervals import overlap_join
 from .sweep import sweep_join
+from .tiles import ContactTiles, lookup_tiles
 from .vectors import vector_totals
 
 
@@ -48,12 +49,12 @@ class AbcSettings:
     sweep: bool = False
 
 
-def pair_contacts(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, contacts: DataFrame | None = None) -> DataFrame:
+def pair_contacts(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, contacts: DataFrame | ContactTiles | None = None) -> DataFrame:
     """(chr, gene_id, n_tss, tss_ord, peak_id, near, distance, contact) for every start and region of a gene's hull window.
 
     ``genes`` has gene_id, chr and tss (array); ``peaks`` has peak_id, chr, start, end. A region
     counts as near if it is within the gene window of the outermost starts; others add to the
-    region's contacts with the first start only.
+    region's contacts with the first start only. ``contacts`` are cells or their tiles.
     """
     reach = max(settings.gene_window, settings.enhancer_window) if settings.adapted else settings.gene_window
     hull = gene_windows(genes.select("gene_id", "chr", "tss"), reach)
@@ -72,7 +73,8 @@ def pair_contacts(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, con
         return rows.withColumn("contact", fractal_contact("distance"))
     b = settings.bin_size
     rows = rows.withColumn("gene_bin", bin_of("t", b)).withColumn("peak_bin", midpoint_bin("start", "end", b))
-    found = C.lookup(rows, C.with_diagonal(C.last_cells(contacts)), "gene_bin", "peak_bin")
+    tiled = isinstance(contacts, ContactTiles)
+    found = lookup_tiles(rows, contacts, "gene_bin", "peak_bin") if tiled else C.lookup(rows, C.with_diagonal(C.last_cells(contacts)), "gene_bin", "peak_bin")
     # Regions beyond the last gene window's bin have the expected contact only.
     measured = F.when(F.col("peak_bin") <= F.col("last_bin"), F.col("contact")).otherwise(F.lit(0.0))
     far = F.when(F.abs(F.col("gene_bin") - F.col("peak_bin")) * b > MEGABASE, F.lit(1.0)).otherwise(F.lit(0.0))
@@ -88,13 +90,14 @@ def pair_contacts(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, con
 _FACTS = ["last_bin", "slope", "intercept"]
 
 
-def _with_chromosome_facts(hull: DataFrame, contacts: DataFrame, settings: AbcSettings) -> DataFrame:
+def _with_chromosome_facts(hull: DataFrame, contacts: DataFrame | ContactTiles, settings: AbcSettings) -> DataFrame:
     """Genes with their chromosome's last window bin and power law (null without a fit, or where it is not asked for)."""
     last = hull.groupBy(F.col("chr").alias("chr_")).agg(bin_of(F.max("end"), settings.bin_size).alias("last_bin"))
     hull = hull.join(last, F.col("chr") == F.col("chr_")).drop("chr_")
     if not settings.pseudocount:
         return hull.withColumn("slope", F.lit(None).cast("double")).withColumn("intercept", F.lit(None).cast("double"))
-    fit = C.power_law(contacts, settings.bin_size).withColumnRenamed("chr", "chr_")
+    fit = contacts.fit() if isinstance(contacts, ContactTiles) else C.power_law(contacts, settings.bin_size)
+    fit = fit.withColumnRenamed("chr", "chr_")
     return hull.join(fit, F.col("chr") == F.col("chr_"), "left").drop("chr_")
 
 
@@ -116,7 +119,7 @@ def _signal_max(settings: AbcSettings, gene) -> Column:
     return F.aggregate(listed, F.lit(0.0), lambda held, x: F.when(x["n_tss"] * x["signal"] > held, x["signal"]).otherwise(held))
 
 
-def score(genes: DataFrame, peaks: DataFrame, signals: DataFrame, settings: AbcSettings, contacts: DataFrame | None = None, gene_keys: DataFrame | None = None) -> DataFrame:
+def score(genes: DataFrame, peaks: DataFrame, signals: DataFrame, settings: AbcSettings, contacts: DataFrame | ContactTiles | None = None, gene_keys: DataFrame | None = None) -> DataFrame:
     """Interactions that reach the cutoff, by activity column.
 
     ``signals`` is long (peak_id, column, signal). Columns: column, chr, start, end, gene_id,
@@ -158,7 +161,7 @@ def score(genes: DataFrame, peaks: DataFrame, signals: DataFrame, settings: AbcS
     return hits.join(names, F.col("gene_id") == F.col("__g")).select(*HIT_FIELDS)
 
 
-def score_columns(genes: DataFrame, peaks: DataFrame, columns: list[str], settings: AbcSettings, contacts: DataFrame | None = None, gene_keys: DataFrame | None = None) -> DataFrame:
+def score_columns(genes: DataFrame, peaks: DataFrame, columns: list[str], settings: AbcSettings, contacts: DataFrame | ContactTiles | None = None, gene_keys: DataFrame | None = None) -> DataFrame:
     """``score`` for any number of activity columns, which are fields of ``peaks``; the same rows and columns.
 
     A region's activities stay one array. What depends on the pair alone (its contacts, and their

@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_flag
 from ..functions.stages import written
-from ..operators import abc, genes, intervals, matrix, motifs, sequence, signals
+from ..operators import abc, genes, intervals, matrix, motifs, sequence, signals, sweep
 from ..operators.contacts import canonical
+from ..operators.tiles import write_tiles
 from ..sources import readers
 
 
+#: From so many activity columns on, scores keep them as one array; up to so many chromosomes are named to the scan of contact files.
+MANY_COLUMNS, NAMED = 4, 1000
+
+
 @dataclass(frozen=True)
 class RunConfig:
     """Paths and switches of a run; windows are full widths in bases."""
@@ -152,12 +157,19 @@ def run_pipeline(spark: SparkSession, config: RunConfig) -> RunResult:
 def _scored(spark: SparkSession, config: RunConfig, peaks: DataFrame, sig: DataFrame, columns: list[str], one_tss: DataFrame, keys: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Interactions, written once, and the summary of genes."""
     listed = genes.all_tss(readers.read_gtf(spark, config.annotation, "transcript")) if config.all_tss else one_tss.withColumn("tss", F.array("tss"))
-    settings = abc.AbcSettings(config.half, config.enhancer_window // 2, config.bin_size, config.cutoff, config.adapted, config.pseudocount, ordered_max=config.ordered_max, unit_far_pseudocount=config.unit_far_pseudocount)
-    cells = written(canonical(readers.read_contacts(spark, config.contacts), config.bin_size), "cells") if config.contacts else None
-    hits = written(abc.score(listed, peaks, sig, settings, cells, keys), "interactions")
-    candidates = intervals.overlap_join(genes.gene_windows(listed, settings.gene_window), peaks, "inner", 100_000)
+    settings = abc.AbcSettings(config.half, config.enhancer_window // 2, config.bin_size, config.cutoff, config.adapted, config.pseudocount, ordered_max=config.ordered_max, unit_far_pseudocount=config.unit_far_pseudocount, sweep=True)
+    tiles = None
+    if config.contacts:
+        near = [r["chr"] for r in listed.select("chr").distinct().limit(NAMED + 1).collect()]
+        tiles = write_tiles(canonical(readers.read_contacts(spark, config.contacts, near if len(near) <= NAMED else None), config.bin_size), config.bin_size)
+    if len(columns) >= MANY_COLUMNS and not config.ordered_max:
+        hits = abc.score_columns(listed, peaks, columns, settings, tiles, keys)
+    else:
+        hits = abc.score(listed, peaks, sig, settings, tiles, keys)
+    hits = written(hits, "interactions")
+    candidates = sweep.sweep_join(genes.gene_windows(listed, settings.gene_window), peaks, "left_semi")
     named = genes.filter_genes(listed, keys) if keys is not None else listed
-    return hits, abc.gene_info(hits, named, columns, candidates, cells.select("chr") if cells is not None else None)
+    return hits, abc.gene_info(hits, named, columns, candidates, tiles.tiles().select("chr") if tiles else None)
 
 
 def run_scores(spark: SparkSession, config: RunConfig) -> tuple[DataFrame, DataFrame]:

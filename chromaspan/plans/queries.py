@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions.stages import shared_folder, written
-from ..operators import abc, contacts, genes, intervals, matrix, motifs, sequence, signals, sweep
+from ..operators import abc, contacts, genes, intervals, matrix, motifs, sequence, signals, sweep, tiles
 from ..sinks import writers
 from ..sources import readers
 from . import pipeline
@@ -337,6 +337,33 @@ def contact_lookup(spark, d):
     return contacts.lookup(q, contacts.with_diagonal(_cells(spark, d)), "b2", "b1").select("peak_id", "contact")
 
 
+def _tiles(spark, d):
+    """Small tiles and stripes, so that these tables already take many."""
+    return tiles.write_tiles(_cells(spark, d), V.BIN, side=8, stripe=2)
+
+
+@query(SQL["contact_diagonal"])
+def contact_tiles(spark, d):
+    return _tiles(spark, d).cells()
+
+
+@query(SQL["contact_lookup"])
+def contact_tiles_lookup(spark, d):
+    q = V.peaks(spark, d).select("peak_id", "chr", X.bin_of("start", V.BIN).alias("b1"), X.bin_of(F.col("start") + 9000, V.BIN).alias("b2"))
+    return tiles.lookup_tiles(q, _tiles(spark, d), "b2", "b1").select("peak_id", "contact")
+
+
+@query(SQL["contact_fit"])
+def contact_tiles_fit(spark, d):
+    return _tiles(spark, d).fit().select("chr", r("slope").alias("slope"), r("intercept").alias("intercept"))
+
+
+@query(_with(V.CELLS_CTE) + "SELECT chr, bin1, bin2, contact FROM cells WHERE chr IN ('1', '3')")
+def contact_files_pruned(spark, d):
+    """Only the files of two chromosomes are opened."""
+    return contacts.last_cells(contacts.canonical(readers.read_contacts(spark, V.contact_folder(spark, d), ["1", "3"]), V.BIN))
+
+
 # -- activity by contact ----------------------------------------------------------------------
 
 _TSS_ALL = "tssall AS (SELECT gene_id, any_value(gene_name) AS gene_name, chr, list(tss ORDER BY ord) AS tl, min(tss) AS lo, max(tss) AS hi, count(*) AS n FROM transcripts GROUP BY gene_id, chr)"
@@ -430,6 +457,13 @@ def abc_sweep(spark, d):
     return _abc_out(abc.score(V.genes(spark, d).withColumn("tss", F.array("tss")), p, signals.unpivot_signals(p, ["sig1", "sig2"]), settings, _cells(spark, d)))
 
 
+@query(_abc_sql(True, True, True) + _ABC_OUT)
+def abc_tiled(spark, d):
+    """Contacts looked up in tiles, windows met by sweep."""
+    p, settings = V.peaks(spark, d), abc.AbcSettings(**(SETTINGS.__dict__ | {"sweep": True}))
+    return _abc_out(abc.score(genes.all_tss(V.transcripts(spark, d)), p, signals.unpivot_signals(p, ["sig1", "sig2"]), settings, _tiles(spark, d)))
+
+
 #: Fifty activities of a region, from its two.
 _MANY = 50
 _MANY_SIGS = f"sigs AS (SELECT peak_id, 'a' || k AS col, CAST(CAST((sig1 * k) % 53 + sig2 / k AS FLOAT) AS DOUBLE) AS sig FROM peaks, range(1, {_MANY + 1}) x(k))"

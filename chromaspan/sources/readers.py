@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import gene_symbol, gtf_attribute, peak_id, strand_tss, strip_chr
-from ..functions.stages import bounded
 from ..operators.sequence import CHUNK, chunk_lines
 from ..operators.signals import column_name, parse_columns
 
@@ -91,18 +90,20 @@ def read_energy_matrices(spark: SparkSession, path: str) -> DataFrame:
     return records.select("motif_ord", F.get(head, F.lit(0)).alias("ac"), F.get(head, F.lit(1)).alias("name"), lnr0.alias("lnr0"), F.size(energy).alias("length"), energy.alias("energy"))
 
 
-def read_contacts(spark: SparkSession, folder: str) -> DataFrame:
+def read_contacts(spark: SparkSession, folder: str, chromosomes: list[str] | None = None) -> DataFrame:
     """(chr, pos1, pos2, contact, ord) of a folder of gzipped per-chromosome files; ``ord`` is the order of the lines.
 
     Of two files for one chromosome the last by name counts, among those whose first line begins
-    with a digit: others are not readable as contacts.
+    with a digit: others are not readable as contacts. With ``chromosomes``, files of others are not
+    opened: the condition is on the file's name alone, so Spark leaves them out of the scan.
     """
-    lines = spark.read.text(folder, pathGlobFilter="*[cC]hr*gz").select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ord"))
-    chrom = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"[cC]hr([0-9]+|[A-Za-z]+)[^0-9].*gz$", 1)
-    rows = lines.select(chrom.alias("chr"), "path", "ord", "value").where("chr <> ''")
+    text = spark.read.text(folder, pathGlobFilter="*[cC]hr*gz")
+    chrom = F.regexp_extract(F.col("_metadata.file_name"), r"[cC]hr([0-9]+|[A-Za-z]+)[^0-9].*gz$", 1)
+    text = text.where(chrom != "") if chromosomes is None else text.where(chrom.isin([c for c in chromosomes if c]))
+    rows = text.select(chrom.alias("chr"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ord"), "value")
     files = rows.groupBy("chr", "path").agg(F.min_by("value", "ord").alias("first")).where(F.col("first").rlike("^[0-9]"))
     last = files.groupBy(F.col("chr").alias("__c")).agg(F.max("path").alias("__p"))
-    rows = rows.join(bounded(last, 300), (F.col("chr") == F.col("__c")) & (F.col("path") == F.col("__p"))).select("chr", "ord", F.split("value", "\t").alias("f"))
+    rows = rows.join(last, (F.col("chr") == F.col("__c")) & (F.col("path") == F.col("__p"))).select("chr", "ord", F.split("value", "\t").alias("f"))
     at = lambda i, t: F.get("f", F.lit(i)).try_cast(t)
     return rows.select("chr", at(0, "long").alias("pos1"), at(1, "long").alias("pos2"), at(2, "float").cast("double").alias("contact"), "ord").where("pos1 IS NOT NULL AND pos2 IS NOT NULL")
 
