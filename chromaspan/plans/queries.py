@@ -601,6 +601,31 @@ def gene_tf_matrix(spark, d):
     return wide.select(F.col("column").alias("col"), "gene_id", *[r(f, 4).alias(f) for f in factors])
 
 
+def _gene_tf_arrays(spark, d):
+    m, p = _matrices(spark, d), V.peaks(spark, d)
+    docs = motifs.affinities(V.sequences(spark, d), m).select(F.col("peak_id").cast("long").alias("o_"), "affinity")
+    affinity = p.join(docs, F.col("ord") == F.col("o_")).select("peak_id", "affinity")
+    scaled = matrix.window_scaler(matrix.window_pairs(V.genes(spark, d), p, HALF), _signals(spark, d))
+    names, lengths = matrix.motif_facts(m)
+    return matrix.gene_tf_vectors(scaled, affinity, lengths), names, scaled
+
+
+@query(SQL["gene_tf_matrix"])
+def gene_tf_vectors(spark, d):
+    """The wide matrix from one array a gene."""
+    vectors, names, _ = _gene_tf_arrays(spark, d)
+    wide = matrix.wide_vectors(vectors, names)
+    return wide.select(F.col("column").alias("col"), "gene_id", *[r(f, 4).alias(f) for f in names])
+
+
+def motif_affinity_all(spark, d):
+    """Whole documents against a motif of every embedding; too much for SQL, the tests hold it against a plain version."""
+    return motifs.affinities(V.contigs(spark, d).select(F.col("chr").alias("peak_id"), "seq"), motifs.to_matrices(motifs.energies(V.count_rows(spark, d))))
+
+
+QUERIES["motif_affinity_all"] = motif_affinity_all
+
+
 # -- sources ----------------------------------------------------------------------------------
 
 

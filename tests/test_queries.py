@@ -23,7 +23,7 @@ def rows(df):
     return cols, sorted((tuple(norm(v) for v in r) for r in df[cols].itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+@pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_query(spark, db, name):
     mine, theirs = rows(Q.QUERIES[name](spark, SF).toPandas()), rows(db.sql(Q.SQL[name]).df())
     assert mine == theirs
