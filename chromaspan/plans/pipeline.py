@@ -109,6 +109,9 @@ class RunResult:
     gene_tf: DataFrame
     features: DataFrame
     discarded: DataFrame
+    gene_tf_vectors: DataFrame
+    factors: list[str]
+    columns: dict[str, str]
 
 
 def run_pipeline(spark: SparkSession, config: RunConfig) -> RunResult:
@@ -151,7 +154,9 @@ def run_pipeline(spark: SparkSession, config: RunConfig) -> RunResult:
         pairs = written(matrix.window_pairs(wanted, regions, config.half) if config.bed else matrix.promoter_pairs(wanted, regions, config.half), "pairs")
         scaled = matrix.window_scaler(pairs, sig, config.decay and bool(config.bed))
     scaled = written(scaled, "scaled-pairs")
-    return RunResult(regions, hits, info, matrix.gene_tf(scaled, affinity, matrices), matrix.peak_features(scaled), matrix.discarded_genes(wanted, pairs))
+    factors, lengths = matrix.motif_facts(matrices)
+    vectors = written(matrix.gene_tf_vectors(scaled, affinity, lengths), "gene-tf")
+    return RunResult(regions, hits, info, matrix.long_form(vectors, factors), matrix.peak_features(scaled), matrix.discarded_genes(wanted, pairs), vectors, factors, names)
 
 
 def _scored(spark: SparkSession, config: RunConfig, peaks: DataFrame, sig: DataFrame, columns: list[str], one_tss: DataFrame, keys: DataFrame | None) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as X
 from ..functions.stages import shared_folder, written
 from ..operators import abc, contacts, genes, intervals, matrix, motifs, sequence, signals, sweep, tiles
-from ..sinks import writers
+from ..sinks import store, writers
 from ..sources import readers
 from . import pipeline
 from . import views as V
@@ -803,6 +803,18 @@ def gene_tf_binary(spark, d):
     return back.select(F.col("k").alias("gi"), F.col("column").alias("col"), "field", F.round(F.col("value").cast("double"), 1).alias("value"))
 
 
+@query(SQL["gene_tf_binary"].replace("FROM customer)", "FROM customer WHERE c_custkey % 7 = 3)"))
+def gene_tf_binary_part(spark, d):
+    """Some genes of the binary matrix: only the members that hold them are read."""
+    path = shared_folder(spark, "binary")
+    wide, fields = _wide(spark, d)
+    named = V.read(spark, d, "customer").select(F.col("c_name").alias("gene_id"), F.col("c_custkey").alias("k"))
+    ords = named.select("gene_id", "k", F.col("k").alias("ord"))
+    writers.write_binary(wide, ords, ["sig1", "sig2"], fields, path, member_genes=5)
+    wanted = [x["k"] for x in named.where("k % 7 = 3").collect()]
+    return writers.read_binary(spark, path, wanted).select(F.col("gene_ord").alias("gi"), F.col("column").alias("col"), "field", F.round(F.col("value").cast("double"), 1).alias("value"))
+
+
 @query(SQL["discarded_genes"])
 def discarded_table(spark, d):
     path = shared_folder(spark, "discarded")
@@ -822,7 +834,8 @@ def metadata_counts(spark, d):
     """Counts of a run's metadata, written and read back; the header of the regions counts."""
     config = pipeline.RunConfig(annotation="a", genome="g", bed=V.bed_file(spark, d), counts=V.transfac_file(spark, d))
     path = shared_folder(spark, "metadata")
-    V._path(path).parent.mkdir(parents=True, exist_ok=True)
+    system, place = store.located(path)
+    system.create_dir(place.rpartition("/")[0], recursive=True)
     writers.write_metadata(path, pipeline.run_metadata(spark, config))
     return spark.createDataFrame([(k, int(v)) for k, v in writers.read_metadata(path)["Metrics"].items()], "k string, v long")
 

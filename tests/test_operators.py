@@ -4,6 +4,7 @@ import gzip
 import math
 import random
 import struct
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,6 +260,22 @@ def test_run_is_written_and_told(spark, files, tmp_path):
     result = run_pipeline(spark, cfg)
     paths = writers.write_run(result, str(tmp_path / "out"), "x")
     assert set(paths) == {writers.INTERACTIONS, writers.GENE_INFO, writers.GENE_TF, writers.DISCARDED}
+    named = sorted(p.name for p in (tmp_path / "out").iterdir())
+    suffixes = list(result.columns.values())
+    assert named == sorted(["x_discarded_Genes.txt", *[f"x_{t}{s}.txt.gz" for t in ("ABCpp_scoredInteractions", "GeneInfo", "TF_Gene_Affinities") for s in suffixes]])
+    # What was written is found from the name of any of its files.
+    again = readers.interaction_files(paths[writers.INTERACTIONS]["c4"], result.columns)
+    assert again == paths[writers.INTERACTIONS]
+    back = readers.read_interactions(spark, again)
+    assert back.count() == result.interactions.count() > 0
+    with gzip.open(paths[writers.GENE_TF]["c5"], "rt") as f:
+        assert f.readline().rstrip("\n").split("\t") == ["geneID", *result.factors, "NumPeaks", "AvgPeakDistance", "AvgPeakSize"]
+    with pytest.raises(FileExistsError):
+        writers.write_run(result, (tmp_path / "out").as_uri(), "x")
+    broken = replace(result, gene_info=result.gene_info.withColumn("avg_contact", F.when(F.col("gene_id") != "", F.raise_error(F.lit("no"))).otherwise(F.col("avg_contact")).cast("double")))
+    with pytest.raises(Exception, match="no"):
+        writers.write_run(broken, str(tmp_path / "other"), "x")
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("o")) == ["out"]  # nothing is left
     with pytest.raises(FileExistsError):
         writers.write_run(result, str(tmp_path / "out"), "x")
     told = run_metadata(spark, cfg, result)
@@ -295,6 +312,12 @@ def test_run_window_mode(spark, files, tmp_path):
     values = {(r["gene_ord"], r["column"], r["field"]): r["value"] for r in writers.read_binary(spark, str(tmp_path / "bin")).collect()}
     rows = {(r["column"], r["gene_id"]): r for r in wide.collect()}
     assert n == len(values) == 2 * 2 * 5
+    one = writers.write_binary(wide, order, ["c4", "c5"], fields, str(tmp_path / "bin1"), member_genes=1)
+    assert one == n and writers.binary_members(spark, str(tmp_path / "bin1"), [1]).count() == 1
+    some = {(r["gene_ord"], r["column"], r["field"]): r["value"] for r in writers.read_binary(spark, str(tmp_path / "bin1"), [1]).collect()}
+    assert some == {k: v for k, v in values.items() if k[0] == 1} and len(some) == 10
+    with pytest.raises(FileExistsError):
+        writers.write_binary(wide, order, ["c4", "c5"], fields, (tmp_path / "bin1").as_uri())
     assert [values[0, "c5", f] for f in fields] == pytest.approx([float(rows["c5", "G1"][f]) for f in fields], rel=1e-6)
     # The parts are one gzip stream: factor fastest, then column, then gene.
     parts = sorted((tmp_path / "bin" / "Reshape_Binary.bin.gz").glob("*.gz"))
