@@ -30,8 +30,8 @@ TOP, NEIGHBOURS, SAMPLED = 20, 48, 14
 ROUNDS, ENOUGH = 8, 0.02
 #: Nodes of a random block, and such blocks for each node, at the start.
 BLOCK_NODES, BLOCKINGS = 512, 4
-#: Nodes or queries whose rows meet in one piece of arithmetic.
-PART_NODES = 2048
+#: Nodes or queries whose rows meet in one piece of arithmetic; parts at least, so that small tables are dealt out like large ones.
+PART_NODES, LEAST_PARTS = 3072, 12
 #: Requests of a search whose node blocks are decoded at once.
 _PIECE = 256
 #: Beam of a search, nodes expanded a round, and entry points besides a query's own node.
@@ -309,7 +309,7 @@ def build_graph(codes: DataFrame, k: int = NEIGHBOURS, sampled: int = SAMPLED, r
     A node alone has no neighbours; an empty table gives an empty graph.
     """
     n = codes.count()
-    parts, blocks = max(1, math.ceil(n / PART_NODES)), max(1, math.ceil(n / BLOCK_NODES))
+    parts, blocks = max(LEAST_PARTS, math.ceil(n / PART_NODES)), max(1, math.ceil(n / BLOCK_NODES))
     dealt = codes.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKINGS - 1 if blocks > 1 else 0))).alias("t"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "t", "node"), F.lit(blocks)))
     per_block = math.ceil(k / BLOCKINGS) if blocks > 1 else k
@@ -366,7 +366,7 @@ def search_graph(graph: DataFrame, queries: DataFrame, beam: int = BEAM, expande
     """
     spark = graph.sparkSession
     nodes, n = graph.count(), queries.count()
-    parts, buckets = max(1, math.ceil(n / PART_NODES)), max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(nodes / PART_NODES))
+    parts, buckets = max(LEAST_PARTS, math.ceil(n / PART_NODES)), max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(nodes / PART_NODES))
     picked = graph.select("node", "code").orderBy(F.xxhash64("node")).limit(entries).collect()
     entry_ids, entry_codes = [r["node"] for r in picked], [bytes(r["code"]) for r in picked]
 
@@ -431,7 +431,7 @@ def search_graph(graph: DataFrame, queries: DataFrame, beam: int = BEAM, expande
     beams = materialise(queries.select("q", "code", "start").mapInArrow(begin, _BEAM), "beams")
     if not nodes or not n:
         return beams
-    table = _blocks(graph, buckets, max(1, math.ceil(nodes / PART_NODES)))
+    table = _blocks(graph, buckets, max(LEAST_PARTS, math.ceil(nodes / PART_NODES)))
     while beams.where(F.exists("done", lambda x: ~x)).limit(1).count():
         asked = beams.mapInArrow(requests, "q long, code binary, least float, node long")
         found = asked.join(spark.table(table).hint("merge"), "node").select("q", "code", "least", "nbr", "codes").mapInArrow(expand, "q long, nbr array<long>, sim array<float>")
