@@ -161,6 +161,14 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language_id.op8_language_id(unlabelled).collect()} == {"und"}
 
 
+def mixture(bins, logp):
+    """Proportions by language of one document."""
+    chosen, pi = language_id.infer([bins], language_id.Model([str(k) for k in range(len(logp))], logp))[0]
+    out = np.zeros(len(logp))
+    out[chosen] = pi
+    return out
+
+
 def test_language_sets_against_all_subsets():
     """The greedy set of languages is never far from the best of all subsets by penalised likelihood, and mostly is it."""
     from itertools import combinations
@@ -175,7 +183,7 @@ def test_language_sets_against_all_subsets():
         u, n = np.unique(bins, return_counts=True)
         value = lambda own: language_id.proportions(np.exp(logp[list(own)][:, u].astype(float)).T, n.astype(float))[1] - language_id.PENALTY * np.log(len(bins) + 1) * len(own)  # noqa: B023, E731
         best = max((s for size in range(1, 5) for s in combinations(range(4), size)), key=value)
-        pi = language_id.infer(bins, logp)
+        pi = mixture(bins, logp)
         mine = tuple(int(k) for k in np.flatnonzero(pi))
         assert abs(pi.sum() - 1) < 1e-6 and value(mine) >= value(best) - 0.5
         same += mine == best
@@ -189,9 +197,20 @@ def test_language_mixture():
     logp = np.full((3, language_id.BINS), -20.0, np.float32)
     logp[:, :400] = np.log(p + 1e-9)
     bins = np.concatenate([rnd.choice(400, 700, p=p[0]), rnd.choice(400, 300, p=p[2])])
-    pi = language_id.infer(bins, logp)
+    pi = mixture(bins, logp)
     assert pi[1] == 0 and abs(pi[0] - 0.7) < 0.06
-    assert language_id.infer(rnd.choice(400, 500, p=p[1]), logp).tolist() == [0, 1, 0]
+    assert mixture(rnd.choice(400, 500, p=p[1]), logp).tolist() == [0, 1, 0]
+
+
+@pytest.mark.parametrize("size", [1, 3])
+def test_language_blocks(spark, monkeypatch, size):
+    """A model of many blocks of languages gives what one block gives."""
+    docs = spark.read.parquet(f"{cases.SF}/documents.parquet").select("doc_id", "text", F.concat("lang", (F.col("doc_id") % 3).cast("string")).alias("lang"))
+    one = {tuple(r) for r in language_id.op8_language_id(docs).collect()}
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", size)
+    model = language_id.learn(docs)
+    assert len(model.paths) == -(-len(model.names) // size) > 1
+    assert {tuple(r) for r in language_id.op8_language_id(docs).collect()} == one
 
 
 @pytest.fixture(scope="module")
