@@ -22,8 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     So null and empty texts go. Repeated rows stay or go together; an empty table, or one without any
     labelled text to learn from, gives an empty result; columns of any other name are passed on.
     """
-    languages, logp = language_id.learn(docs)
-    return language_id.keep_languages(docs, languages, logp, LEAST_SHARE)
+    return language_id.keep_languages(docs, language_id.learn(docs), LEAST_SHARE)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
