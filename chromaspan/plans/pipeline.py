@@ -15,7 +15,7 @@ from ..functions.stages import written
 from ..operators import abc, genes, intervals, matrix, motifs, sequence, signals, sweep
 from ..operators.contacts import canonical
 from ..operators.tiles import write_tiles
-from ..sources import readers
+from ..sources import indexed, readers
 
 
 #: From so many activity columns on, scores keep them as one array; up to so many chromosomes are named to the scan of contact files.
@@ -48,6 +48,7 @@ class RunConfig:
     interactions: dict[str, str] | str = field(default_factory=dict)
     ordered_max: bool = False
     unit_far_pseudocount: bool = False
+    genome_index: str | None = None
 
     @property
     def scored(self) -> bool:
@@ -130,7 +131,11 @@ def run_pipeline(spark: SparkSession, config: RunConfig) -> RunResult:
     if config.exclude:
         peaks = intervals.exclude_regions(peaks, readers.read_bed(spark, config.exclude)[0])
 
-    seqs = written(sequence.clean(sequence.extract(peaks, readers.read_genome(spark, config.genome))), "region-sequences")
+    if config.genome_index:  # only the bytes of the regions are read
+        cut = indexed.extract_indexed(peaks, indexed.read_index(spark, config.genome, config.genome_index))
+    else:
+        cut = sequence.extract(peaks, readers.read_genome(spark, config.genome))
+    seqs = written(sequence.clean(cut), "region-sequences")
     if config.energies:
         matrices = readers.read_energy_matrices(spark, config.energies)
     else:

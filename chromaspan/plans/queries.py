@@ -11,7 +11,7 @@ from ..functions import columns as X
 from ..functions.stages import shared_folder, written
 from ..operators import abc, contacts, genes, intervals, matrix, motifs, sequence, signals, sweep, tiles
 from ..sinks import store, writers
-from ..sources import readers
+from ..sources import indexed, readers
 from . import pipeline
 from . import views as V
 
@@ -242,6 +242,18 @@ def fasta_records(spark, d):
     return readers.read_fasta(spark, V.text_folder(lines, "records")).select(F.col("chr").alias("peak_id"), "seq")
 
 
+@query(SQL["sequence_extract"])
+def sequence_by_index(spark, d):
+    """Regions read by their bytes, from the files' indexes."""
+    path = V.genome_file(spark, d)
+    genome = V.contigs(spark, d)
+    n = F.length("seq").cast("long")
+    regions = genome.select("chr", F.explode(F.array((F.col("chr").cast("long") * 7) % 90, F.floor(n / 2), n - 100)).alias("start")).where("start >= 0").distinct()
+    regions = regions.select(X.peak_id("chr", "start", F.col("start") + 100).alias("peak_id"), "chr", "start", (F.col("start") + 100).alias("end"))
+    files = [f"{path}/{name}" for name in store.names(path) if name.startswith("part-")]
+    return indexed.extract_indexed(regions, written(indexed.index_genome(spark, files), "genome-index")).select("chr", F.col("start").alias("s"), F.col("seq").alias("part"))
+
+
 _ENERGY = """counts AS (SELECT motif_ord, pos, a + 1 AS a, c + 1 AS c, g + 1 AS g, t + 1 AS t FROM crows),
 tops AS (SELECT *, greatest(a, t) AS m_at, greatest(c, g) AS m_cg FROM counts)"""
 

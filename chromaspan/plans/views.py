@@ -6,13 +6,13 @@
 from __future__ import annotations
 
 import gzip
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import peak_id, strand_tss
 from ..functions.stages import shared_folder
+from ..sinks import store
 
 BIN = 1000
 
@@ -93,10 +93,6 @@ def motif_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("motif_ord", name.alias("ac"), name.alias("name"), "pos", at((k + 1) * (7 * p + 3), 11).alias("a"), at((k + 2) * (5 * p + 1), 13).alias("c"), at((k + 3) * (3 * p + 2), 7).alias("g"), at((k + 1) * (2 * p + 5), 9).alias("t"))
 
 
-def _path(folder: str) -> Path:
-    return Path(folder.removeprefix("file://"))
-
-
 def text_folder(lines: DataFrame, label: str) -> str:
     """Lines (value) written as text to a fresh folder, which is given."""
     path = shared_folder(lines.sparkSession, label)
@@ -135,13 +131,14 @@ def contact_folder(spark: SparkSession, sf_dir: str) -> str:
     line = F.concat_ws("\t", F.col("pos1").cast("string"), F.col("pos2").cast("string"), (F.col("contact") + 5 * (1 - F.col("turn"))).cast("string"))
     folder = shared_folder(spark, "contacts")
     twice.repartition("chr").sortWithinPartitions("chr", "turn", "pos1", "pos2").select("chr", line.alias("value")).write.option("compression", "gzip").partitionBy("chr").text(folder + "-parts")
-    _path(folder).mkdir(parents=True)
-    for part in sorted(_path(folder + "-parts").glob("chr=*/*.gz")):  # one file a chromosome
-        chrom = part.parent.name.removeprefix("chr=")
-        part.rename(_path(folder) / f"chr{chrom}_b.gz")
-        for name, text in ((f"chr{chrom}_a.gz", "0\t0\t77\n"), (f"chr{chrom}_c.gz", "not readable\n0\t0\t99\n")):
-            with gzip.open(_path(folder) / name, "wt") as f:
-                f.write(text)
+    system, place = store.located(folder)
+    system.create_dir(place, recursive=True)
+    for part in (n for n in store.names(folder + "-parts") if n.startswith("chr=")):  # one file for each chromosome
+        chrom = part.removeprefix("chr=")
+        for name in (n for n in store.names(f"{folder}-parts/{part}") if n.endswith(".gz") and not n.startswith(".")):
+            store.move(f"{folder}-parts/{part}/{name}", f"{folder}/chr{chrom}_b.gz")
+            store.write_bytes(f"{folder}/chr{chrom}_a.gz", gzip.compress(b"0\t0\t77\n"))
+            store.write_bytes(f"{folder}/chr{chrom}_c.gz", gzip.compress(b"not readable\n0\t0\t99\n"))
     return folder
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import gene_symbol, gtf_attribute, peak_id, strand_tss, strip_chr
@@ -16,9 +16,9 @@ from ..operators.signals import column_name, parse_columns
 def read_gtf(spark: SparkSession, path: str, feature: str = "gene") -> DataFrame:
     """(ord, gene_id, gene_name, chr, strand, start, end, tss) of the rows of a feature, ``gene`` or ``transcript``.
 
-    ``ord`` follows the file: its position in the partition order of the scan.
+    ``ord`` follows the lines: files by name, blocks of a file by place, and within a block the scan.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith("#")).withColumn("ord", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", file_order().alias("ord")).where(~F.col("value").startswith("#"))
     f = F.split("value", "\t")
     rows = lines.where((F.size(f) >= 9) & (F.get(f, F.lit(2)) == feature)).select("ord", f.alias("f"))
     at = lambda i: F.get("f", F.lit(i))
@@ -27,6 +27,16 @@ def read_gtf(spark: SparkSession, path: str, feature: str = "gene") -> DataFrame
     return rows.select("ord", gene_id.alias("gene_id"), gene_symbol(gtf_attribute(at(8), "gene_name"), gene_id).alias("gene_name"), strip_chr(at(0)).alias("chr"), at(6).alias("strand"), start.alias("start"), end.alias("end"), strand_tss(at(6), start, end).alias("tss"))
 
 
+def file_order() -> Column:
+    """The place of a line in a folder, as a struct that sorts: splits of a scan are packed by size, so the order of partitions is not that of files."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("i"))
+
+
+def _rank(place: str) -> Column:
+    """0, 1, ... in the order of ``place``; for motifs, of which there are some thousand."""
+    return (F.row_number().over(Window.orderBy(place)) - 1).cast("long")
+
+
 def read_bed(spark: SparkSession, path: str, columns: str = "0") -> tuple[DataFrame, dict[str, str]]:
     """Regions (peak_id, chr, start, end, signal fields) and the output suffix of each signal field.
 
@@ -71,7 +81,7 @@ def read_genome(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
 
 def read_transfac(spark: SparkSession, path: str) -> DataFrame:
     """Count matrices (motif_ord, ac, name, pos, a, c, g, t) of a TRANSFAC file, records end with //."""
-    records = spark.read.option("lineSep", "//").text(path).where(F.col("value").rlike(r"(?m)^\s*P[0O]\s")).withColumn("motif_ord", F.monotonically_increasing_id())
+    records = spark.read.option("lineSep", "//").text(path).select("value", file_order().alias("place")).where(F.col("value").rlike(r"(?m)^\s*P[0O]\s")).withColumn("motif_ord", _rank("place"))
     field = lambda tag: F.regexp_extract("value", rf"(?m)^\s*{tag}\s+(\S+)", 1)
     body = F.regexp_extract("value", r"(?s)(?:^|\n)\s*P[0O]\s[^\n]*\n(.*?)(?:\n\s*XX|$)", 1)
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"^\s*[0-9]+(\s+[-+0-9.eE]+){4}"))
@@ -82,7 +92,7 @@ def read_transfac(spark: SparkSession, path: str) -> DataFrame:
 
 def read_energy_matrices(spark: SparkSession, path: str) -> DataFrame:
     """(motif_ord, ac, name, lnr0, length, energy) of a file of energy matrices, whose records start with >."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.col("value").rlike("lnR0:")).withColumn("motif_ord", F.monotonically_increasing_id())
+    records = spark.read.option("lineSep", ">").text(path).select("value", file_order().alias("place")).where(F.col("value").rlike("lnR0:")).withColumn("motif_ord", _rank("place"))
     head = F.split(F.get(F.split("value", "\n"), F.lit(0)), r"\s+")
     lnr0 = F.regexp_extract("value", r"lnR0:\s*(\S+)", 1).cast("double")
     lines = F.filter(F.split("value", "\n"), lambda x: x.rlike(r"^\s*[-+0-9.]") & ~x.contains("lnR0:"))
