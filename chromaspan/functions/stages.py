@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables of up to so many bytes, by their number of rows, are broadcast.
@@ -32,6 +32,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_and_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As ``written``, with the number of rows, which is counted as they are written."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return table, seen.get.get("rows", 0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_flag
-from ..functions.stages import written
+from ..functions.stages import written, written_and_counted
 from ..operators import abc, genes, intervals, matrix, motifs, sequence, signals, sweep
 from ..operators.contacts import canonical
 from ..operators.tiles import write_tiles
@@ -113,6 +113,7 @@ class RunResult:
     gene_tf_vectors: DataFrame
     factors: list[str]
     columns: dict[str, str]
+    counts: dict[str, int]
 
 
 def run_pipeline(spark: SparkSession, config: RunConfig) -> RunResult:
@@ -135,7 +136,8 @@ def run_pipeline(spark: SparkSession, config: RunConfig) -> RunResult:
         cut = indexed.extract_indexed(peaks, indexed.read_index(spark, config.genome, config.genome_index))
     else:
         cut = sequence.extract(peaks, readers.read_genome(spark, config.genome))
-    seqs = written(sequence.clean(cut), "region-sequences")
+    counts: dict[str, int] = {}
+    seqs, counts["regions with a sequence"] = written_and_counted(sequence.clean(cut), "region-sequences")
     if config.energies:
         matrices = readers.read_energy_matrices(spark, config.energies)
     else:
@@ -148,9 +150,9 @@ def run_pipeline(spark: SparkSession, config: RunConfig) -> RunResult:
     hits = info = None
     if config.interactions:
         paths = config.interactions if isinstance(config.interactions, dict) else readers.interaction_files(config.interactions, names)
-        hits = written(readers.read_interactions(spark, paths), "given-interactions")
+        hits, counts["interactions"] = written_and_counted(readers.read_interactions(spark, paths), "given-interactions")
     elif config.scored:
-        hits, info = _scored(spark, config, peaks, sig, list(names), one_tss, keys)
+        hits, info, counts["interactions"] = _scored(spark, config, peaks, sig, list(names), one_tss, keys)
 
     if hits is not None:
         pairs = written(matrix.interaction_pairs(hits, wanted, regions), "pairs")
@@ -160,12 +162,14 @@ def run_pipeline(spark: SparkSession, config: RunConfig) -> RunResult:
         scaled = matrix.window_scaler(pairs, sig, config.decay and bool(config.bed))
     scaled = written(scaled, "scaled-pairs")
     factors, lengths = matrix.motif_facts(matrices)
+    counts["considered motifs"] = len(factors)
     vectors = written(matrix.gene_tf_vectors(scaled, affinity, lengths), "gene-tf")
-    return RunResult(regions, hits, info, matrix.long_form(vectors, factors), matrix.peak_features(scaled), matrix.discarded_genes(wanted, pairs), vectors, factors, names)
+    discarded, counts["genes without a region"] = written_and_counted(matrix.discarded_genes(wanted, pairs), "discarded-genes")
+    return RunResult(regions, hits, info, matrix.long_form(vectors, factors), matrix.peak_features(scaled), discarded, vectors, factors, names, counts)
 
 
-def _scored(spark: SparkSession, config: RunConfig, peaks: DataFrame, sig: DataFrame, columns: list[str], one_tss: DataFrame, keys: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Interactions, written once, and the summary of genes."""
+def _scored(spark: SparkSession, config: RunConfig, peaks: DataFrame, sig: DataFrame, columns: list[str], one_tss: DataFrame, keys: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
+    """Interactions, written once, the summary of genes, and the number of interactions."""
     listed = genes.all_tss(readers.read_gtf(spark, config.annotation, "transcript")) if config.all_tss else one_tss.withColumn("tss", F.array("tss"))
     settings = abc.AbcSettings(config.half, config.enhancer_window // 2, config.bin_size, config.cutoff, config.adapted, config.pseudocount, ordered_max=config.ordered_max, unit_far_pseudocount=config.unit_far_pseudocount, sweep=True)
     tiles = None
@@ -176,10 +180,10 @@ def _scored(spark: SparkSession, config: RunConfig, peaks: DataFrame, sig: DataF
         hits = abc.score_columns(listed, peaks, columns, settings, tiles, keys)
     else:
         hits = abc.score(listed, peaks, sig, settings, tiles, keys)
-    hits = written(hits, "interactions")
+    hits, n_hits = written_and_counted(hits, "interactions")
     candidates = sweep.sweep_join(genes.gene_windows(listed, settings.gene_window), peaks, "left_semi")
     named = genes.filter_genes(listed, keys) if keys is not None else listed
-    return hits, abc.gene_info(hits, named, columns, candidates, tiles.tiles().select("chr") if tiles else None)
+    return hits, abc.gene_info(hits, named, columns, candidates, tiles.tiles().select("chr") if tiles else None), n_hits
 
 
 def run_scores(spark: SparkSession, config: RunConfig) -> tuple[DataFrame, DataFrame]:
@@ -191,7 +195,7 @@ def run_scores(spark: SparkSession, config: RunConfig) -> tuple[DataFrame, DataF
         peaks = intervals.exclude_regions(peaks, readers.read_bed(spark, config.exclude)[0])
     keys = readers.read_gene_list(spark, config.gene_list) if config.gene_list else None
     one_tss = genes.five_prime_tss(readers.read_gtf(spark, config.annotation, "gene"))
-    return _scored(spark, config, peaks, signals.unpivot_signals(peaks, list(names)), list(names), one_tss, keys)
+    return _scored(spark, config, peaks, signals.unpivot_signals(peaks, list(names)), list(names), one_tss, keys)[:2]
 
 
 def run_affinities(spark: SparkSession, fasta: str, energies: str) -> DataFrame:
@@ -216,15 +220,17 @@ def run_promoter_windows(spark: SparkSession, annotation: str, window: int = 500
 
 
 def run_metadata(spark: SparkSession, config: RunConfig, result: RunResult | None = None, columns: dict[str, str] | None = None) -> dict[str, dict]:
-    """Sections of a run's metadata: inputs, references, parameters, and counts of regions (lines of the file), motifs and results."""
+    """Sections of a run's metadata: inputs, references, parameters, and counts of regions (lines of the file), motifs and results.
+
+    A run's own counts were taken as its tables were written; only the lines of the region file are counted here.
+    """
     part = lambda *names: {n: getattr(config, n) for n in names if getattr(config, n) not in (None, "", {})}
     lines = lambda path, pattern: spark.read.text(path).where(F.col("value").rlike(pattern)).count()
     counts = {"provided regions": lines(config.bed, ".")} if config.bed else {}
-    counts["considered motifs"] = lines(config.energies, "^>") if config.energies else lines(config.counts, r"^\s*//")
     if result is not None:
-        counts |= {"regions with a sequence": result.regions.count(), "genes without a region": result.discarded.count()}
-        if result.interactions is not None:
-            counts["interactions"] = result.interactions.count()
+        counts |= result.counts
+    else:
+        counts["considered motifs"] = lines(config.energies, "^>") if config.energies else lines(config.counts, r"^\s*//")
     return {
         "Inputs": part("bed", "columns", "exclude", "gene_list", "interactions") | ({"suffixes": ",".join(columns.values())} if columns else {}), "References": part("genome", "annotation", "energies", "counts", "gc"),
         "Parameters": part("window", "cutoff", "contacts", "fractal", "bin_size", "all_tss", "decay", "adapted", "pseudocount", "enhancer_window", "ordered_max", "unit_far_pseudocount"), "Metrics": counts,

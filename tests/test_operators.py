@@ -279,6 +279,7 @@ def test_run_is_written_and_told(spark, files, tmp_path):
     with pytest.raises(FileExistsError):
         writers.write_run(result, str(tmp_path / "out"), "x")
     told = run_metadata(spark, cfg, result)
+    assert told["Metrics"] == {"provided regions": 5, "considered motifs": 2, "regions with a sequence": result.regions.count(), "genes without a region": result.discarded.count(), "interactions": result.interactions.count()}
     writers.write_metadata(str(tmp_path / "meta.tsv"), told)
     back = writers.read_metadata(str(tmp_path / "meta.tsv"))
     assert back["Metrics"]["provided regions"] == "5" and back["Metrics"]["considered motifs"] == "2" and back["Metrics"]["interactions"] == str(result.interactions.count())
