@@ -95,8 +95,8 @@ def _join_hits(docs: DataFrame, row_hash: Column, found: DataFrame) -> DataFrame
 def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """All rows and columns of ``docs`` with ``hit_spans``, ``n_hit`` and ``hit_items`` (null, 0 and null without a hit).
 
-    Columns named like the new ones are replaced; others may have any name. Nulls, repeated rows
-    and empty tables are as in ``contamination``.
+    Columns named like the new ones are replaced; others may have any name. Nulls, repeated rows, very
+    long texts (taken whole) and empty tables are as in ``contamination``.
     """
     docs = docs.drop("hit_spans", "n_hit", "hit_items")
     return _join_hits(docs, F.xxhash64("text"), contamination(docs, benchmark, n))
@@ -106,7 +106,8 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) ->
     """``docs`` without the rows in which an item window occurs.
 
     Rows with a null or empty text stay; repeated rows stay or go together; an empty benchmark
-    removes nothing; columns may have any name. The list of hit rows is broadcast if it is small.
+    removes nothing; very long texts are looked at whole; columns may have any name. The list of hit
+    rows is broadcast if it is small.
     """
     i, h = fresh(docs, "id_", "hash_")
     found = materialise(contamination(docs, benchmark, n).select(F.col("doc_id").alias(i), F.col("row_hash").alias(h)), "contaminated")
@@ -116,7 +117,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) ->
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """``docs`` with the hit words taken out of their texts; all other characters stay, and so do null texts.
 
-    Repeated rows are cut alike; an empty table gives an empty result; columns may have any name.
+    Repeated rows are cut alike, very long texts whole; an empty table gives an empty result; columns may have any name.
     """
     (found,) = fresh(docs, "found")
     text = F.coalesce("text", F.lit(""))

@@ -111,8 +111,8 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, base (word, label) and fuzzy spans.
 
     ``spans`` has each fuzzy match as first word, word after the last, label and edits. Null and
-    empty texts have no words and no spans; repeated rows are scanned alike; an empty table gives an
-    empty result; columns other than doc_id and text are not read.
+    empty texts have no words and no spans; very long texts are scanned whole; repeated rows are
+    scanned alike; an empty table gives an empty result; columns other than doc_id and text are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

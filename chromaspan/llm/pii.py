@@ -260,7 +260,8 @@ def redact(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     """``docs`` with ``spans``, and in ``text`` each span replaced by its kind in angle brackets; of overlapping spans the first counts.
 
     Rows are told apart by a number of their own, so repeated rows and doc_ids come out once each; a
-    null text stays null; an empty table gives an empty result; a column ``spans`` is replaced.
+    null text stays null, and very long texts are redacted whole; an empty table gives an empty
+    result; a column ``spans`` is replaced.
     """
     docs = docs.drop("spans")
     row, r = fresh(docs, "row_", "found_row_")

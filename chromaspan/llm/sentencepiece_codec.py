@@ -249,8 +249,9 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     crc32 of the ids as little-endian 32-bit integers, and whether decoding gives the text back.
 
     Null and empty texts have no ids and a crc32 of 0. A text that holds the blank symbol U+2581
-    itself decodes to a space there, so round_trip is false. Repeated rows come out alike, an empty
-    table gives an empty result, other columns are not read.
+    itself decodes to a space there, so round_trip is false. Very long texts are encoded whole, piece by
+    piece as paths meet. Repeated rows come out alike, an empty table gives an empty result, other
+    columns are not read.
     """
     with open(model or default_model(), "rb") as file:
         data = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -280,7 +281,8 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids give an empty text."""
+    """(doc_id, text) from (doc_id, ids); null and empty ids give an empty text, long lists are decoded
+    whole, repeated rows alike, an empty table to an empty result; other columns are not read."""
     with open(model or default_model(), "rb") as file:
         data = encoded.sparkSession.sparkContext.broadcast(file.read())
 
