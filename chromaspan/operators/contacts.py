@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import MEGABASE, bin_of, power_law_pseudocount
+from ..functions.stages import fresh
 
 
 def canonical(raw: DataFrame, bin_size: int) -> DataFrame:
@@ -61,10 +62,12 @@ def with_diagonal(cells: DataFrame) -> DataFrame:
 
 
 def lookup(pairs: DataFrame, cells: DataFrame, bin_a: str, bin_b: str) -> DataFrame:
-    """``pairs`` (chr and two bins) with ``contact``, 0 where there is no cell."""
-    c = cells.select(F.col("chr").alias("__c"), F.col("bin1").alias("__b1"), F.col("bin2").alias("__b2"), "contact")
-    on = (F.col("chr") == F.col("__c")) & (F.least(bin_a, bin_b) == F.col("__b1")) & (F.greatest(bin_a, bin_b) == F.col("__b2"))
-    return pairs.join(c, on, "left").select(*pairs.columns, F.coalesce("contact", F.lit(0.0)).alias("contact"))
+    """``pairs`` (chr and two bins) with ``contact``, 0 where there is no cell; a column of that name is replaced, others may have any name."""
+    names = fresh(pairs, "c_", "b1_", "b2_", "found_")
+    c = cells.select("chr", "bin1", "bin2", "contact").toDF(*names)
+    chrom, low, high, found = map(F.col, names)
+    on = (F.col("chr") == chrom) & (F.least(bin_a, bin_b) == low) & (F.greatest(bin_a, bin_b) == high)
+    return pairs.join(c, on, "left").select(*[F.col(f"`{x}`") for x in pairs.columns if x != "contact"], F.coalesce(found, F.lit(0.0)).alias("contact"))
 
 
 def pseudocount(distance_bins: Column, bin_size: int, slope: Column, intercept: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import strand_tss, window_around
+from ..functions.stages import fresh
 
 
 def five_prime_tss(genes: DataFrame) -> DataFrame:
@@ -49,8 +50,9 @@ def promoter_windows(genes: DataFrame, half: int) -> DataFrame:
 
 def filter_genes(genes: DataFrame, keys: DataFrame) -> DataFrame:
     """Genes whose id or name is in ``keys`` (one column ``key``): two equi-joins instead of one with OR."""
-    k = keys.select(F.col("key").alias("__k")).where("__k IS NOT NULL").distinct()
-    by_id = genes.join(k, F.col("gene_id") == F.col("__k"), "left_semi").select("gene_id")
-    by_name = genes.join(k, F.col("gene_name") == F.col("__k"), "left_semi").select("gene_id")
-    ids = by_id.union(by_name).select(F.col("gene_id").alias("__g")).distinct()
-    return genes.join(ids, F.col("gene_id") == F.col("__g"), "left_semi")
+    key, own = fresh(genes, "key_", "id_")
+    k = keys.select(F.col("key").alias(key)).where(F.col(key).isNotNull()).distinct()
+    by_id = genes.join(k, F.col("gene_id") == F.col(key), "left_semi").select("gene_id")
+    by_name = genes.join(k, F.col("gene_name") == F.col(key), "left_semi").select("gene_id")
+    ids = by_id.union(by_name).select(F.col("gene_id").alias(own)).distinct()
+    return genes.join(ids, F.col("gene_id") == F.col(own), "left_semi")
