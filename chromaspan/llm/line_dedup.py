@@ -1,23 +1,31 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table (h1, h2, n_docs, keeper) sorted by line hash: how many documents held the
-line, and the largest doc_id among them. Batches arrive in descending doc_id order. A new batch is
-merge-anti-joined against the runs, which leaves out lines that are already known to be frequent
-and to have a keeper, and what remains becomes a run of level 0. When a level holds ``fanout``
-runs, they are merged into one run of the next level. Dropping then needs only the frequent keys.
+A run is a table (h1, h2, n_docs, keeper), bucketed and sorted by line hash: how many documents held
+the line, and the largest doc_id among them. Batches arrive in descending doc_id order. A new batch
+is merge-anti-joined against each run in turn, which leaves out lines that a run knows to be frequent
+and to have a keeper, and what remains becomes a run of level 0. When a level holds ``fanout`` runs,
+these are merged into one run of the next level. All runs have the same buckets, one sorted file
+each, so joins and merges read them in order: only a batch is shuffled, never a run. Dropping then
+needs only the frequent keys.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, scratch, slices
+from .common import BROADCAST_BYTES, fresh, materialise, scratch, slices
 
 MIN_CHARS, MIN_DOCS = 20, 3
+#: Rows of a batch, and the least number of batches.
+BATCH_ROWS, LEAST_BATCHES = 1 << 28, 3
 #: What bytes.strip() takes off: the ASCII white space of the line rule.
 _STRIP = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -52,58 +60,100 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text").mapInArrow(run, "doc_id long, row_hash long, h1 long, h2 long")
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark takes the order of bucketed files as given, if a bucket is one file."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class LineRuns:
-    """Levelled runs in the shared folder; ``add`` takes batches in descending doc_id order."""
+    """Levelled runs in the shared folder; ``add`` takes batches in descending doc_id order.
+
+    Runs have as many buckets as shuffles have partitions. Their names are in the session's catalog
+    until ``close``.
+    """
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = 2):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.path = scratch(spark, "line-runs")
+        self.name = f"line_runs_{uuid.uuid4().hex}"
+        self.buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's own limit
         self.levels: list[list[str]] = []
-        self.written = 0
-
-    schema = "h1 long, h2 long, n_docs long, keeper long"
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = f"{self.path}/run-{self.written}-level-{level}"
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
-        self.written += 1
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+        self.names: list[str] = []
+
+    @property
+    def written(self) -> int:
+        return len(self.names)
+
+    def _merged(self, one: DataFrame, other: DataFrame) -> DataFrame:
+        """Two runs merged in the order of their files. (A union would do, but of two columnar bucketed scans Spark 4.1 groups each alone.)"""
+        a, b = one.alias("a"), other.alias("b").hint("merge")
+        sums = F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))
+        return a.join(b, ["h1", "h2"], "full").select("h1", "h2", sums.alias("n_docs"), F.greatest("a.keeper", "b.keeper").alias("keeper"))
+
+    def _write(self, run: DataFrame) -> str:
+        name = f"{self.name}_{self.written}"
+        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.path}/run-{self.written}").saveAsTable(name, format="parquet")
+        self.names.append(name)
+        return name
+
+    def _merge(self, names: list[str]) -> DataFrame:
+        """All of these runs as one; each step but the last is written, for then it has buckets again."""
+        last = names[-1]
+        if len(names) == 1:
+            return self.spark.table(last)
+        rest = reduce(lambda x, y: self._write(self._merged(self.spark.table(x), self.spark.table(y))), names[:-1])
+        return self._merged(self.spark.table(rest), self.spark.table(last))
 
     def runs(self) -> list[str]:
-        return [path for level in self.levels for path in level]
+        """Names of the runs, small ones first."""
+        return [name for level in self.levels for name in level]
 
     def known(self) -> DataFrame:
-        """Lines that at least ``min_docs`` documents hold, with their keeper."""
-        return self._merged(self.runs()).where(F.col("n_docs") >= self.min_docs)
+        """Lines that at least ``min_docs`` documents hold, with their keeper; a written table."""
+        with sorted_buckets(self.spark):
+            return materialise(self._merge(self.runs()).where(F.col("n_docs") >= self.min_docs), "frequent-lines")
 
-    def add(self, lines: DataFrame) -> None:
-        """Add a batch of ``line_hashes``; each of its rows counts as a document."""
+    def unsettled(self, lines: DataFrame) -> DataFrame:
+        """A batch of ``line_hashes``, summed up by line, without lines that a run knows to be frequent and to have a keeper."""
         batch = lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        if self.runs():
-            k = self.known().select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("keeper").alias("k_keeper"))
+        for name in self.runs():
+            k = self.spark.table(name).where(F.col("n_docs") >= self.min_docs).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("keeper").alias("k_keeper"))
             settled = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.coalesce("keeper", F.col("k_keeper")) <= F.col("k_keeper"))
             batch = batch.join(k.hint("merge"), settled, "left_anti")
-        self._write(batch, 0)
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(full), level + 1)
-            level += 1
+        return batch
 
-
-def build_runs(docs: DataFrame, batches: int = 3, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineRuns:
-    """Runs over all of ``docs``, taken in ``batches`` slices of descending doc_id."""
+    def add(self, lines: DataFrame) -> None:
+        """Add a batch of ``line_hashes``; each of its rows counts as a document."""
+        with sorted_buckets(self.spark):
+            new, level = self._write(self.unsettled(lines)), 0
+            while True:
+                if len(self.levels) <= level:
+                    self.levels.append([])
+                self.levels[level].append(new)
+                if len(self.levels[level]) < self.fanout:
+                    break
+                full, self.levels[level] = self.levels[level], []
+                new, level = self._write(self._merge(full)), level + 1
+
+    def close(self) -> None:
+        """Takes the names of the runs out of the catalog; files stay until the shared folder is cleared."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def build_runs(docs: DataFrame, batches: int | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineRuns:
+    """Runs over all of ``docs``, taken in ``batches`` slices of descending doc_id; by default one for each ``BATCH_ROWS`` rows, and three at least."""
     runs = LineRuns(docs.sparkSession, min_docs)
-    edges = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] or []
-    edges = sorted(set(edges))
+    batches = batches or max(LEAST_BATCHES, math.ceil(docs.count() / BATCH_ROWS))
+    edges = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] if batches > 1 else None
+    edges = sorted(set(edges or []))
     for low, high in zip([*reversed(edges), None], [None, *reversed(edges)], strict=True):
         part: Column = F.lit(True)
         if high is not None:
@@ -114,7 +164,7 @@ def build_runs(docs: DataFrame, batches: int = 3, min_chars: int = MIN_CHARS, mi
     return runs
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) plus the other columns of ``docs``: lines whose key has at
     least ``min_chars`` code points and is in at least ``min_docs`` rows stay only in the row with
     the largest doc_id that holds them.
@@ -130,14 +180,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     return docs_without_lines(docs, new, min_chars, min_docs, batches).select(*[F.col(f"{new}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], f"{new}.n_lines", f"{new}.n_dropped")
 
 
-def docs_without_lines(docs: DataFrame, name: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = 3) -> DataFrame:
+def docs_without_lines(docs: DataFrame, name: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` plus ``name``, a struct of text, n_lines and n_dropped as in ``dedup_lines``; only texts go through Python."""
-    frequent = materialise(build_runs(docs, batches, min_chars, min_docs).known().where(F.col("keeper").isNotNull()), "frequent-lines")
+    runs = build_runs(docs, batches, min_chars, min_docs)
+    frequent = runs.known().where(F.col("keeper").isNotNull())
+    runs.close()
     f = frequent.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "keeper")
     losing = line_hashes(docs, min_chars).join(f, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
     i, h, h1, h2 = fresh(docs, "id_", "hash_", "lost1_", "lost2_")
     lost = losing.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("h1", "h2")).alias("l"))
     lost = lost.select(F.col("doc_id").alias(i), F.col("row_hash").alias(h), F.transform("l", lambda x: x["h1"]).alias(h1), F.transform("l", lambda x: x["h2"]).alias(h2))
+    # What texts lose is broadcast if it is small by the bytes counted as it is written; beyond that texts and lists meet in a shuffle.
+    seen = Observation()
+    lost = materialise(lost.observe(seen, F.sum(F.size(h1) * 16 + 64).alias("bytes")), "lost-lines")
+    lost = F.broadcast(lost) if (seen.get.get("bytes") or 0) <= BROADCAST_BYTES else lost
     marked = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left")
 
     def rewrite(texts: pa.Array, lost1: pa.Array, lost2: pa.Array) -> pa.Array:

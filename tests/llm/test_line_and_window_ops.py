@@ -89,6 +89,47 @@ def test_line_runs_compact(spark):
     assert sorted(one.known().select("h1", "h2", "keeper").collect()) == sorted(many.known().select("h1", "h2", "keeper").collect())
 
 
+def test_line_runs_count_like_a_dictionary(spark):
+    """Few keys in many batches: sums, keepers and what is settled, against a plain count."""
+    rnd = random.Random(4)
+    lines = sorted(((rnd.randint(0, 300), 7, rnd.randint(0, 40), 1) for _ in range(900)), reverse=True)
+    runs, plain = line_dedup.LineRuns(spark, 3), {}
+    for at in range(0, 900, 60):
+        part = sorted(set(lines[at : at + 60]))
+        runs.add(spark.createDataFrame(part, "doc_id long, row_hash long, h1 long, h2 long"))
+        for doc_id, _, h1, h2 in part:
+            plain.setdefault((h1, h2), []).append(doc_id)
+    got = {(r["h1"], r["h2"]): r["keeper"] for r in runs.known().collect()}
+    assert got == {k: max(v) for k, v in plain.items() if len(v) >= 3} and len(runs.runs()) < 5
+    # A repeated line is settled by the run that knows it; one of a larger doc_id is not.
+    key = next(iter(got))
+    batch = [(-1, 7, *key), (-1, 7, 99, 1)]
+    assert [(r["h1"], r["h2"]) for r in runs.unsettled(spark.createDataFrame(batch, "doc_id long, row_hash long, h1 long, h2 long")).collect()] == [(99, 1)]
+    names = list(runs.names)
+    runs.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_line_runs_stay_sorted(spark):
+    """A batch is shuffled once; runs are neither shuffled nor sorted, in anti-joins and in merges."""
+    runs = line_dedup.build_runs(cases.sf_documents(spark), batches=3)
+    assert len(runs.runs()) == 2
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    with line_dedup.sorted_buckets(spark):
+        anti = plan(runs.unsettled(line_dedup.line_hashes(cases.sf_documents(spark))))
+        merged = plan(runs._merge(runs.runs()))
+    assert anti.count("LeftAnti") == 2 and anti.count("Exchange hashpartitioning") == 1 and anti.count("Sort [") == 1
+    assert "FullOuter" in merged and "Exchange" not in merged and "Sort [" not in merged
+    runs.close()
+
+
+def test_line_dedup_shuffles_long_lists(spark, monkeypatch):
+    docs = cases.documents(spark)
+    near = sorted(map(str, line_dedup.dedup_lines(docs).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, line_dedup.dedup_lines(docs).collect())) == near
+
+
 def test_quality_counts(spark):
     for docs in (cases.documents(spark), cases.sf_documents(spark)):
         texts = {r["doc_id"]: r["text"] for r in docs.collect()}
