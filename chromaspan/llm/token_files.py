@@ -16,7 +16,7 @@ from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
@@ -27,6 +27,8 @@ _HEAD = struct.Struct("<8sHHIQQq")  # magic, id width, 0, documents without doc_
 _EF_HEAD = struct.Struct("<QQBxxxxxxxQQ")  # count, largest value, low bits, bytes of low, bytes of high
 #: Every so many-th one-bit of the high part has its place stored.
 SELECT_EVERY = 64
+#: Parts that one sort deals, each a task, and tasks that write a group of parts.
+GROUP_PARTS, GROUP_TASKS = 8192, 64
 
 
 class EliasFano:
@@ -231,28 +233,33 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_token_files(docs: DataFrame, vocabulary: str | None = None, path: str | None = None, partition_bytes: int = 8 << 20, file_ids: int = 4 << 20, partitions: int | None = None) -> tuple[str, DataFrame]:
+def write_token_files(docs: DataFrame, vocabulary: str | None = None, path: str | None = None, partition_bytes: int = 8 << 20, file_ids: int = 4 << 20, group_parts: int = GROUP_PARTS) -> tuple[str, DataFrame]:
     """Encode (doc_id, text), end each document with id 0, write files in ascending doc_id order.
 
     Gives the folder and its manifest (file, part, seq, n_docs, n_ids, first_id), one row a file.
     Null and empty texts have the end id only; rows without a doc_id come first; repeated rows are
-    written each; an empty table writes no file; very long texts make longer files. Each attempt of a
-    task writes under names of its own, and the manifest lists those of the attempts that Spark took.
+    written each; an empty table writes no file; very long texts make longer files. Rows of one
+    doc_id follow each other by a hash of their texts, so many of them make several parts. Each attempt
+    of a task writes under names of its own, and the manifest lists those of the attempts that Spark
+    took. A sort deals ``group_parts`` parts of ``partition_bytes`` at most; larger tables are first
+    written in groups of doc_ids between bounds from a quantile sketch, and sorted group by group.
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
     path = path or scratch(spark, "token-files")
-    if partitions is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        partitions = max(1, math.ceil(size / partition_bytes))
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    parts = max(1, math.ceil(size / partition_bytes))
+    sizes = [(0, parts)]
+    if parts > group_parts:
+        docs, sizes = _grouped(docs, math.ceil(parts / group_parts), partition_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        part, attempt = task.partitionId(), task.taskAttemptId()
+        part, attempt = first_part + task.partitionId(), task.taskAttemptId()
         encoder = encoder_for(vocabulary)
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(f"{folder}/data", recursive=True)
@@ -279,17 +286,56 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, path: str
         if names:
             yield flush()
 
-    files = dealt.mapInArrow(run, "file string, part int, seq int, n_docs long, n_ids long")
-    files.write.parquet(f"{path.rstrip('/')}/files")
-    files = spark.read.parquet(f"{path.rstrip('/')}/files")
-    # Sums over the parts (as many as tasks wrote, not as documents), then over a part's files.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("__ids")).select(F.col("part").alias("__part"), F.coalesce(F.sum("__ids").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    first = (F.col("__before") + F.coalesce(F.sum("n_ids").over(within), F.lit(0))).cast("long")
-    manifest = files.join(parts, F.col("part") == F.col("__part")).select("file", "part", "seq", "n_docs", "n_ids", first.alias("first_id"))
-    manifest.write.parquet(f"{path.rstrip('/')}/manifest")
-    return path, spark.read.parquet(f"{path.rstrip('/')}/manifest")
+    first_part = 0
+    for group, parts in sizes:
+        own = docs.where(F.col("group") == group) if len(sizes) > 1 else docs
+        order = ["doc_id", F.xxhash64("text"), "text"]
+        # (doc_id, hash) deals the parts; equal rows stay together, whatever their number.
+        dealt = own.select("doc_id", "text").repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
+        files = dealt.mapInArrow(run, "file string, part int, seq int, n_docs long, n_ids long").withColumn("group", F.lit(group))
+        files.write.mode("append").parquet(f"{path.rstrip('/')}/files")
+        first_part += parts
+    return path, _manifest(spark, path.rstrip("/"))
+
+
+def _grouped(docs: DataFrame, groups: int, partition_bytes: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``docs`` written by ``group``, ranges of doc_id in ascending order, and (group, parts) of each that has rows."""
+    spark = docs.sparkSession
+    edges = docs.agg(F.percentile_approx("doc_id", [k / groups for k in range(1, groups)], 100 * groups)).first()[0]
+    written = scratch(spark, "token-groups")
+    # A group comes together in a fixed number of tasks, so that there are few files, whatever the order of the input.
+    dealt = docs.withColumn("group", _place(F.col("doc_id"), edges, 0)).repartition(groups * GROUP_TASKS, "group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(GROUP_TASKS)))
+    dealt.write.partitionBy("group").parquet(written)
+    docs = spark.read.schema("doc_id long, text string, group int").parquet(written)
+    sizes = docs.groupBy("group").agg(F.sum(F.octet_length("text")).alias("size")).orderBy("group").collect()  # one row a group
+    return docs, [(r["group"], max(1, math.ceil(r["size"] / partition_bytes))) for r in sizes]
+
+
+def _place(value: Column, edges: list[int], first: int) -> Column:
+    """``first`` plus the number of ``edges``, which ascend, that are not above ``value``; a null is below all."""
+    if not edges:
+        return F.lit(first)
+    mid = len(edges) // 2
+    return F.when(value >= edges[mid], _place(value, edges[mid + 1 :], first + mid + 1)).otherwise(_place(value, edges[:mid], first))
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of the files that tasks wrote: running sums over a part's files, a group's parts, and the groups."""
+    files = spark.read.parquet(f"{path}/files")
+
+    def ahead(rows: DataFrame, within: list[str], by: str) -> Column:
+        """What rows ``by`` order hold before each row; a task has the rows of one value of ``within``."""
+        window = Window.partitionBy(*within).orderBy(by) if within else Window.orderBy(by)
+        return F.coalesce(F.sum("n_ids").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    of_part = files.groupBy("group", "part").agg(F.sum("n_ids").alias("n_ids"))
+    of_group = of_part.groupBy("group").agg(F.sum("n_ids").alias("n_ids"))
+    of_part = of_part.select("group", "part", ahead(of_part, ["group"], "part").alias("in_group"))
+    of_group = of_group.select("group", ahead(of_group, [], "group").alias("ahead"))
+    first = F.col("ahead") + F.col("in_group") + F.col("in_part")
+    manifest = files.withColumn("in_part", ahead(files, ["part"], "seq")).join(of_part, ["group", "part"]).join(of_group, "group")
+    manifest.select("file", "part", "seq", "n_docs", "n_ids", first.cast("long").alias("first_id")).write.parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True, most: int = 20_000) -> DataFrame:

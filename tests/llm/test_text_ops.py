@@ -296,6 +296,25 @@ def test_token_files(spark, tmp_path):
         assert order == sorted(order)
 
 
+def test_token_files_in_groups(spark):
+    """Many groups of few parts give what one sort gives; rows of one doc_id, or without any, make several parts."""
+    docs = cases.sf_documents(spark)
+    files = lambda df, **how: token_files.write_token_files(df, partition_bytes=20_000, **how)
+    (one, whole), (many, parted) = files(docs), files(docs, group_parts=3)
+    assert max(r["part"] for r in parted.collect()) > 6 and parted.agg({"n_ids": "sum"}).first() == whole.agg({"n_ids": "sum"}).first()
+    read = lambda path: sorted(token_files.read_token_files(spark, path).collect())
+    assert read(one) == read(many) and len(read(one)) == docs.count()
+    order = [r["first_id"] for r in parted.orderBy("part", "seq").collect()]
+    assert order == sorted(set(order)) and order[0] == 0
+    for hot in (docs.selectExpr("7L AS doc_id", "text"), docs.selectExpr("CAST(NULL AS LONG) AS doc_id", "text"), docs.selectExpr("IF(doc_id % 3 = 0, doc_id, NULL) AS doc_id", "text")):
+        path, manifest = files(hot, group_parts=2)
+        got = sorted(token_files.read_token_files(spark, path).collect(), key=lambda r: r["start"])
+        assert len(got) == docs.count() and manifest.select("part").distinct().count() > 3
+        assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
+        order = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+        assert order == sorted(order)
+
+
 def test_chunks_equal_whole_texts():
     encoder = token_files.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), most=500)
     assert encoder.direct and encoder.nul is not None
