@@ -123,13 +123,6 @@ def test_line_runs_stay_sorted(spark):
     runs.close()
 
 
-def test_line_dedup_shuffles_long_lists(spark, monkeypatch):
-    docs = cases.documents(spark)
-    near = sorted(map(str, line_dedup.dedup_lines(docs).collect()))
-    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
-    assert sorted(map(str, line_dedup.dedup_lines(docs).collect())) == near
-
-
 def test_quality_counts(spark):
     for docs in (cases.documents(spark), cases.sf_documents(spark)):
         texts = {r["doc_id"]: r["text"] for r in docs.collect()}
