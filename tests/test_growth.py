@@ -2,12 +2,12 @@
 
 import random
 
-
-
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from chromaspan.functions import stages
-from chromaspan.operators import abc
+from chromaspan.operators import abc, contacts, tiles, vectors
 
 
 def tables(spark, columns=("u", "v")):
@@ -44,3 +44,27 @@ def test_no_join_moves_hits_by_column(spark):
         hits = abc.score_columns(g, p, names, abc.AbcSettings(20_000, 20_000, 1000, 0.01, adapted, join_width=5000), c)
         plan = hits._jdf.queryExecution().optimizedPlan().toString()
         assert hits.count() and plan.index("Generate") < plan.index("Join")
+
+
+def test_tiles_have_few_files(spark, monkeypatch):
+    """A folder has the files of two squares, not of all tasks, and folders are as many as are allowed."""
+    rows = [("1", b, b + d, float(b + d)) for b in range(4000) for d in (0, 1, 3)] + [("2", b, b + 1, 1.0) for b in range(2000)]
+    cells = spark.createDataFrame(rows, "chr string, bin1 long, bin2 long, contact double").repartition(16)
+    made = tiles.write_tiles(cells, 1000, side=8, stripe=2)
+    folders = {f.rpartition("/")[0] for f in made.tiles().inputFiles()}
+    assert len(folders) == 377 and len(made.tiles().inputFiles()) <= 2 * len(folders)
+    monkeypatch.setattr(tiles, "MOST_STRIPES", 20)
+    few = tiles.write_tiles(cells, 1000, side=8, stripe=2)
+    assert len({f.rpartition("/")[0] for f in few.tiles().inputFiles()}) <= 22
+    key = lambda df: sorted((r["chr"], r["bin1"], r["bin2"], r["contact"]) for r in df.collect())
+    assert key(few.cells()) == key(made.cells()) == key(contacts.with_diagonal(cells))
+    pairs = spark.createDataFrame([("1", 3100, 3103), ("2", 1, 9)], "chr string, a long, b long")
+    assert sorted(r["contact"] for r in tiles.lookup_tiles(pairs, few, "a", "b").collect()) == [0.0, 3103.0]
+
+
+def test_held_bytes_count_keys():
+    """Short arrays under many keys: the keys are most of what a task holds."""
+    held = vectors._Held(2)
+    n = 1000
+    held.add(pa.RecordBatch.from_arrays([pa.array(["a"] * n), pa.array([f"g{i}" for i in range(n)]), pa.array(np.ones((n, 2)).tolist())], ["c", "g", "t"]))
+    assert held.bytes > 300 * n
