@@ -51,10 +51,35 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class _Suffix(dict):
+    """The longest end of the text so far that begins a piece: the next by character, with the pieces of two or more
+    characters that end here (id, width, what is known of the pieces before), longest first, and the id of the last character."""
+
+    __slots__ = ("fail", "one", "pieces", "spare")
+
+    def __missing__(self, char: str) -> _Suffix:
+        if self.fail is None:
+            return self
+        found = self.fail[char]
+        if found.fail is not None and self.spare[0]:  # steps that are kept are bounded
+            self.spare[0] -= 1
+            self[char] = found
+        return found
+
+
+class _Chunks(dict):
+    """Ids of chunks, which are found when they are first asked for."""
+
+    __slots__ = ("find",)
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.find(chunk)
+
+
 class Codec:
     """Encoder and decoder of one model file (unigram or BPE, identity normalisation)."""
 
-    def __init__(self, model: bytes, most: int = 100_000):
+    def __init__(self, model: bytes, most: int = 300_000):
         self.kind, self.prefix, pieces = UNIGRAM, True, []
         for field, value in _fields(model):
             if field == 1:
@@ -74,8 +99,6 @@ class Codec:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == _BYTE}
         self.longest = max(map(len, self.ids))
         self.least = min(s for _, s, t in pieces if t == _NORMAL) - 10.0
-        #: Ids of the pieces, and -1 for what only ends pieces.
-        self.table = {p[i:]: -1 for p in self.ids for i in range(len(p))} | self.ids
         #: Neighbouring characters that some piece holds; a text may be cut between any others.
         self.held = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         known = set("".join(self.ids))
@@ -88,7 +111,12 @@ class Codec:
         word = f"{SPACE}*[{_LETTERS}]+(?=[{re.escape(stops)}])|" if stops else ""
         self.chunk = re.compile(f"{line}{'|' if line else ''}{word}{SPACE}*[^{SPACE}{line}]+|{SPACE}+" if apart else "(?s).+")
         # Ids of the chunks of late and of those before them; the latter go when the former are many.
-        self.most, self.known, self.older, self.pairs = most, {}, {}, {}
+        self.most, self.known, self.older, self.longer = most, _Chunks(), {}, {}
+        self.known.find = self._learn
+        #: Which pieces may come before each, how many such facts are held, and how each piece is merged.
+        self.pairs, self.n_pairs, self.steps = {}, 0, {}
+        self.width = [len(p) if p in self.ids else 1 for p, _, _ in pieces] + [1]  # the last is that of id -1
+        self.root = self._suffixes()
         # Commits made before a chunk's end, and the widest stretch of boundaries that was held for one.
         self.commits = self.widest = 0
 
@@ -107,87 +135,141 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _suffixes(self) -> _Suffix:
+        """The automaton of all pieces; it stands at its root where no piece goes on."""
+        made, spare = {}, [self.most]
+        for p in ["", *sorted({p[:i] for p in self.ids for i in range(1, len(p) + 1)}, key=len)]:
+            made[p] = node = _Suffix()
+            node.spare = spare
+            if not p:
+                node.fail, node.one, node.pieces = None, -1, ()
+                continue
+            parent = made[p[:-1]]
+            node.fail = parent.fail[p[-1]] if parent.fail is not None else parent
+            node.one, node.pieces = self.ids.get(p[-1], -1), node.fail.pieces
+            k = self.ids.get(p, -1)
+            if k >= 0 and len(p) > 1:
+                node.pieces = ((k, len(p), self.pairs.setdefault(k, {})), *node.pieces)
+            parent[p[-1]] = node
+        return made[""]
+
+    def _steps(self, k: int) -> tuple[list[tuple[float, str, str]], bool]:
+        """The merges of a piece: before each its score and the first and last parts, then those left; and whether one part is left."""
+        parts, steps = list(self.pieces[k][0]), []
+        while True:
+            best, at = float("-inf"), -1
+            for i in range(len(parts) - 1):
+                j = self.ids.get(parts[i] + parts[i + 1])
+                if j is not None and self.score[j] > best:
+                    best, at = self.score[j], i
+            steps.append((best, parts[0], parts[-1]))
+            if at < 0:
+                return steps, len(parts) == 1
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
     def apart(self, left: int, right: int) -> bool:
-        """Whether merging keeps two pieces apart, one a path's last and one that may come next."""
-        if len(self.pairs) > self.most:
-            self.pairs.clear()
-        a, b = self.pieces[left][0], self.pieces[right][0]
-        found = self.pairs[left << 20 | right] = self.merge(a + b) == [a, b]
+        """Whether merging keeps two pieces apart, one a path's last and one that may come next.
+
+        Each is merged as it is alone unless a merge across their border comes first: one with a better
+        score than the next of the left and no worse than the next of the right, as ties go to the left.
+        """
+        if self.n_pairs > self.most:
+            self.n_pairs = 0
+            for known in self.pairs.values():
+                known.clear()
+        for k in (left, right):
+            if k not in self.steps:
+                self.steps[k] = self._steps(k)
+        (a, whole_a), (b, whole_b) = self.steps[left], self.steps[right]
+        i = j = 0
+        found = whole_a and whole_b
+        while found:
+            (one, _, edge), (other, beyond, _) = a[i], b[j]
+            across = self.ids.get(edge + beyond)
+            if across is not None and self.score[across] > one and self.score[across] >= other:
+                found = False
+            elif i == len(a) - 1 and j == len(b) - 1:
+                break
+            elif j == len(b) - 1 or (i < len(a) - 1 and one >= other):
+                i += 1
+            else:
+                j += 1
+        self.pairs.setdefault(right, {})[left] = found
+        self.n_pairs += 1
         return found
 
     def ids_of(self, text: str) -> list[int]:
         """Ids of a text, committed as they become certain; a character without a piece as its bytes or as unknown."""
-        table, pairs, score, longest, merges = self.table, self.pairs, self.score, self.longest, self.kind == BPE
+        score, longest, node = self.score, self.longest, self.root
         out: list[int] = []
-        # By boundary since the last commit: id and width of the piece that ends there, best sum of scores.
-        last, width, total = [-1], [0], [0.0]
-        done, check = 0, 2 * longest
-        for end in range(1, len(text) + 1):
-            k = table.get(text[end - 1])
-            one = -1 if k is None else k
-            fitting = []
-            if k is not None:
-                for start in range(end - 2, done - 1, -1):
-                    k = table.get(text[start:end])
-                    if k is None:
-                        break
-                    if k >= 0:
-                        fitting.append((k, end - start))
-            best, size = one, 1
-            if merges:
-                # From the longest on; if no longer piece fits, the character by itself does.
-                while fitting:
-                    k, w = fitting.pop()
-                    before = last[end - w - done]
-                    if before < 0:
-                        best, size = k, w
-                        break
-                    fits = pairs.get(before << 20 | k)
-                    if fits if fits is not None else self.apart(before, k):
-                        best, size = k, w
-                        break
+        # By boundary since the last commit: id of the piece that ends there, best sum of scores.
+        last, total = [-1], [0.0]
+        done, end, check = 0, 0, 2 * longest
+        while True:
+            stop = min(len(text), done + check)
+            stretch = text[end:stop] if end or stop < len(text) else text
+            if self.kind == BPE:
+                for char in stretch:
+                    node = node[char]
+                    # From the longest on; if no longer piece fits, the character by itself does.
+                    for k, w, pairs in node.pieces:
+                        before = last[-w]
+                        if before < 0 or (pairs[before] if before in pairs else self.apart(before, k)):
+                            last.append(k)
+                            break
+                    else:
+                        last.append(node.one)
             else:
-                most = total[-1] + (score[one] if one >= 0 else self.least)
-                for k, w in fitting:
-                    new = total[end - w - done] + score[k]
-                    if new >= most:
-                        best, size, most = k, w, new
-                total.append(most)
-            last.append(best)
-            width.append(size)
-            if end - done >= check:
-                meet = self._meeting(width, end - done)
-                self.commits, self.widest = self.commits + (meet > 0), max(self.widest, end - done)
-                if meet:
-                    out += self._back(text, last, width, done, meet)
-                    last, width, total = last[meet:], width[meet:], [x - total[meet] for x in total[meet:]]
-                    done += meet
-                # Looked at again a piece's length later; where paths stay apart, as they may in a string that
-                # repeats itself, only after half as much again, so that looking takes no more than the steps.
-                check = end - done + (longest if meet else max(longest, (end - done) // 2))
-        return out + self._back(text, last, width, done, len(last) - 1)
-
-    def _meeting(self, width: list[int], end: int) -> int:
+                for char in stretch:
+                    node = node[char]
+                    best = node.one
+                    most = total[-1] + (score[best] if best >= 0 else self.least)
+                    for k, w, _ in reversed(node.pieces):
+                        new = total[-w] + score[k]
+                        if new >= most:
+                            best, most = k, new
+                    total.append(most)
+                    last.append(best)
+            end = stop
+            if end - done < check:
+                return out + self._back(text, last, done, len(last) - 1)
+            meet = self._meeting(last, end - done)
+            self.commits, self.widest = self.commits + (meet > 0), max(self.widest, end - done)
+            if meet:
+                out += self._back(text, last, done, meet)
+                last, total = last[meet:], [x - total[meet] for x in total[meet:]]
+                done += meet
+            # Looked at again a piece's length later; where paths stay apart, as they may in a string that
+            # repeats itself, only after half as much again, so that looking takes no more than the steps.
+            check = end - done + (longest if meet else max(longest, (end - done) // 2))
+
+    def _meeting(self, last: list[int], end: int) -> int:
         """The latest boundary that the paths of all boundaries a later piece can start from share."""
         alive = set(range(max(0, end - self.longest + 1), end + 1))
         while len(alive) > 1:
             i = max(alive)
             alive.remove(i)
-            alive.add(i - width[i])
+            alive.add(i - self.width[last[i]])
         return alive.pop()
 
-    def _back(self, text: str, last: list[int], width: list[int], done: int, end: int) -> list[int]:
+    def _back(self, text: str, last: list[int], done: int, end: int) -> list[int]:
         """Ids of the path from boundary ``end`` back to the last commit, in order."""
-        path = []
+        width, path, ends = self.width, [], []
         while end > 0:
-            path.append((last[end], end))
-            end -= width[end]
+            k = last[end]
+            path.append(k)
+            if k < 0:
+                ends.append(end)
+            end -= width[k]
+        path.reverse()
+        if not ends:
+            return path
         out: list[int] = []
-        for k, at in reversed(path):
+        for k in path:
             if k >= 0:
                 out.append(k)
             elif self.bytes:
-                out.extend(self.bytes[b] for b in text[done + at - 1].encode())
+                out.extend(self.bytes[b] for b in text[done + ends.pop() - 1].encode())
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return out
@@ -201,21 +283,31 @@ class Codec:
         if not text:
             return b""
         if len(self.known) > self.most:
-            self.older, self.known = self.known, {}
-        known, older, longer = self.known, self.older, {}
+            self.older, self.known = self.known, _Chunks()
+            self.known.find = self._learn
         chunks = self.chunk.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
-        for chunk in [c for c in set(chunks) if c not in known]:
-            (known if len(chunk) <= 64 else longer)[chunk] = older.get(chunk) or self._cut(chunk)
-        if longer:
-            return b"".join([known[c] if c in known else longer[c] for c in chunks])
-        return b"".join(map(known.__getitem__, chunks))
+        ids = b"".join(map(self.known.__getitem__, chunks))
+        self.longer.clear()
+        return ids
+
+    def _learn(self, chunk: str) -> bytes:
+        """Ids of a chunk that is not at hand; long ones are kept for one text."""
+        if len(chunk) <= 64:
+            found = self.known[chunk] = self.older.get(chunk) or self._cut(chunk)
+            return found
+        found = self.longer.get(chunk)
+        if found is None:
+            found = self.longer[chunk] = self._cut(chunk)
+        return found
 
     def _cut(self, chunk: str) -> bytes:
-        """Ids of a chunk, which is cut wherever no piece can span two neighbours."""
+        """Ids of a chunk; where it is too long for one stretch, it is cut wherever no piece can span two neighbours."""
         out, first, held = [], 0, self.held
-        for i in [*(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in held), len(chunk)]:
-            out += self.ids_of(chunk[first:i])
-            first = i
+        if len(chunk) >= 2 * self.longest:
+            for i in [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in held]:
+                out += self.ids_of(chunk[first:i])
+                first = i
+        out += self.ids_of(chunk[first:] if first else chunk)
         return struct.pack(f"<{len(out)}i", *out)
 
     # -- decoding -------------------------------------------------------------------------

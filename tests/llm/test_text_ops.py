@@ -259,6 +259,35 @@ def test_sentencepiece_commits_while_streaming(model):
             assert "".join(codec.pieces[i][0] for i in ids) == text
 
 
+def test_sentencepiece_steps(model):
+    """One step a character finds all pieces that end there, and what may stand side by side follows from merges known of each piece."""
+    codec = sentencepiece_codec.Codec(model, 2000)  # few steps and facts are kept
+    for text in noise(9, [*PARTS, "▁the", "▁", "tion", "ouen"], 60, 40):
+        node = codec.root
+        for end in range(1, len(text) + 1):
+            node = node[text[end - 1]]
+            want = [(codec.ids[text[a:end]], end - a) for a in range(max(0, end - codec.longest), end - 1) if text[a:end] in codec.ids]
+            assert [(k, w) for k, w, _ in node.pieces] == want and node.one == codec.ids.get(text[end - 1], -1)
+    assert 0 <= codec.root.spare[0] < 2000
+
+    def merged(text):
+        parts = list(text)
+        while True:
+            scored = [(codec.score[codec.ids[a + b]], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in codec.ids]
+            if not scored:
+                return parts
+            at = -max(scored)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    rng = np.random.default_rng(4)
+    few, all_ids = [codec.ids[x] for x in ("a", "e", "t", "th", "in", "ing", "aa", "▁", "▁the")], list(codec.ids.values())
+    pairs = [(a, b) for a in few for b in few] + [tuple(int(x) for x in rng.choice(all_ids, 2)) for _ in range(3000)]
+    for a, b in pairs:
+        left, right = codec.pieces[a][0], codec.pieces[b][0]
+        assert codec.apart(a, b) == (merged(left + right) == [left, right])
+    assert codec.n_pairs <= 2001
+
+
 def test_sentencepiece_rows(spark):
     docs = cases.documents(spark)
     out = sentencepiece_codec.encode_documents(docs)
