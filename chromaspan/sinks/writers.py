@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import gzip
+import math
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import significant_text
+from ..functions.stages import bounded, written
 from ..operators.matrix import wide_vectors
 from . import store
 
@@ -34,6 +37,8 @@ ORDER_CHECK = [0.25, -0.75, 128.5, -8.5]
 
 #: Genes of one member of the binary matrix, and what is kept of members.
 MEMBER_GENES = 256
+#: Members that are told of at once, bytes of neighbouring members that are read at once, values that one task reads.
+TOLD_MEMBERS, SPAN_BYTES, TASK_VALUES = 1000, 1 << 20, 1 << 20
 MEMBERS = "name string, place long, bytes long, genes array<long>, n long"
 _MEMBER = pa.schema([("name", pa.string()), ("place", pa.int64()), ("bytes", pa.int64()), ("genes", pa.list_(pa.int64())), ("n", pa.int64())])
 
@@ -150,7 +155,7 @@ def write_binary(wide: DataFrame, genes: DataFrame, columns: list[str], fields:
     """The matrix as little-endian 32-bit floats: factor fastest, then column, then gene; gives the number of values.
 
     ``genes`` has gene_id and ord, their order; ``columns`` and ``fields`` are as few as activity
-    columns and motifs. The rows are ranged by gene, and each task writes its range as a part of
+    columns and motifs. The rows are written once, ranged by gene, and each task writes its range as a part of
     gzip members, each of some whole genes; the parts in order of their names are one gzip stream.
     The table ``members`` tells where each member lies and which genes it holds. The folder appears
     when all is written; a repeated attempt writes under a name of its own, which no member names.
@@ -160,6 +165,7 @@ def write_binary(wide: DataFrame, genes: DataFrame, columns: list[str], fields:
         named = genes.select(F.col("gene_id").alias("g"), F.col("ord").alias("gi"))
         col_ord = F.array_position(F.array(*map(F.lit, columns)), F.col("column"))
         rows = wide.join(named, F.col("gene_id") == F.col("g")).select("gi", col_ord.alias("ci"), F.array(*[F.col(f"`{f}`").cast("float") for f in fields]).alias("v"))
+        rows = written(rows, "binary-rows")  # to be ranged, rows are read twice
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -169,11 +175,17 @@ def write_binary(wide: DataFrame, genes: DataFrame, columns: list[str], fields:
             system, folder = store.located(data)
             system.create_dir(folder, recursive=True)
             with system.open_output_stream(f"{folder}/{name}", compression=None) as out:
-                for values, own in (*_members(batches, held, member_genes), *_rest(held)):
+                told: list[dict] = []
+                for values, own in chain(_members(batches, held, member_genes), _rest(held)):
                     member = gzip.compress(values.astype("<f4").tobytes())
                     out.write(member)
-                    yield pa.RecordBatch.from_pydict({"name": [name], "place": [place], "bytes": [len(member)], "genes": [own], "n": [len(values)]}, schema=_MEMBER)
+                    told.append({"name": name, "place": place, "bytes": len(member), "genes": own, "n": len(values)})
                     place += len(member)
+                    if len(told) == TOLD_MEMBERS:
+                        yield pa.RecordBatch.from_pylist(told, schema=_MEMBER)
+                        told = []
+                if told:
+                    yield pa.RecordBatch.from_pylist(told, schema=_MEMBER)
 
         ranged = rows.repartitionByRange("gi").sortWithinPartitions("gi", "ci").select("gi", "v")
         ranged.mapInArrow(run, MEMBERS).write.parquet(f"{staging}/members")
@@ -220,14 +232,26 @@ def _member(table: pa.Table) -> tuple:
     return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), list(dict.fromkeys(table.column("gi").to_pylist()))
 
 
-def binary_members(spark: SparkSession, path: str, genes: list[int] | None = None) -> DataFrame:
+def _wanted(spark: SparkSession, genes: list[int] | DataFrame) -> DataFrame:
+    """(g_): the places of genes, of a list or of the one column of a table, each once; broadcast if they are few."""
+    table = genes if isinstance(genes, DataFrame) else spark.createDataFrame([(int(g),) for g in genes], "g_ long")
+    return bounded(table.select(F.col(f"`{table.columns[0]}`").cast("long").alias("g_")).distinct())
+
+
+def binary_members(spark: SparkSession, path: str, genes: list[int] | DataFrame | None = None) -> DataFrame:
     """(name, place, bytes, genes, n): the members of a folder of ``write_binary``, or those that hold any of the given genes."""
     members = spark.read.schema(MEMBERS).parquet(f"{path.rstrip('/')}/members")
-    return members if genes is None else members.where(F.arrays_overlap("genes", F.array(*[F.lit(g).cast("long") for g in genes])))
+    if genes is None:
+        return members
+    hit = members.select("name", "place", F.explode("genes").alias("gene")).join(_wanted(spark, genes), F.col("gene") == F.col("g_"), "left_semi")
+    return members.join(hit.select("name", "place").distinct(), ["name", "place"], "left_semi")
 
 
-def read_binary(spark: SparkSession, path: str, genes: list[int] | None = None) -> DataFrame:
-    """(gene_ord, column, field, value) of a folder of ``write_binary``; with ``genes`` only their members are read."""
+def read_binary(spark: SparkSession, path: str, genes: list[int] | DataFrame | None = None) -> DataFrame:
+    """(gene_ord, column, field, value) of a folder of ``write_binary``; with ``genes``, a list or a table of one column, only their members are read.
+
+    Members are dealt by their place to as many tasks as all values ask for, and neighbours are read at once.
+    """
     fields, columns = (line.split("\t") for line in _meta_lines(path))
     data, width = f"{path.rstrip('/')}/Reshape_Binary.bin.gz", len(fields)
     per_gene = width * len(columns)
@@ -235,22 +259,39 @@ def read_binary(spark: SparkSession, path: str, genes: list[int] | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                system, folder = store.located(f"{data}/{row['name']}")
-                with system.open_input_file(folder) as source:
-                    source.seek(row["place"])
-                    values = np.frombuffer(gzip.decompress(source.read(row["bytes"])), "<f4")
-                own = np.repeat(np.array(row["genes"]), per_gene)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.arange(len(values)) % per_gene), pa.array(values)], ["gene_ord", "at", "value"])
-
-    values = binary_members(spark, path, genes).mapInArrow(run, "gene_ord long, at long, value float")
+        for name, spans in groupby(_spans(row for batch in batches for row in batch.to_pylist()), lambda span: span[0]["name"]):
+            system, folder = store.located(f"{data}/{name}")
+            with system.open_input_file(folder) as source:
+                for span in spans:
+                    source.seek(span[0]["place"])
+                    values = np.frombuffer(gzip.decompress(source.read(sum(row["bytes"] for row in span))), "<f4")
+                    own = np.repeat(np.concatenate([row["genes"] for row in span]), per_gene)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.arange(len(values)) % per_gene), pa.array(values)], ["gene_ord", "at", "value"])
+
+    members = binary_members(spark, path, genes)
+    count = binary_members(spark, path).agg(F.sum("n")).first()[0] or 0
+    dealt = members.repartition(max(1, math.ceil(count / TASK_VALUES)), "name", F.floor(F.col("place") / SPAN_BYTES)).sortWithinPartitions("name", "place")
+    values = dealt.mapInArrow(run, "gene_ord long, at long, value float")
     if genes is not None:
-        values = values.where(F.col("gene_ord").isin(list(genes)))
+        values = values.join(_wanted(spark, genes), F.col("gene_ord") == F.col("g_"), "left_semi")
     pick = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
     return values.select("gene_ord", pick(columns, F.floor(F.col("at") / width)).alias("column"), pick(fields, F.col("at") % width).alias("field"), "value")
 
 
+def _spans(rows: Iterator[dict]) -> Iterator[list[dict]]:
+    """Members in order by name and place, those together that lie side by side, up to SPAN_BYTES and TOLD_MEMBERS."""
+    span: list[dict] = []
+    used = 0
+    for row in rows:
+        if span and (row["name"] != span[-1]["name"] or row["place"] != span[-1]["place"] + span[-1]["bytes"] or used + row["bytes"] > SPAN_BYTES or len(span) == TOLD_MEMBERS):
+            yield span
+            span, used = [], 0
+        span.append(row)
+        used += row["bytes"]
+    if span:
+        yield span
+
+
 def _meta_lines(path: str) -> list[str]:
     """The lines of fields and of columns; the line of genes is not read."""
     system, place = store.located(f"{path.rstrip('/')}/Reshape_Meta.txt")

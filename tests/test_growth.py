@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 
 from chromaspan.functions import stages
-from chromaspan.operators import abc, contacts, tiles, vectors
+from chromaspan.operators import abc, contacts, motifs, tiles, vectors
+from chromaspan.sinks import writers
 
 
 def tables(spark, columns=("u", "v")):
@@ -68,3 +69,36 @@ def test_held_bytes_count_keys():
     n = 1000
     held.add(pa.RecordBatch.from_arrays([pa.array(["a"] * n), pa.array([f"g{i}" for i in range(n)]), pa.array(np.ones((n, 2)).tolist())], ["c", "g", "t"]))
     assert held.bytes > 300 * n
+
+
+def test_binary_matrix_by_table_of_genes(spark, tmp_path, monkeypatch):
+    """Wanted genes may be a table of any size: they are joined, not listed in the plan; neighbouring members are read at once by several tasks."""
+    monkeypatch.setattr(writers, "TASK_VALUES", 50)
+    n = 90
+    wide = spark.createDataFrame([(c, f"g{i}", float(i), float(-i)) for i in range(n) for c in "uv"], "column string, gene_id string, A double, B double").repartition(5)
+    genes = spark.createDataFrame([(f"g{i}", 3 * i) for i in range(n)], "gene_id string, ord long")
+    assert writers.write_binary(wide, genes, ["u", "v"], ["A", "B"], str(tmp_path / "b"), member_genes=2) == 4 * n
+    wanted = genes.where("ord % 7 = 3").select("ord")
+    part = writers.read_binary(spark, str(tmp_path / "b"), wanted)
+    key = lambda df: sorted((r["gene_ord"], r["column"], r["field"], r["value"]) for r in df.collect())
+    want = sorted((3 * i, c, f, float(i if f == "A" else -i)) for i in range(n) if 3 * i % 7 == 3 for c in "uv" for f in "AB")
+    assert key(part) == want == key(writers.read_binary(spark, str(tmp_path / "b"), [r["ord"] for r in wanted.collect()]))
+    assert "arrays_overlap" not in part._jdf.queryExecution().optimizedPlan().toString()
+    whole = writers.read_binary(spark, str(tmp_path / "b"))
+    assert whole.rdd.getNumPartitions() > 4 and whole.count() == 4 * n
+
+
+def test_numbered_in_ranges(spark):
+    """Numbers follow the order of the keys, without a window over all rows."""
+    rows = [(f"g{i}", (i * 7919) % 10_007) for i in range(500)]
+    df = spark.createDataFrame(rows, "gene_id string, k long").repartition(6)
+    out = stages.numbered(df, "k", "ord", "genes")
+    assert [(r["k"], r["ord"]) for r in out.orderBy("k").collect()] == [(k, i) for i, k in enumerate(sorted(k for _, k in rows))] and out.columns == ["gene_id", "k", "ord"]
+    assert stages.numbered(df.limit(0), "k", "ord", "genes").count() == 0
+
+
+def test_few_motifs_are_dealt_too(spark):
+    """One part of sequences is scored by as many tasks as shuffles have."""
+    seqs = spark.createDataFrame([(f"s{i}", "ACGTACGT") for i in range(40)], "peak_id string, seq string").coalesce(1)
+    m = spark.createDataFrame([(0, "M", "M", 1.0, 1, [[0.0, 1.0, 1.0, 0.0]])], "motif_ord long, ac string, name string, lnr0 double, length int, energy array<array<double>>")
+    assert motifs.affinities(seqs, m).rdd.getNumPartitions() >= 4
