@@ -83,6 +83,11 @@ def written_small(df: DataFrame, label: str, row_bytes: int = 100) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_BYTES // row_bytes else table
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """``df``, whose joins are sorted merges: Spark broadcasts by the size of files, which is no bound of the rows' bytes."""
+    return df.hint("merge")
+
+
 def parts_for(spark: SparkSession, total_bytes: float) -> int | None:
     """Partitions of a shuffle of so many bytes, so that a task's share does not grow with the input; None where the session's number is enough."""
     n = math.ceil(total_bytes / TASK_BYTES)

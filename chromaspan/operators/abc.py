@@ -8,6 +8,7 @@ starts: values are averaged over them.
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +19,9 @@ from ..functions.stages import dealt, parts_for, written, written_small
 from . import contacts as C
 from .genes import filter_genes, gene_windows
 from .intervals import overlap_join, paired_bytes
+from .places import place_hits
 from .sweep import sweep_join
 from .tiles import ContactTiles, lookup_tiles
-from .vectors import vector_totals
 
 
 #: Fields of an interaction.
@@ -72,9 +73,11 @@ def _by_start(pairs: DataFrame, start: Column | None = None, tss: Column | None
     return rows.select(*keep, *more, "distance", F.col("contact") if "contact" in rows.columns else fractal_contact("distance").alias("contact"))
 
 
-def _pair_rows(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, contacts: DataFrame | ContactTiles | None) -> tuple[DataFrame, float]:
+def _pair_rows(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, contacts: DataFrame | ContactTiles | None, placed: bool = False) -> tuple[DataFrame, float]:
     """(chr, gene_id, n_tss, peak_id, start, end, near, tss, ords[, contact]), and an upper bound of the bytes of all rows.
 
+    With ``placed`` also ``place``, a number that one gene_id has in all its rows and that is near that of its neighbours.
+
     A gene's starts and their places stay arrays, so they multiply no rows until those are where
     they are summed. With measured contacts a pair has a row for each bin that its gene's starts lie
     in, since all starts of a bin have the same contact.
@@ -83,6 +86,9 @@ def _pair_rows(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, contac
     hull = gene_windows(genes.select("gene_id", "chr", "tss"), reach)
     # The outermost starts are fields, as the same few lines for each of their uses make a generated method that the JVM does not compile.
     hull = hull.withColumn("low", F.array_min("tss")).withColumn("high", F.array_max("tss"))
+    if placed:
+        place = F.pmod(F.hash("chr"), F.lit(1 << 20)) * (1 << 40) + F.col("low")
+        hull = hull.withColumn("place", F.min(place).over(Window.partitionBy("gene_id")))
     hull = written(hull, "gene-windows")  # read by the join, by its bound and by what is known by chromosome
     regions = peaks.select("peak_id", "chr", "start", "end")
     size = paired_bytes(hull, regions, F.lit(_PAIR_BYTES) + F.size("tss") * _START_BYTES, settings.join_width)
@@ -101,7 +107,7 @@ def _pair_rows(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, contac
     pairs = sweep_join(hull, regions, parts=parts) if settings.sweep else overlap_join(hull, regions, "inner", settings.join_width, parts=parts)
     near = F.least(tss_distance("r_start", "r_end", "low"), tss_distance("r_start", "r_end", "high")) <= settings.gene_window
     first = F.slice("tss", 1, 1)
-    pairs = pairs.select("chr", "gene_id", F.size("tss").alias("n_tss"), F.col("r_peak_id").alias("peak_id"), F.col("r_start").alias("start"), F.col("r_end").alias("end"), near.alias("near"), "tss", *([*_FACTS, "by_bin"] if measured_by_chr else []))
+    pairs = pairs.select("chr", "gene_id", F.size("tss").alias("n_tss"), F.col("r_peak_id").alias("peak_id"), F.col("r_start").alias("start"), F.col("r_end").alias("end"), near.alias("near"), "tss", *(["place"] if placed else []), *([*_FACTS, "by_bin"] if measured_by_chr else []))
     if not measured_by_chr:
         ords = F.when(F.col("near"), F.sequence(F.lit(0), F.size("tss") - 1)).otherwise(F.array(F.lit(0)))
         return pairs.withColumn("ords", ords).withColumn("tss", F.when(F.col("near"), F.col("tss")).otherwise(first)), size
@@ -120,12 +126,12 @@ def _pair_rows(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, contac
     return found.withColumn("contact", measured).select(*[c for c in rows.columns if c not in (*_FACTS, "gene_bin", "peak_bin")], "contact"), size
 
 
-def _near_pairs(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, contacts: DataFrame | ContactTiles | None, beside: DataFrame | None = None) -> tuple[DataFrame, float]:
+def _near_pairs(genes: DataFrame, peaks: DataFrame, settings: AbcSettings, contacts: DataFrame | ContactTiles | None, beside: DataFrame | None = None, placed: bool = False) -> tuple[DataFrame, float]:
     """Near rows of ``_pair_rows``; in the adapted form with ``contact_sum``, the region's over all its pairs, and the fields of ``beside``; and the bound of bytes.
 
     ``beside`` has a row for each region, with its peak_id as ``p_``.
     """
-    pairs, size = _pair_rows(genes, peaks, settings, contacts)
+    pairs, size = _pair_rows(genes, peaks, settings, contacts, placed)
     pairs = pairs.drop("ords")
     parts = parts_for(pairs.sparkSession, size)
     if not settings.adapted:
@@ -225,48 +231,37 @@ def score_columns(genes: DataFrame, peaks: DataFrame, columns: list[str], settin
 
     A region's activities stay one array. What depends on the pair alone (its contacts, and their
     shares of the region's) is summed over starts first; a pair's activities are multiples of the
-    region's, so a gene's sums by column are one array as well, added up in every task and then by
-    gene. So as many rows are shuffled for five hundred columns as for one, and only interactions
-    become rows by column. Null and NaN activities leave a gene without rows in that column.
+    region's, so pairs are shuffled without them, in ranges of their genes' places, and a range gets
+    each of its regions' arrays once (``places``). So as many rows are shuffled for five hundred
+    columns as for one, and only interactions become rows by column. Null and NaN activities leave a
+    gene without rows in that column.
     """
     if settings.ordered_max:
         raise ValueError("the ordered maximum is for single columns: use score")
-    near, size = _near_pairs(genes, peaks, settings, contacts)
-    n = len(columns)
-    parts = parts_for(near.sparkSession, size * (1 + 2 * 8 * n / _PAIR_BYTES))
+    near, size = _near_pairs(genes, peaks, settings, contacts, placed=True)
+    n, spark = len(columns), near.sparkSession
     share = F.try_divide("contact", "contact_sum") if settings.adapted else F.lit(1.0)
-    rows = _by_start(near if settings.adapted else dealt(near, parts, "peak_id"))
-    by_pair = rows.withColumn("share", share).groupBy("chr", "gene_id", "peak_id", "start", "end", "n_tss").agg(
+    rows = _by_start(near if settings.adapted else dealt(near, parts_for(spark, size), "peak_id"))
+    by_pair = rows.withColumn("share", share).groupBy("chr", "place", "gene_id", "peak_id", "start", "end", "n_tss").agg(
         F.sum("contact").alias("c"), F.sum("share").alias("act"), F.sum(F.col("share") * F.col("contact")).alias("ac"), F.sum("distance").alias("dist"), F.max(F.col("share").isNull()).alias("undefined"), F.max("contact").alias("top")
     )
     by_pair = written(by_pair, "near-pairs")
-    nan = F.lit(float("nan"))
-    values = F.array(*[F.coalesce(F.col(f"`{c}`").cast("float").cast("double"), nan) for c in columns])
-    rows = dealt(by_pair, parts, "peak_id").join(peaks.select(F.col("peak_id").alias("p_"), values.alias("signals")), F.col("peak_id") == F.col("p_")).drop("p_")
-    # An undefined region makes all sums of its gene undefined.
-    weight = F.when(F.col("undefined"), nan).otherwise(F.col("ac"))
-    contact = F.col("c") / F.col("n_tss")
-    highest = F.array(contact) if settings.adapted else F.concat(F.array(contact), "signals")
-    totals = vector_totals(rows.select("gene_id", F.transform("signals", lambda s: s * weight).alias("total"), highest.alias("highest")), ["gene_id"], "total", "highest")
-    # Whatever a hit needs stands beside its pair before pairs become rows by column, so that no join moves hits.
-    names = (genes if gene_keys is None else filter_genes(genes, gene_keys)).select(F.col("gene_id").alias("g_"), "gene_name")
-    scored = dealt(rows, parts, "gene_id").join(totals.withColumnRenamed("gene_id", "h_"), F.col("gene_id") == F.col("h_")).join(names, F.col("gene_id") == F.col("g_"))
+    values = F.array(*[F.coalesce(F.col(f"`{c}`").cast("float").cast("double"), F.lit(float("nan"))) for c in columns])
+    names = (genes if gene_keys is None else filter_genes(genes, gene_keys)).select("gene_id", "gene_name")
+    # A range of places has no more regions than pairs, so their arrays are bounded with them.
+    parts = parts_for(spark, size * (1 + 8 * n / _PAIR_BYTES)) or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cutoff = struct.unpack("f", struct.pack("f", settings.cutoff))[0]
+    found = place_hits(by_pair, peaks.select("peak_id", values.alias("signals")), names, n, cutoff, not settings.adapted, parts)
     if not settings.adapted:
         top = written_small(by_pair.groupBy(F.col("chr").alias("c_")).agg(F.max("top").alias("chr_max")), "chromosome-maxima")
-        scored = scored.join(top, F.col("chr") == F.col("c_"))
-    each = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), F.get("signals", i).alias("signal"), F.try_divide(F.get("signals", i) * F.col("ac"), F.get("total", i)).alias("score")))
-    cutoff = F.lit(settings.cutoff).cast("float").cast("double")
-    act = F.col("act") / F.col("n_tss")
-    hit = F.filter(each, lambda x: ~F.isnan(x["score"]) & (x["score"] >= cutoff) & (x["signal"] * act > 0))
-    found = scored.select("chr", "start", "end", "gene_id", "gene_name", "peak_id", contact.alias("contact"), act.alias("share"), "highest", *([] if settings.adapted else ["chr_max"]), (F.col("dist") / F.col("n_tss")).alias("tss_distance"), hit.alias("hit"))
+        found = found.join(top, F.col("chr") == F.col("c_"))
     hits = found.withColumn("x", F.explode("hit")).drop("hit")
     named = F.get(F.array(*[F.lit(c) for c in columns]), F.col("x.i"))
-    scaled = F.coalesce(F.try_divide(F.col("contact") * 100.0, F.get("highest", F.lit(0))), F.lit(0.0))
-    hits = hits.select("*", named.alias("column"), F.col("x.signal").alias("signal"), F.col("x.score").alias("abc_score"), scaled.alias("scaled_contact"))
+    hits = hits.select("*", named.alias("column"), F.col("x.signal").alias("signal"), F.col("x.score").alias("abc_score"))
     if settings.adapted:
         hits = hits.withColumn("activity", F.col("signal") * F.col("share")).withColumn("intergenic_score", F.col("activity"))
     else:
-        hits = hits.withColumn("activity", F.try_divide(F.col("signal") * 100.0, F.get("highest", F.col("x.i") + 1))).withColumn("intergenic_score", F.try_divide("contact", "chr_max") * F.col("signal"))
+        hits = hits.withColumn("activity", F.try_divide(F.col("signal") * 100.0, F.col("x.best"))).withColumn("intergenic_score", F.try_divide("contact", "chr_max") * F.col("signal"))
     return hits.select(*HIT_FIELDS)
 
 
