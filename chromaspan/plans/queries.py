@@ -493,7 +493,7 @@ def _many(spark, d, adapted: bool) -> DataFrame:
     p = V.peaks(spark, d).select("*", *[((F.col("sig1") * k) % 53 + F.col("sig2") / k).alias(f"a{k}") for k in range(1, _MANY + 1)])
     settings = abc.AbcSettings(**(SETTINGS.__dict__ | {"adapted": adapted}))
     hits = abc.score_columns(V.genes(spark, d).withColumn("tss", F.array("tss")), p, names, settings, _cells(spark, d))
-    off = lambda c: r(F.col(c) + _OFF_TIES)
+    off = lambda c: F.rint((F.col(c) + _OFF_TIES) * 1e6) / 1e6  # noqa: E731 - off ties as F.round, without a decimal number for each of them
     return hits.select(F.col("column").alias("col"), "gene_id", "peak_id", off("contact").alias("contact"), off("activity").alias("activity"), off("scaled_contact").alias("scaled_contact"), off("intergenic_score").alias("intergenic"), off("abc_score").alias("score"))
 
 
