@@ -1,9 +1,13 @@
 """What pairs carry while they are moved, and what is computed once."""
 
 import random
+import time
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from chromaspan.functions import stages
 from chromaspan.operators import abc
 from chromaspan.plans import queries as Q
 
@@ -32,3 +36,17 @@ def test_interactions_are_scored_once(spark):
     """Pairs and scores read what was written: no window by gene is left in the plan."""
     plan = Q.region_scaler_abc(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    """They do not wait for the driver's garbage collection; the table and the caller's setting stay."""
+    folder = Path(spark.conf.get("spark.local.dir"))
+    files = lambda: {f.name for f in folder.rglob("shuffle_*.data")}
+    before = files()
+    table = stages.written(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in ("false", None)
